@@ -19,6 +19,23 @@ def vocabulary_path() -> str:
     return os.path.join(TOKENIZERS, VOCABULARY)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_items
+
+    arrow_rows(spark)
+    found = find_items(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    arrow_rows(spark)
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
@@ -35,7 +52,36 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
+    "op6_simhash": op6_simhash,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_counts": op8_token_counts,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": r"""
+with words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+), items as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+), windows as (
+  select distinct item_id, least(13, len(w)) as m, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') as t
+  from (select item_id, w, unnest(generate_series(1, greatest(len(w) - 12, 1))) as i from items where len(w) > 0)
+), lengths as (
+  select distinct m from windows
+), places as (
+  select doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') as t
+  from (select doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) as i from words, lengths where len(w) >= m)
+), found as (
+  select p.doc_id, p.i, p.m, x.item_id from places p join windows x on p.m = x.m and p.t = x.t
+), hits as (
+  select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(generate_series(i, i + m - 1)) as k from found) group by doc_id
+), named as (
+  select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids from (select distinct doc_id, cast(item_id as varchar) as s from found) group by doc_id
+)
+select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(h.n_hit, 0) as bigint) as n_hit, cast(coalesce(n.n_items, 0) as bigint) as n_items,
+  sha256(coalesce(n.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(w.w) as contaminated
+from words w left join hits h using (doc_id) left join named n using (doc_id)
+""",
+}
