@@ -41,6 +41,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), "contaminated")
 
 
+def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    placed = assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -77,6 +84,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
+    "op4_shards": op4_shards,
     "op6_simhash": op6_simhash,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_counts": op8_token_counts,
