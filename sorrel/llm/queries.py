@@ -55,6 +55,12 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_report
+
+    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_decontaminate": op3_decontaminate,
     "op4_shards": op4_shards,
+    "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_counts": op8_token_counts,
