@@ -94,6 +94,15 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), F.coalesce(rejected(model, F.col("score"), F.col("lang")), F.lit(False)).alias("rejected"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal, written
+
+    found = find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(i).__eq__)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.concat("base_spans", "added_spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_outliers": op1_outliers,
     "op2_chat_format": op2_chat_format,
@@ -104,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": r"""
