@@ -241,9 +241,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of_fp, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
+#: Dropped ids (8 bytes each) up to which they are broadcast.
+BROADCAST_IDS = 1_000_000
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document, that of the smallest id, of each component. Rows that repeat an id count as one more copy each."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component"))).select(F.col(id_col).alias("kept")).distinct()
-    one = docs.join(kept, docs[id_col].eqNullSafe(kept["kept"]), "left_semi")
-    return one.dropDuplicates([id_col])
+    """docs with one document, that of the smallest id, of each component. Rows that repeat an id count as one more copy each, and rows without an id as one document."""
+    scratch = Scratch(docs.sparkSession, "kept")
+    found = scratch.save(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component"))
+    gone = found.where(~F.col("_id").eqNullSafe(F.col("component"))).select("_id").distinct()
+    few = gone.count() <= BROADCAST_IDS
+    one = docs.join(F.broadcast(gone) if few else gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    repeats = found.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return one.dropDuplicates([id_col]) if repeats else one
