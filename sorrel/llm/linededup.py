@@ -11,11 +11,13 @@ segment), and looks up, for each length it may match, only the substrings at tho
 What meets is verified by a banded bit-parallel edit distance: the band of the dynamic
 programme, 2 * THRESHOLD + 1 diagonals, is one integer per column.
 
+Before that, pairs are thinned by the parities of the lines' character pairs: 64 bits, of which
+an edit changes at most four.
+
 A segment that many lines of one length share (as the variants of a much copied line do)
 would meet in all pairs. Up to HOT lines, a look-up meets each of them. For a segment with
-more, the rows of that segment alone are joined with a condition: the parities of the lines'
-character pairs, 64 bits, of which an edit changes at most four. Only pairs that pass
-leave the join.
+more, the rows of that segment alone are joined under the condition on parities, so that
+only pairs that pass leave the join.
 
 Cases: a null text stays null, an empty one empty; a document whose lines all go becomes
 empty and stays as a row; rows that repeat an id share their places, so neither is before the
@@ -24,6 +26,8 @@ other and both are judged alike; lines may be of any length; an empty table give
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,19 +142,20 @@ def linked_lines(lines: DataFrame, scratch: Scratch, threshold: int = THRESHOLD)
     probe = lines.select("h1", F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
     met = probe.join(meet.hint("shuffle_hash"), "key").where(F.col("to").isNull() | (F.col("to") != F.col("h1")))
     met = scratch.save(met.select("h1", "to", F.when(F.col("to").isNull(), F.col("key")).alias("key")))
-    pairs = met.where("to is not null").select(F.least("h1", "to").alias("a"), F.greatest("h1", "to").alias("b"))
+    pairs = met.where("to is not null").select(F.least("h1", "to").alias("a"), F.greatest("h1", "to").alias("b")).distinct()
     asking = met.where("to is null").select("key", "h1").distinct()
     offered = index.where(F.col("c") > HOT).select("key", "to").distinct()
+    ids = reduce(DataFrame.union, [pairs.select("a"), pairs.select("b"), asking.select("h1"), offered.select("to")]).toDF("h1").distinct()
+    texts = scratch.save(_of(lines, ids).select("h1", "line", parities(F.col("line")).alias("sign")))
+    signs = lambda name: texts.select(F.col("h1").alias(name), F.col("sign").alias(f"sign_{name}"))
+    alike = lambda x, y: F.bit_count(F.col(f"sign_{x}").bitwiseXOR(F.col(f"sign_{y}"))) <= 4 * threshold
     if offered.limit(1).count():
-        ids = asking.select("h1").union(offered.select("to")).distinct()
-        signs = scratch.save(_of(lines, ids).select("h1", parities(F.col("line")).alias("sign")))
-        asking = asking.join(signs, "h1")
-        offered = offered.join(signs.withColumnsRenamed({"h1": "to", "sign": "sign_to"}), "to")
-        close = asking.join(offered, (asking["key"] == offered["key"]) & (F.bit_count(F.col("sign").bitwiseXOR(F.col("sign_to"))) <= 4 * threshold) & (F.col("h1") != F.col("to")))
-        pairs = pairs.union(close.select(F.least("h1", "to").alias("a"), F.greatest("h1", "to").alias("b")))
-    pairs = scratch.save(pairs.distinct())
-    texts = scratch.save(_of(lines, pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()).select("h1", "line"))
-    both = pairs.join(texts.withColumnsRenamed({"h1": "a", "line": "line_a"}), "a").join(texts.withColumnsRenamed({"h1": "b", "line": "line_b"}), "b")
+        asking, offered = asking.join(signs("h1"), "h1"), offered.join(signs("to"), "to")
+        close = asking.join(offered, (asking["key"] == offered["key"]) & alike("h1", "to") & (F.col("h1") != F.col("to")))
+        pairs = pairs.union(close.select(F.least("h1", "to").alias("a"), F.greatest("h1", "to").alias("b"))).distinct()
+    near = pairs.join(signs("a"), "a").join(signs("b"), "b").where(alike("a", "b")).select("a", "b")
+    line = lambda name: texts.select(F.col("h1").alias(name), F.col("line").alias(f"line_{name}"))
+    both = scratch.save(near).join(line("a"), "a").join(line("b"), "b")
     return both.where(edit_distance(F.col("line_a"), F.col("line_b"), threshold) <= threshold).select("a", "b")
 
 
