@@ -44,27 +44,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; each can be dropped once nothing reads it."""
+    """Tables written to the shared folder to cut lineage; those that nothing reads any more are deleted, the rest when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.made: list[str] = []
+        self.made: list[tuple[DataFrame, str]] = []
+        self.n = 0
+        atexit.register(self._end)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write the rows and give them back as a table without their lineage."""
-        path = f"{self.base}/{len(self.made)}"
+        path = f"{self.base}/{self.n}"
+        self.n += 1
         df.write.option("compression", "zstd").parquet(path)
-        self.made.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, keep: int = 1) -> None:
-        """Delete all tables but the last `keep`."""
-        while len(self.made) > 0 and sum(p is not None for p in self.made) > keep:
-            k = next(i for i, p in enumerate(self.made) if p is not None)
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.made[k])
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-            self.made[k] = None
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made.append((out, path))
+        return out
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        for out, path in self.made:
+            if not any(out is t for t in tables):
+                self._delete(path)
+        self.made = [(out, path) for out, path in self.made if any(out is t for t in tables)]
+
+    def _end(self) -> None:
+        if self.made and self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped():
+            self._delete(self.base)
 
 
 def annotate(

@@ -171,11 +171,13 @@ def judged_lines(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD,
     lines = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("line").alias("line"))
     lines = scratch.save(lines.withColumn("n", F.char_length("line")))
     pairs = scratch.save(linked_lines(lines.select("h1", "n", "line"), scratch, threshold))
+    scratch.keep(lines, pairs)
     ends = pairs.union(pairs.select("b", "a")).toDF("h1", "other")
     firsts = lines.select(F.col("h1").alias("other"), F.col("first").alias("near"))
     near = ends.join(firsts, "other").groupBy("h1").agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("links"))
     known = lines.select("h1", "h2", "first", "copies").join(near, "h1", "left").where("copies > 1 or links is not null")
     known = scratch.save(known.select("h1", "h2", F.least("first", "near").alias("first"), F.coalesce("links", F.lit(0)).alias("links")))
+    scratch.keep(known)
     found = every.drop("line").join(known, ["h1", "h2"])
     drop = F.when(F.struct("id", "at") > F.col("first"), F.col("at"))
     return found.groupBy("id").agg(F.array_sort(F.collect_set(drop)).alias("dropped"), F.sum("links").alias("n_links"))

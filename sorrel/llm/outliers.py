@@ -215,6 +215,7 @@ def keep_normal(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     rows = scratch.save(_same_group(sane, groups).select("g", *NAMES))
     enough = groups.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("g")
     model = estimates(rows.join(enough, "g", "left_semi"), scratch)
+    scratch.keep(base, groups, model)
     judged = _distance(_same_group(base, groups.drop("n").join(model.drop("n"), "g")))
     judged = judged.withColumn("distance", F.sqrt("d2")).withColumn("kept", ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= quantile(1 - FAR, DIMS))))
     return judged.select(*[c for c in docs.columns if c != text_col], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")

@@ -140,7 +140,9 @@ def find_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
     base = F.array_sort(F.concat(*[rule_spans(text, k) for k in KINDS]))
     first = scratch.save(docs.select(*rest, F.monotonically_increasing_id().alias("_row"), base.alias("base_spans"), labelled(text).alias("_labelled")))
     each = first.where(F.size("_labelled") > 0).select("_row", "base_spans", F.explode("_labelled").alias("c")).select("_row", "base_spans", "c.*")
-    good = scored_patterns(each.select("pattern", "token"), scratch).where((F.col("score") >= ACCEPT) & (F.col("seeds") >= SEEDS)).select("pattern")
+    patterns = scored_patterns(each.select("pattern", "token"), scratch)
+    scratch.keep(first, patterns)
+    good = patterns.where((F.col("score") >= ACCEPT) & (F.col("seeds") >= SEEDS)).select("pattern")
     free = ~F.exists("base_spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
     added = each.join(good, "pattern", "left_semi").where(free)
     span = F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("stop"), F.col("token").alias("text"))

@@ -127,6 +127,7 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
         moving = moving.join(best, "grp", "left").withColumn("go", F.col("best").isNotNull() & (F.col("best") != F.col("shard")) & (_unit("grp", k) < _pick(F.col("best"), share)))
         moving = scratch.save(moving.select("key", "grp", "linked", "n", F.when(F.col("go"), F.col("best")).otherwise(F.col("shard")).alias("shard"), "laid"))
     every = scratch.save(moving.unionByName(single))
+    scratch.keep(every)
     counts = {r["shard"]: r["c"] for r in every.groupBy("shard").agg(F.count(F.lit(1)).alias("c")).collect()}
     surplus = [max(0, counts.get(s, 0) - target[s]) for s in range(shards)]
     lack = [max(0, target[s] - counts.get(s, 0)) for s in range(shards)]
@@ -165,6 +166,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
         rows = rows.withColumn("nth", F.lit(1))
     key = F.struct("id", "nth")
     rows = scratch.save(rows.withColumn("key", key).drop("nth"))
+    scratch.keep(rows)
     n = rows.count()
     placed = propagate(rows.select("key", "grp"), shards, rounds).select("key", "linked", "shard")
     out = rows.join(placed, "key").select("key", "size", "text_crc32", "shard", "linked")

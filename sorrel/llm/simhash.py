@@ -212,8 +212,8 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> Dat
     return grouped.mapInArrow(_forest, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, root): the smallest node that links a-b reach; only nodes that have links."""
+def components(edges: DataFrame, scratch: Scratch, *needed: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that links a-b reach; only nodes that have links. needed: tables of scratch that others still read."""
     both = scratch.save(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).where("x <> y").distinct())
     labels = scratch.save(both.groupBy(F.col("x").alias("node")).agg(F.min(F.least("x", "y")).alias("root")))
     while True:
@@ -222,19 +222,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         up = labels.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
         step = step.join(up, step.low == up.n2, "left").select("node", F.col("root").alias("was"), F.least("low", F.coalesce("r2", "low")).alias("root"))
         step = scratch.save(step)
+        scratch.keep(both, step, *needed)
         moved = step.where("was <> root").limit(1).count()
         labels = step.select("node", "root")
         if not moved:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """(id, fp, component): component is the smallest id of all documents that links reach."""
-    scratch = Scratch(docs.sparkSession, "simhash")
+    scratch = scratch or Scratch(docs.sparkSession, "simhash")
     marked = scratch.save(fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), drop_text=True))
     distinct = scratch.save(marked.groupBy("fp").agg(F.min("id").alias("least")))
     n = distinct.count()
-    labels = components(links(distinct.select("fp"), n), scratch)
+    labels = components(links(distinct.select("fp"), n), scratch, marked, distinct)
     rooted = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     of_fp = rooted.join(least, "root").select("fp", "component")
@@ -248,7 +249,8 @@ BROADCAST_IDS = 1_000_000
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the smallest id, of each component. Rows that repeat an id count as one more copy each, and rows without an id as one document."""
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.save(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "component"))
+    found = scratch.save(near_duplicates(docs, id_col, text_col, scratch).select(F.col(id_col).alias("_id"), "component"))
+    scratch.keep(found)
     gone = found.where(~F.col("_id").eqNullSafe(F.col("component"))).select("_id").distinct()
     few = gone.count() <= BROADCAST_IDS
     one = docs.join(F.broadcast(gone) if few else gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
