@@ -200,11 +200,15 @@ def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(_estimate(inner, consistency(REWEIGHT)).drop("det"))
 
 
+OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"]
+
+
 def keep_normal(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs without the text, with the base counts, base_failed, distance (null where nothing was estimated) and kept."""
+    """docs without the text, with the base counts, base_failed, distance (null where nothing was estimated) and kept; columns of these names give way."""
     scratch = Scratch(docs.sparkSession, "outliers")
-    base = docs.withColumns({"_lang": F.col(lang_col), "_source": F.col(source_col)})
-    base = scratch.save(base_counts(base, text_col).select("*", *vector()))
+    given = [F.col(c) for c in docs.columns if c not in (text_col, *OUT)]
+    base = docs.select(F.struct(F.lit(0).alias("_"), *given).alias("_own"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
+    base = scratch.save(base_counts(base, "_text").select("*", *vector()))
     sane = base.where(~F.col("base_failed"))
     sizes = sane.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
     small = F.col("n") < LEAST
@@ -218,7 +222,7 @@ def keep_normal(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     scratch.keep(base, groups, model)
     judged = _distance(_same_group(base, groups.drop("n").join(model.drop("n"), "g")))
     judged = judged.withColumn("distance", F.sqrt("d2")).withColumn("kept", ~F.col("base_failed") & (F.col("d2").isNull() | (F.col("d2") <= quantile(1 - FAR, DIMS))))
-    return judged.select(*[c for c in docs.columns if c != text_col], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+    return judged.select("_own.*", *OUT).drop("_")
 
 
 def _same_group(rows: DataFrame, groups: DataFrame) -> DataFrame:

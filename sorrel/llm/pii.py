@@ -133,10 +133,10 @@ def scored_patterns(candidates: DataFrame, scratch: Scratch, rounds: int = ROUND
 
 
 def find_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the text, with base_spans and added_spans: start, kind, stop, text."""
+    """docs without the text, with base_spans and added_spans (columns of these names give way): start, kind, stop, text."""
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rest = [c for c in docs.columns if c != text_col]
+    rest = [c for c in docs.columns if c not in (text_col, "base_spans", "added_spans")]
     base = F.array_sort(F.concat(*[rule_spans(text, k) for k in KINDS]))
     first = scratch.save(docs.select(*rest, F.monotonically_increasing_id().alias("_row"), base.alias("base_spans"), labelled(text).alias("_labelled")))
     each = first.where(F.size("_labelled") > 0).select("_row", "base_spans", F.explode("_labelled").alias("c")).select("_row", "base_spans", "c.*")

@@ -7,7 +7,7 @@ is in, as far as that shard has room: quotas are set from the shards' loads, and
 the would-be movers, picked by hash, is let in, so that a shard's linked documents fill it at
 most. A group larger than a part of a shard cannot be whole in one without crowding it out;
 such groups, whose number the quota bounds, are laid over whole shards first, largest
-first, and their documents go there by hash.
+first, and their documents go there by rank.
 
 Groups are never expanded to pairs: a group's documents are counted by shard.
 
@@ -34,6 +34,8 @@ SHARDS = 40
 ROUNDS = 4
 #: A group over this part of a shard's quota is laid out first.
 LARGE = 8
+#: A shard that laid-out groups fill to this part takes no others.
+FULL = 0.95
 #: Rows that a bucket holds on average when rows are ranked.
 BUCKET_ROWS = 20_000
 
@@ -66,19 +68,19 @@ def _in_ranges(x: Column, edges: list[float], labels: list[int]) -> Column:
     return reduce(lambda out, e: F.when(x >= e[0], F.lit(e[1])).otherwise(out), list(zip(edges, labels, strict=True))[1:], F.lit(labels[0]))
 
 
-def _lay_large(sizes: list[tuple[int, int]], shards: int, quota: int) -> dict[int, list[tuple[float, int]]]:
-    """group number -> [(share of its documents below this edge is elsewhere, shard)]: groups, largest first, fill the emptiest shards."""
-    room = {s: quota for s in range(shards)}
+def _lay_large(sizes: list[tuple[int, int]], target: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """group number -> [(first document, shard)]: groups, largest first, fill the emptiest shards."""
+    room = dict(enumerate(target))
     out = {}
     for number, n in sizes:
-        left, edge, pieces = n, 0.0, []
+        left, edge, pieces = n, 0, []
         while left > 0:
             s = max(room, key=lambda k: (room[k], -k))
             take = min(left, max(room[s], 1))
             pieces.append((edge, s))
             room[s] -= take
             left -= take
-            edge += take / n
+            edge += take
         out[number] = pieces
     return out
 
@@ -96,14 +98,16 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     # groups too large to move as one: at most LARGE * shards of them
     limit = max(2, quota // LARGE)
     large = groups.where(F.col("n") > limit).orderBy(F.desc("n"), "grp").limit(LARGE * shards + shards).collect()
-    laid = _lay_large([(i, r["n"]) for i, r in enumerate(large)], shards, max(1, quota)) if large and quota else {}
+    laid = _lay_large([(i, r["n"]) for i, r in enumerate(large)], target) if large and quota else {}
     if laid:
         spark = nodes.sparkSession
-        rows = [(large[i]["grp"], [float(e) for e, _ in p], [int(s) for _, s in p]) for i, p in laid.items()]
-        lay = spark.createDataFrame(rows, f"grp {nodes.schema['grp'].dataType.simpleString()}, edges array<double>, to array<int>")
-        at = F.size(F.filter("edges", lambda e: e <= F.col("u")))
-        state = state.join(F.broadcast(lay), "grp", "left").withColumn("u", _unit("key", 1))
-        state = state.select("key", "grp", "linked", "n", F.when(F.col("to").isNull(), F.col("shard")).otherwise(F.element_at("to", F.greatest(at, F.lit(1)))).alias("shard"), F.col("to").isNotNull().alias("laid"))
+        rows = [(large[i]["grp"], [e for e, _ in p], [s for _, s in p]) for i, p in laid.items()]
+        lay = spark.createDataFrame(rows, f"grp {nodes.schema['grp'].dataType.simpleString()}, edges array<bigint>, to array<int>")
+        own = ranked(state.join(F.broadcast(lay), "grp"), ["grp"], ["key"], "place", max(1, total // BUCKET_ROWS))
+        at = F.size(F.filter("edges", lambda e: e <= F.col("place")))
+        own = own.select("key", "grp", "linked", "n", F.element_at("to", at).alias("shard"), F.lit(True).alias("laid"))
+        rest = state.join(F.broadcast(lay.select("grp")), "grp", "left_anti").select("key", "grp", "linked", "n", "shard", F.lit(False).alias("laid"))
+        state = scratch.save(own.unionByName(rest))
     else:
         state = state.withColumn("laid", F.lit(False))
     moving = scratch.save(state.where("linked"))
@@ -112,7 +116,7 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
         by_shard = moving.groupBy("grp", "shard", "laid").agg(F.count(F.lit(1)).alias("c"))
         load = {r["shard"]: r["c"] for r in by_shard.groupBy("shard").agg(F.sum("c").alias("c")).collect()}
         fixed = {r["shard"]: r["c"] for r in by_shard.where("laid").groupBy("shard").agg(F.sum("c").alias("c")).collect()}
-        full = [fixed.get(s, 0) >= target[s] for s in range(shards)]
+        full = [fixed.get(s, 0) >= FULL * target[s] for s in range(shards)]
         free = [s for s in range(shards) if not full[s]] or [0]
         # the plurality shard of each group among those not full; ties by hash, so that no shard draws all of them
         votes = F.when(_pick(F.col("shard"), full), 0).otherwise(F.col("c"))

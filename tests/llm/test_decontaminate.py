@@ -1,0 +1,80 @@
+"""Occurrences of benchmark windows against a plain search."""
+
+import random
+import re
+
+from helpers import awkward, clashing
+
+from sorrel.llm import decontaminate as d
+
+
+def lower(t):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+
+
+def words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+
+
+def brute(docs, items):
+    windows = {}
+    for i, t in items:
+        w = words(t)
+        m = min(13, len(w))
+        for s in range(len(w) - m + 1 if m else 0):
+            windows.setdefault(tuple(w[s : s + m]), set()).add(i)
+    out = []
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for m in {len(x) for x in windows}:
+            for s in range(len(w) - m + 1):
+                own = windows.get(tuple(w[s : s + m]))
+                if own:
+                    hit |= set(range(s, s + m))
+                    found |= own
+        out.append((i, len(w), len(hit), sorted(x for x in found if x is not None), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out)
+
+
+def cases():
+    rnd = random.Random(4)
+    vocabulary = ["a", "b", "of", "the", "été", "x1", "word", "Long", "zz"]
+    text = lambda n: rnd.choice([" ", ", ", "\n", "-"]).join(rnd.choice(vocabulary) for _ in range(n))
+    items = [(i, text(rnd.choice([1, 2, 3, 5, 12, 13, 14, 30]))) for i in range(25)] + [(90, None), (91, ""), (92, "..."), (5, text(20)), (None, text(15))]
+    docs = [(i, text(rnd.randint(0, 120))) for i in range(60)]
+    for i in range(30):
+        item = items[rnd.randrange(25)][1]
+        docs.append((100 + i, text(rnd.randint(0, 700)) + " " + item.upper() + " " + text(rnd.randint(0, 40))))
+    return docs + [(200, None), (201, ""), (200, None)], items
+
+
+def got(df):
+    return sorted((r["doc_id"], r["n_words"], r["n_hit"], list(r["item_ids"]), r["contaminated"]) for r in df.collect())
+
+
+def test_brute_force(spark):
+    docs, items = cases()
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    once = d.find_items(df, bench)
+    assert got(once) == want
+    assert got(d.find_items(df, bench, max_bytes=200)) == want  # in many passes
+    assert all(sum(x["stop"] - x["start"] for x in r["hit_ranges"]) == r["n_hit"] for r in once.collect())
+
+
+def test_only_long_items_and_skips(spark):
+    docs, items = cases()
+    items = [(i, t) for i, t in items if len(words(t)) >= 13]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(d.find_items(df, spark.createDataFrame(items, "item_id long, text string"))) == brute(docs, items)
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    items = [(1, "alpha beta gamma delta alpha beta gamma delta alpha beta gamma delta alpha"), (2, "same text of this")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = d.find_items(clashing(docs, "n_words", "contaminated", "item_ids"), bench)
+    assert got(found) == brute(rows, items)
+    assert d.find_items(docs.limit(0), bench).count() == 0
+    assert not any(r["n_hit"] for r in d.find_items(docs, bench.limit(0)).collect())

@@ -1,0 +1,83 @@
+"""Base counts against plain Python, and rejected outliers."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+from helpers import awkward, clashing
+from pyspark.sql import functions as F
+
+from sorrel.llm import outliers as o
+
+
+def base(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+    n, r = len(w), len(covered)
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), r, n < 50 or 100 * r > 50 * n
+
+
+COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def test_base_counts(spark):
+    rnd = random.Random(1)
+    bits = ["a", "b", "c", "é", "\U0001f600", "#", "<>", " ", "  ", "\n", "\t", "\x0b", "\x1f", " ", "\r\n"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 160))) for _ in range(400)] + ["a b c a b c a", "x x x x", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in o.base_counts(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == base(t), repr(t)
+
+
+def test_chi_square():
+    assert abs(o.chi_square(11.0705, 5) - 0.95) < 1e-5
+    assert abs(o.quantile(0.975, 5) - 12.8325) < 1e-3
+
+
+def test_distance_is_mahalanobis(spark):
+    rng = np.random.default_rng(2)
+    x = rng.multivariate_normal([3000, 1500, 200, 100, 300], np.diag([400, 90, 60, 150, 120]) @ (np.eye(5) * 0.5 + 0.5) @ np.diag([400, 90, 60, 150, 120]), 400).round().astype(int)
+    rows = spark.createDataFrame([("g", *map(int, r)) for r in x], "g string, " + ", ".join(f"{n} long" for n in o.NAMES))
+    est = o._estimate(rows.groupBy("g").agg(*o._sums()), 1.0)
+    got = sorted(r["d2"] for r in o._distance(rows.join(est, "g")).collect())
+    cov = np.cov(x.T, bias=True) + np.diag([(f * o.UNIT) ** 2 for f in o.FLOORS])
+    d = x - x.mean(0)
+    assert np.allclose(got, np.sort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d)))
+
+
+def test_outliers_go_and_clean_rows_stay(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 8)))
+    rows, bad = [], set()
+    for i in range(400):
+        text = "\n".join(" ".join(word() for _ in range(rnd.randint(8, 20))) for _ in range(rnd.randint(6, 20)))
+        if i % 10 == 0:
+            text = "".join(c + "$%#" if c == " " else c for c in text)
+            bad.add(i)
+        rows.append((i, text, "en", "s1" if i % 3 else "s2"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in o.keep_normal(df).collect()}
+    assert all(not got[i] for i in bad)
+    assert sum(not got[i] for i in got if i not in bad) <= 2
+
+
+def test_awkward_rows(spark):
+    docs = clashing(awkward(spark), "n_words", "kept", "g", "x0", "distance")
+    got = o.keep_normal(docs).collect()
+    assert len(got) == docs.count()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert all(tuple(r[c] for c in COLUMNS) == base(texts[r["doc_id"]]) for r in got)
+    assert all(r["kept"] is not None and not (r["kept"] and r["base_failed"]) for r in got)
+    assert o.keep_normal(docs.limit(0)).count() == 0
+    assert all(r["g"] == r["x0"] == "mine" for r in got)  # other columns pass through
+
+
+def test_small_groups_are_kept(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    df = spark.range(5).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    assert all(r["kept"] and r["distance"] is None for r in o.keep_normal(df).collect())

@@ -1,0 +1,114 @@
+"""Fingerprints and components against brute force."""
+
+import random
+import re
+
+import pyarrow as pa
+import xxhash
+from helpers import awkward, clashing
+from pyspark.sql import functions as F
+
+from sorrel.llm import simhash
+from sorrel.llm.arrays import ragged
+from sorrel.llm.common import Scratch
+
+
+def fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    runs = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def groups(fps, radius=2):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= radius:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {f: find(f) for f in fps}
+
+
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+def clustered(n, seed):
+    rnd = random.Random(seed)
+    out = set()
+    while len(out) < n:
+        f = rnd.getrandbits(64)
+        for _ in range(rnd.randint(1, 40)):
+            out.add(f)
+            for _ in range(rnd.randint(0, 3)):
+                f ^= 1 << rnd.randrange(64)
+    return sorted(out)
+
+
+def test_fingerprints():
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(["A", "b", "é", "dd\n", "e f"]) for _ in range(rnd.randint(0, 12))) for _ in range(300)] + ["", None, " \n ", "x " * 70_000]
+    data, offsets = ragged(pa.array(texts, pa.string()))
+    assert simhash.fingerprints_of(data, offsets).tolist() == [fingerprint(t) for t in texts]
+
+
+def components_of(spark, fps, **kw):
+    df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
+    scratch = Scratch(spark, "t")
+    links = simhash.links(df, kw.pop("n", len(fps)), **kw)
+    return {r["node"]: r["root"] for r in simhash.components(links, scratch).collect()}
+
+
+def same_parts(labels, fps):
+    want = groups(fps)
+    own = {f: labels.get(signed(f), signed(f)) for f in fps}
+    seen = {}
+    for f in fps:
+        assert seen.setdefault(own[f], want[f]) == want[f]
+    assert len(seen) == len(set(want.values()))
+
+
+def test_components_of_clusters(spark):
+    fps = clustered(600, 1)
+    same_parts(components_of(spark, fps), fps)
+
+
+def test_hot_bucket_in_tiles(spark):
+    rnd = random.Random(5)
+    base = rnd.getrandbits(64)
+    fps = {0, base}
+    while len(fps) < 500:  # all share most of their bits
+        f = base
+        for b in rnd.sample(range(64), rnd.randint(1, 5)):
+            f ^= 1 << b
+        fps.add(f)
+    fps = sorted(fps)
+    same_parts(components_of(spark, fps, tile=16), fps)
+    same_parts(components_of(spark, fps, tile=16, n=1 << 30), fps)  # more blocks
+
+
+def test_documents(spark):
+    docs = clashing(awkward(spark), "fp", "component", "least")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    fps = {t: fingerprint(t) for _, t in rows}
+    roots = groups(sorted(set(fps.values())))
+    least = {}
+    for i, t in rows:
+        least[roots[fps[t]]] = min(i, least.get(roots[fps[t]], i))
+    got = sorted((r["doc_id"], r["fp"], r["component"]) for r in simhash.near_duplicates(docs).collect())
+    assert got == sorted((i, signed(fps[t]), least[roots[fps[t]]]) for i, t in rows)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(set(least.values()))
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_many_copies(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text that many rows share").otherwise(F.concat(F.lit("other "), F.col("id").cast("string"))).alias("text"))
+    found = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(docs).collect()}
+    assert all(found[i] == 0 for i in range(0, 500, 3))
