@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+import atexit
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,10 @@ def pagerank(edges: DataFrame, steps: int = 50, damping: float = 0.85, cut_every
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(named or f"/tmp/sorrel-checkpoints-{uuid.uuid4().hex[:8]}")
+        if not named:
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     both = undirected(edges)
     degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     links = both.join(degree, "src").checkpoint()
