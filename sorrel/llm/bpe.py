@@ -32,8 +32,8 @@ from .common import annotate
 from .pretokens import Lookup, Vocabulary
 
 #: Pre-tokens that a worker keeps with their ids, and pairs with their answer.
-CACHED = 600_000
-PAIRS = 1_000_000
+CACHED = 250_000
+PAIRS = 250_000
 
 
 class Pairs(dict):
@@ -183,20 +183,32 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with their ids as an array column; path: a byte-level BPE vocabulary file present on every machine."""
-    at = docs.columns.index(text_col) if ids_col not in docs.columns else [c for c in docs.columns if c != ids_col].index(text_col)
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", same_col: str | None = None) -> DataFrame:
+    """docs with their ids as an array column; path: a byte-level BPE vocabulary file present on every machine.
+
+    same_col: the name of a column that says whether the ids decode to the text, decoded in the same pass."""
+    at = [c for c in docs.columns if c not in (ids_col, same_col)].index(text_col)
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(same_col, T.BooleanType())] if same_col else [])
 
     def make():
         c = codec(path)
 
         def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            ids, offsets = c.encode_all(batch.column(at).to_pylist())
-            return {ids_col: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32)))}
+            data, borders = ragged(batch.column(at))
+            parts, sizes, same = [], [], []
+            for a, b in slices(borders):
+                ids, offsets = c.encode_all(batch.column(at).slice(a, b - a).to_pylist())
+                parts.append(ids)
+                sizes.append(np.diff(offsets))
+                if same_col:
+                    same += [c.decode(ids[s:e]) == data[borders[a + k] : borders[a + k + 1]].tobytes() for k, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+            out = {ids_col: pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts).astype("<u4").view(np.int32)))}
+            return out | ({same_col: pa.array(same)} if same_col else {})
 
         return each
 
-    return annotate(docs, make, [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    return annotate(docs, make, fields)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 #: Rows that Spark puts in one Arrow batch for a Python worker; the workers cut batches further by bytes.
 ARROW_ROWS = 500
 #: Bytes of text that the array code handles at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

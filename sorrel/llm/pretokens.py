@@ -52,7 +52,7 @@ def split(text: str) -> list[str]:
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: Longer texts are cut into parts before white space, where no pre-token spans the cut.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 19
 
 
 class Splitter:
