@@ -44,13 +44,12 @@ TILE = 2048
 SMALL = 24
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of each text."""
+def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, runs): the hash of every run of words of each text, end to end, and how many each text has."""
     starts, ends, first = borders(data, offsets, byte_class("space"))
     n = len(offsets) - 1
-    out = np.zeros(n, np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
     # all words with one blank after each, end to end
     low = LOWER[data]
     lengths = ends - starts
@@ -71,6 +70,15 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
     size = np.repeat(np.minimum(count, shingle), runs)
     hashed = xxhash.xxh64_intdigest
     hashes = np.fromiter([hashed(text[a:b], SEED) for a, b in zip(begin[where].tolist(), stop[where + size - 1].tolist(), strict=True)], np.uint64, len(where))
+    return hashes, runs
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """The fingerprint of each text."""
+    hashes, runs = shingles_of(data, offsets, shingle)
+    out = np.zeros(len(offsets) - 1, np.uint64)
+    if not len(hashes):
+        return out
     some = np.flatnonzero(runs)
     heads = (np.cumsum(runs) - runs)[some]
     votes = np.zeros((len(some), 64), np.int64)
@@ -115,67 +123,70 @@ def _keys(fp: Column, n: int, radius: int) -> Column:
     return F.array(*out)
 
 
-def _forest(batches):
+def _forest(radius: int):
     """Rows (group, side, fp), sorted by group, to links of a spanning forest of each group. A group of side 0 is compared with itself, one of sides 1 and 2 across."""
 
-    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= RADIUS)
-        return a, b
-
-    def links(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a_s, b_s = [], []
-        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        sizes = np.diff(np.append(heads, len(group)))
-        small = np.repeat(sizes <= SMALL, sizes) & (side == 0)
-        for d in range(1, SMALL):
-            a = np.flatnonzero(small[: len(group) - d] & (group[: len(group) - d] == group[d:]))
-            if not len(a):
-                break
-            a = a[np.bitwise_count(fp[a] ^ fp[a + d]) <= RADIUS]
-            a_s.append(a)
-            b_s.append(a + d)
-        for h, n in zip(heads.tolist(), sizes.tolist(), strict=True):
-            if small[h]:
-                continue
-            left = np.arange(h, h + n)[side[h : h + n] < 2]
-            right = left if side[h] == 0 else np.arange(h, h + n)[side[h : h + n] == 2]
-            for s in range(0, len(left), 256):
-                a, b = near(fp[left[s : s + 256]], fp[right])
-                a, b = left[s + a], right[b]
-                if side[h] == 0:
-                    a, b = a[a < b], b[a < b]
-                root = roots(len(group), a, b) if len(a) > 4 * n else None  # thin dense blocks at once
-                if root is not None:
-                    own = np.flatnonzero(root != np.arange(len(group)))
-                    a, b = own, root[own]
+    def run(batches):
+        def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            a, b = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
+            return a, b
+
+        def links(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            a_s, b_s = [], []
+            heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            sizes = np.diff(np.append(heads, len(group)))
+            small = np.repeat(sizes <= SMALL, sizes) & (side == 0)
+            for d in range(1, SMALL):
+                a = np.flatnonzero(small[: len(group) - d] & (group[: len(group) - d] == group[d:]))
+                if not len(a):
+                    break
+                a = a[np.bitwise_count(fp[a] ^ fp[a + d]) <= radius]
                 a_s.append(a)
-                b_s.append(b)
-        if not a_s:
-            return fp[:0], fp[:0]
-        root = roots(len(group), np.concatenate(a_s), np.concatenate(b_s))
-        own = np.flatnonzero(root != np.arange(len(group)))
-        return fp[own], fp[root[own]]
-
-    held: list[np.ndarray] = []
-
-    def out(rows: list[np.ndarray]):
-        group, side, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
-        a, b = links(group, side, fp)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        group = batch.column(0).to_numpy(zero_copy_only=False)
-        side = batch.column(1).to_numpy(zero_copy_only=False)
-        fp = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-        cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
-        if cut:
-            yield out([*held, (group[:cut], side[:cut], fp[:cut])])
-            held = []
-        held.append((group[cut:], side[cut:], fp[cut:]))
-    if held:
-        yield out(held)
+                b_s.append(a + d)
+            for h, n in zip(heads.tolist(), sizes.tolist(), strict=True):
+                if small[h]:
+                    continue
+                left = np.arange(h, h + n)[side[h : h + n] < 2]
+                right = left if side[h] == 0 else np.arange(h, h + n)[side[h : h + n] == 2]
+                for s in range(0, len(left), 256):
+                    a, b = near(fp[left[s : s + 256]], fp[right])
+                    a, b = left[s + a], right[b]
+                    if side[h] == 0:
+                        a, b = a[a < b], b[a < b]
+                    root = roots(len(group), a, b) if len(a) > 4 * n else None  # thin dense blocks at once
+                    if root is not None:
+                        own = np.flatnonzero(root != np.arange(len(group)))
+                        a, b = own, root[own]
+                    a_s.append(a)
+                    b_s.append(b)
+            if not a_s:
+                return fp[:0], fp[:0]
+            root = roots(len(group), np.concatenate(a_s), np.concatenate(b_s))
+            own = np.flatnonzero(root != np.arange(len(group)))
+            return fp[own], fp[root[own]]
+
+        held: list[np.ndarray] = []
+
+        def out(rows: list[np.ndarray]):
+            group, side, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
+            a, b = links(group, side, fp)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = batch.column(0).to_numpy(zero_copy_only=False)
+            side = batch.column(1).to_numpy(zero_copy_only=False)
+            fp = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
+            cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
+            if cut:
+                yield out([*held, (group[:cut], side[:cut], fp[:cut])])
+                held = []
+            held.append((group[cut:], side[cut:], fp[cut:]))
+        if held:
+            yield out(held)
+
+    return run
 
 
 def links(fps: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
@@ -209,7 +220,7 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> Dat
     placed = placed.select("k", "bits", "fp", F.explode(F.when(F.col("n") <= tile, whole).otherwise(every)).alias("t"))
     grouped = placed.select(F.xxhash64("k", "bits", "t.p", "t.i", "t.q", "t.j").alias("g"), F.col("t.side").alias("side"), "fp")
     grouped = grouped.repartition("g").sortWithinPartitions("g", "side", "fp")
-    return grouped.mapInArrow(_forest, "a long, b long").distinct()
+    return grouped.mapInArrow(_forest(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, *needed: DataFrame) -> DataFrame:
