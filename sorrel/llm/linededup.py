@@ -2,7 +2,8 @@
 
 A line is dropped if a line before it, in the order of (doc_id, line number), is equal to it
 or within THRESHOLD edits of it (code points inserted, deleted or replaced). The first line
-of its kind always stays. Lines under LEAST_CHARS are too common to judge and stay.
+of its kind always stays. Lines under LEAST_CHARS are judged by equality only, as two edits
+make any short lines near, and only if `short_lines` is set; blank lines stay.
 
 Equal lines are found by two 64-bit hashes; the join works on distinct lines. Each is cut into THRESHOLD + 1 segments; a line
 within the threshold holds at least one of them unchanged, at a place that the two lengths
@@ -35,6 +36,8 @@ from .common import Scratch
 
 THRESHOLD = 2
 LEAST_CHARS = 20
+#: What a short line must hold to be judged.
+NOT_BLANK = r"(?U)\S"
 #: Lines of one length that share a segment before the pair condition moves into the join.
 HOT = 16
 #: Distinct lines in candidate pairs (8 bytes each) up to which their ids are broadcast.
@@ -126,10 +129,10 @@ def parities(text: Column) -> Column:
     return F.transform(F.array(F.split(text, "")), of)[0]
 
 
-def places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def places(docs: DataFrame, id_col: str, text_col: str, short_lines: bool = False) -> DataFrame:
     """(id, at, line, h1, h2): every line that is judged, with its number and its two hashes."""
     each = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
-    each = each.where(F.char_length("line") >= LEAST_CHARS)
+    each = each.where((F.char_length("line") >= LEAST_CHARS) | (F.lit(short_lines) & F.col("line").rlike(NOT_BLANK)))
     return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
 
 
@@ -165,12 +168,12 @@ def _of(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(ids) if few else ids, "h1", "left_semi")
 
 
-def judged_lines(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judged_lines(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """(id, dropped, n_links): for each document with lines that have equal or near ones: the numbers of the lines to drop, and its lines' links to other distinct lines."""
-    every = places(docs, id_col, text_col)
+    every = places(docs, id_col, text_col, short_lines)
     lines = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("line").alias("line"))
     lines = scratch.save(lines.withColumn("n", F.char_length("line")))
-    pairs = scratch.save(linked_lines(lines.select("h1", "n", "line"), scratch, threshold))
+    pairs = scratch.save(linked_lines(lines.where(F.col("n") >= LEAST_CHARS).select("h1", "n", "line"), scratch, threshold))
     scratch.keep(lines, pairs)
     ends = pairs.union(pairs.select("b", "a")).toDF("h1", "other")
     firsts = lines.select(F.col("h1").alias("other"), F.col("first").alias("near"))
@@ -183,20 +186,20 @@ def judged_lines(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD,
     return found.groupBy("id").agg(F.array_sort(F.collect_set(drop)).alias("dropped"), F.sum("links").alias("n_links"))
 
 
-def line_report(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """(id, n_lines, n_dropped, n_links, dropped_lines) of each document; the text stays where it is."""
     scratch = Scratch(docs.sparkSession, "lines")
-    found = judged_lines(docs, scratch, threshold, id_col, text_col)
+    found = judged_lines(docs, scratch, threshold, id_col, text_col, short_lines)
     rows = docs.select(F.col(id_col), F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long").alias("n_lines"))
     out = rows.join(found, rows[id_col] == found["id"], "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return out.select(id_col, "n_lines", F.size(dropped).cast("long").alias("n_dropped"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), dropped.alias("dropped_lines"))
 
 
-def drop_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """docs with their texts without the dropped lines."""
     scratch = Scratch(docs.sparkSession, "lines")
-    found = judged_lines(docs, scratch, threshold, id_col, text_col).where(F.size("dropped") > 0).select(F.col("id").alias("_id"), F.col("dropped").alias("_dropped"))
+    found = judged_lines(docs, scratch, threshold, id_col, text_col, short_lines).where(F.size("dropped") > 0).select(F.col("id").alias("_id"), F.col("dropped").alias("_dropped"))
     text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
     out = docs.join(found, docs[id_col] == found["_id"], "left")
     return out.withColumn(text_col, F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)

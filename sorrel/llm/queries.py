@@ -58,7 +58,7 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import line_report
 
-    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_report(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

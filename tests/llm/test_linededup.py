@@ -96,3 +96,26 @@ def test_awkward_rows(spark):
     assert got[1] is None and got[2] == "" and got[3].startswith("same") and got[4] == ""
     assert ld.drop_lines(docs).columns == docs.columns and ld.drop_lines(docs).count() == docs.count()
     assert ld.line_report(docs.limit(0)).count() == 0
+
+
+def test_equal_short_lines_go(spark):
+    rows = [(1, "Home\nhome\n\n\u3000\nA line of its own, long enough to be near"), (2, "Home\n\n \n好的。\nHomes"), (3, "x\n好的。\nA line of its own, long enough to be nearr\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["dropped_lines"] for r in ld.line_report(df, short_lines=True).collect()}
+    assert got == {1: [], 2: [0], 3: [1, 2, 3]}
+    texts = {r["doc_id"]: r["text"] for r in ld.drop_lines(df, short_lines=True).collect()}
+    assert texts == {1: rows[0][1], 2: "\n \n好的。\nHomes", 3: "x"}
+
+
+def test_short_lines_brute_force(spark):
+    rows = cases(4, 20)
+    seen, want = set(), {}
+    long_, _ = brute(rows, 2)
+    for i, t in sorted(rows):
+        want[i] = list(long_[i])
+        for k, x in enumerate(t.split("\n")):
+            if x.strip() and len(x) < ld.LEAST_CHARS:
+                want[i] += [k] if x in seen else []
+                seen.add(x)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["dropped_lines"] for r in ld.line_report(docs, short_lines=True).collect()} == {i: sorted(w) for i, w in want.items()}
