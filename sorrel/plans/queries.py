@@ -179,6 +179,11 @@ def movies_by_title(spark: SparkSession, sf: str) -> DataFrame:
     return views.movies(spark, sf).orderBy(F.expr("title COLLATE UNICODE"), "id").limit(50).select("id", "title")
 
 
+@query("select p_partkey as id, p_name as title, row_number() over (order by p_name, p_partkey) as place from part")
+def movies_in_title_order(spark: SparkSession, sf: str) -> DataFrame:
+    return content.by_title(views.movies(spark, sf))
+
+
 @query(f"with {LAST} select userId, movieId, rating from last")
 def rating_matrix_long(spark: SparkSession, sf: str) -> DataFrame:
     return views.last_ratings(spark, sf)

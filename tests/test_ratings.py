@@ -132,3 +132,11 @@ def test_similar_items(spark):
     items = spark.createDataFrame([(1, "a", ["x", "y"]), (2, "b", ["y", "z"]), (3, "c", ["x", "y"]), (4, "d", ["q"])], "id int, title string, genres array<string>")
     assert [r["id"] for r in content.similar_to(items, 1).collect()] == [3, 2]
     assert content.similar_to(items, F.lit(99)).count() == 0
+
+
+def test_all_movies_by_title(spark):
+    titles = {i: f"{'bBaA'[i % 4]} {i * 7 % 400:03d}" for i in range(400)}
+    df = spark.createDataFrame(list(titles.items()), "id long, title string").repartition(5)
+    got = [(r["place"], r["id"]) for r in content.by_title(df).collect()]
+    want = sorted(titles, key=lambda i: (titles[i].lower(), titles[i].swapcase(), i))
+    assert sorted(got) == list(enumerate(want, 1))
