@@ -4,14 +4,19 @@ Rules find e-mail and IP addresses, card numbers (Luhn) and phone numbers, leftm
 without overlaps within a kind. Spans come from what a pattern cuts out and what it leaves:
 running lengths of both are the places, in code points.
 
-Contexts: a candidate is a token behind a label, such as `token = "..."`: the label, its
-sign (`=` or `:`) and an opening quote are the lexical pattern, the token the instance.
-Instances that a rule accepts, or that are long hexadecimal strings, are seeds. Patterns
-and instances form a graph, scored in rounds: a pattern by the mean score of its distinct
-instances (one instance that is nothing is always added, so that few prove little), an
-instance by the chance that not all of its patterns are wrong. Tokens with a digit
-behind patterns of high score and enough distinct seeds are added as `identifier`, unless
-they touch a span that a rule has found; those stay.
+Contexts of labels: a candidate is a token behind a label, such as `token = "..."`: the
+label, its sign (`=` or `:`) and an opening quote are the lexical pattern, the token the
+instance. Contexts of words: the two words before and the two after, in the same line, are
+patterns of every token with a digit (4 characters or more) and of every rule's span.
+
+Instances that a rule accepts, or, behind a label, that are long hexadecimal strings, are
+seeds. Patterns and instances form a graph, scored in rounds: a pattern by the mean score of
+its distinct instances (one instance that is nothing is always added, so that few prove
+little), an instance by the chance that not all of its patterns are wrong. A pattern is
+accepted with a high score and enough distinct instances that are seeds or that patterns
+accepted in the round before have; so each round can accept patterns that no seed supports.
+Tokens with a digit behind accepted patterns are added as `identifier`, unless they touch a
+span that a rule has found; those stay, and so does the longer of two that touch each other.
 
 Counts in the graph are of distinct instances over all documents, pre-aggregated before
 they are dealt out.
@@ -39,7 +44,12 @@ BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_VALID = rf"^{BYTE}(?:\.{BYTE}){{3}}$"
 LABELLED = r"""(?<![\p{L}\p{N}_-])([\p{L}_][\p{L}\p{N}_-]*+)\x20?([=:])\x20?(["']?)([^\s"']{8,}+)"""
 HEX = r"^[0-9a-fA-F]{32,}$"
-#: Rounds of scoring; the score and the number of distinct seeds that a pattern needs.
+#: A token of free text that holds a digit and at least 4 characters; the words before and after it, and the characters that are searched for them.
+TOKEN = r"(?<![\p{L}\p{N}_-])(?=[\p{L}\p{N}_\-&&[^0-9]]*+[0-9])[\p{L}\p{N}][\p{L}\p{N}_-]{3,}+"
+BEFORE = r"([\p{L}]+)[^\p{L}\p{N}\n]{1,3}([\p{L}]+)[^\p{L}\p{N}\n]{1,3}$"
+AFTER = r"^[^\p{L}\p{N}\n]{1,3}([\p{L}]+)[^\p{L}\p{N}\n]{1,3}([\p{L}]+)"
+NEAR = 64
+#: Rounds of scoring; the score and the number of distinct seeds or accepted instances that a pattern needs.
 ROUNDS = 3
 ACCEPT = 0.6
 SEEDS = 3
@@ -117,36 +127,74 @@ def is_seed(token: Column) -> Column:
     return whole(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+") | token.rlike(IP_VALID) | (whole(r"[0-9-]{12,}") & luhn(token)) | hexa
 
 
+CONTEXT = "array<struct<start: int, stop: int, pattern: string, token: string, seed: boolean>>"
+
+
+def in_words(text: Column, spans: Column) -> Column:
+    """Candidates of free text: the rules' spans (start, stop, text), which are seeds, and tokens with a digit that touch none; one for each side that has two words."""
+    tokens = matches(text, TOKEN, len(KINDS))
+
+    def placed(base: Column) -> Column:
+        free = F.filter(tokens, lambda t: ~F.exists(base, lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"])))
+        own = lambda seed: lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["text"].alias("token"), F.lit(seed).alias("seed"))
+        return F.concat(F.transform(base, own(True)), F.transform(free, own(False)))
+
+    def sides(x: Column) -> Column:
+        low = F.greatest(x["start"] - NEAR, F.lit(0))
+        words = lambda part, p: F.when(part.rlike(p), F.concat_ws(" ", F.lower(F.regexp_extract(part, p, 1)), F.lower(F.regexp_extract(part, p, 2))))
+        before = F.concat(words(F.substring(text, low + 1, x["start"] - low), BEFORE), F.lit(" _"))
+        after = F.concat(F.lit("_ "), words(F.substring(text, x["stop"] + 1, F.lit(NEAR)), AFTER))
+        of = lambda p: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), p.alias("pattern"), x["token"].alias("token"), x["seed"].alias("seed"))
+        return F.filter(F.array(of(before), of(after)), lambda c: c["pattern"].isNotNull())
+
+    found = F.flatten(F.transform(F.transform(F.array(spans), placed)[0], sides))
+    return F.when(text.rlike("[0-9@]"), found).otherwise(F.array()).cast(CONTEXT)
+
+
 def scored_patterns(candidates: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score, seeds) from rows (pattern, token)."""
-    edges = candidates.groupBy("pattern", "token").agg(F.count(F.lit(1)).alias("n"))
-    edges = scratch.save(edges.select("pattern", "token", is_seed(F.col("token")).alias("seed")))
-    tokens = edges.select("token", "seed").distinct().withColumn("score", F.col("seed").cast("double"))
+    """(pattern, score, seeds, support) from rows (pattern, token) and, where a token may be a seed that does not look like one, seed."""
+    seed = F.col("seed") | is_seed(F.col("token")) if "seed" in candidates.columns else is_seed(F.col("token"))
+    edges = candidates.groupBy("pattern", "token").agg(F.max(seed).alias("seed"))
+    edges = scratch.save(edges)
+    tokens = edges.groupBy("token").agg(F.max("seed").alias("seed")).select("token", "seed", F.col("seed").cast("double").alias("score"), F.col("seed").alias("sure"))
     patterns = None
     for _ in range(rounds):
-        patterns = scratch.save(
-            edges.join(tokens.select("token", "score"), "token").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        )
-        wrong = edges.join(patterns.select("pattern", F.col("score").alias("p")), "pattern").groupBy("token").agg(F.max("seed").alias("seed"), F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))).alias("wrong"))
-        tokens = wrong.select("token", F.when(F.col("seed"), F.lit(1.0)).otherwise(1 - F.exp("wrong")).alias("score"))
+        each = edges.select("pattern", "token").join(tokens, "token").groupBy("pattern")
+        patterns = scratch.save(each.agg((F.sum("score") / (F.count(F.lit(1)) + 1)).alias("score"), F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum(F.col("sure").cast("int")).alias("support")))
+        wrong = edges.join(patterns.select("pattern", F.col("score").alias("p"), accepted().alias("accepted")), "pattern")
+        wrong = wrong.groupBy("token").agg(F.max("seed").alias("seed"), F.max("accepted").alias("accepted"), F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))).alias("wrong"))
+        tokens = wrong.select("token", "seed", F.when(F.col("seed"), F.lit(1.0)).otherwise(1 - F.exp("wrong")).alias("score"), (F.col("seed") | F.col("accepted")).alias("sure"))
     return patterns
 
 
+def accepted() -> Column:
+    return (F.col("score") >= ACCEPT) & (F.col("support") >= SEEDS)
+
+
+def apart(spans: Column) -> Column:
+    """Spans sorted by start; of those that touch each other, the one that starts first, then the longest."""
+    ordered = F.array_sort(F.array_distinct(spans), lambda x, y: F.when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(y["stop"] - x["stop"]))
+    return F.aggregate(ordered, F.array().cast(SPAN), lambda out, s: F.when((F.size(out) == 0) | (F.coalesce(F.try_element_at(out, F.lit(-1))["stop"], F.lit(0)) <= s["start"]), F.concat(out, F.array(s))).otherwise(out))
+
+
 def find_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the text, with base_spans and added_spans (columns of these names give way): start, kind, stop, text."""
     scratch = Scratch(docs.sparkSession, "pii")
-    text = F.coalesce(F.col(text_col), F.lit(""))
     rest = [c for c in docs.columns if c not in (text_col, "base_spans", "added_spans")]
+    text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(F.concat(*[rule_spans(text, k) for k in KINDS]))
-    first = scratch.save(docs.select(*rest, F.monotonically_increasing_id().alias("_row"), base.alias("base_spans"), labelled(text).alias("_labelled")))
-    each = first.where(F.size("_labelled") > 0).select("_row", "base_spans", F.explode("_labelled").alias("c")).select("_row", "base_spans", "c.*")
-    patterns = scored_patterns(each.select("pattern", "token"), scratch)
+    label = F.transform(labelled(text), lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["pattern"].alias("pattern"), c["token"].alias("token"), is_seed(c["token"]).alias("seed")))
+    found = F.transform(F.array(base), lambda b: F.struct(b.alias("base"), F.concat(label.cast(CONTEXT), in_words(text, b)).alias("contexts")))[0]
+    first = docs.select(*rest, F.monotonically_increasing_id().alias("_row"), found.alias("_found"))
+    first = scratch.save(first.select(*rest, "_row", F.col("_found.base").alias("base_spans"), F.col("_found.contexts").alias("_contexts")))
+    each = first.where(F.size("_contexts") > 0).select("_row", "base_spans", F.explode("_contexts").alias("c")).select("_row", "base_spans", "c.*")
+    patterns = scored_patterns(each.select("pattern", "token", "seed"), scratch)
     scratch.keep(first, patterns)
-    good = patterns.where((F.col("score") >= ACCEPT) & (F.col("seeds") >= SEEDS)).select("pattern")
+    good = patterns.where(accepted()).select("pattern")
     free = ~F.exists("base_spans", lambda s: (s["start"] < F.col("stop")) & (s["stop"] > F.col("start")))
     added = each.join(good, "pattern", "left_semi").where(free)
     span = F.struct(F.col("start"), F.lit(len(KINDS)).alias("kind"), F.col("stop"), F.col("token").alias("text"))
-    added = added.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("added_spans"))
+    added = added.groupBy("_row").agg(apart(F.collect_list(span).cast(SPAN)).alias("added_spans"))
     return first.join(added, "_row", "left").select(*rest, "base_spans", F.coalesce("added_spans", F.array().cast(SPAN)).alias("added_spans"))
 
 

@@ -7,6 +7,7 @@ from helpers import awkward, clashing
 from pyspark.sql import functions as F
 
 from sorrel.llm import pii
+from sorrel.llm.common import Scratch
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -70,3 +71,20 @@ def test_awkward_rows(spark):
     assert got(docs.limit(0)) == []
     twice = spark.createDataFrame([(1, "x@y.z"), (1, "x@y.z"), (1, "+1 (017) 555-7713")], "doc_id long, text string")
     assert sorted(b for _, b, _ in got(twice)) == ["email:0:5", "email:0:5", "phone:0:17"]
+
+
+def test_words_around_rule_spans_are_learned(spark):
+    rows = [(i, f"You can reach me at {w}, or so they say") for i, w in enumerate([f"user{k}@mail.example.org" for k in range(6)] + [f"+1 (017) 555-77{k}3" for k in range(6)])]
+    rows += [(100, "you can reach me at AB123456, or so they say"), (101, "he was born in the year 1999 of our age")]
+    got_ = {i: e for i, _, e in got(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got_[100] == "identifier:20:28" and got_[101] == ""
+    assert all(got_[i] == spans(t) for i, t in rows[:12])
+
+
+def test_accepted_instances_support_other_patterns(spark):
+    one = [("a =", "%040x" % (k * 7919 + 10**40), True) for k in range(40)]
+    shared = [(p, f"QZX-99{k:02d}-zz", False) for k in range(8) for p in ("a =", "b =")]
+    alone = [("b =", "QZX-5555-yy", False), ("c =", "QZX-7777-yy", False)]
+    scored = pii.scored_patterns(spark.createDataFrame(one + shared + alone, "pattern string, token string, seed boolean"), Scratch(spark, "t"))
+    rows = {r["pattern"]: r for r in scored.withColumn("ok", pii.accepted()).collect()}
+    assert rows["b ="]["seeds"] == 0 and rows["b ="]["ok"] and rows["a ="]["ok"] and not rows["c ="]["ok"]
