@@ -10,7 +10,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows that Spark puts in one Arrow batch for a Python worker; the workers cut batches further by bytes.
@@ -34,7 +35,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = getattr(checkpoint_dir, "own", None)
     if own is None:
@@ -43,6 +44,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def keeping(docs: DataFrame, names: list[str], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The columns of docs in f(docs), where f adds columns of these names: docs' own ones of these names are put aside and come back."""
+    added = {n.lower() for n in names}
+    aside = {c: unused(docs, f"_own_{k}") for k, c in enumerate(docs.columns) if c.lower() in added}
+    out = f(docs.withColumnsRenamed(aside) if aside else docs)
+    return out.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+
+
+def text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that tell texts apart; null is no empty text."""
+    return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; those that nothing reads any more are deleted, the rest when the driver ends."""
 

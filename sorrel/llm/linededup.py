@@ -1,28 +1,34 @@
 """Line dedup by a segment-partition edit join, with DataFrame functions only.
 
-A line is dropped if a line before it, in the order of (doc_id, line number), is equal to it
-or within THRESHOLD edits of it (code points inserted, deleted or replaced). The first line
-of its kind always stays. Lines under LEAST_CHARS are judged by equality only, as two edits
-make any short lines near, and only if `short_lines` is set; blank lines stay.
-
-Equal lines are found by two 64-bit hashes; the join works on distinct lines. Each is cut into THRESHOLD + 1 segments; a line
-within the threshold holds at least one of them unchanged, at a place that the two lengths
-and the segment's number bound. So each line enters its segments under (length, number,
-segment), and looks up, for each length it may match, only the substrings at those places.
-What meets is verified by a banded bit-parallel edit distance: the band of the dynamic
-programme, 2 * THRESHOLD + 1 diagonals, is one integer per column.
+A line is dropped if a line before it, in the order of (doc_id, hashes of the text, line
+number), is equal to it or within THRESHOLD edits of it (code points inserted, deleted or
+replaced). The first line of its kind always stays. Lines under LEAST_CHARS are judged by
+equality only, as two edits make any short lines near (`short_lines=False`: not at all);
+blank lines stay.
+
+Equal lines are found by two 64-bit hashes; the join works on distinct lines. Each is cut into
+THRESHOLD + 1 segments; a line within the threshold holds at least one of them unchanged, at a
+place that the two lengths and the segment's number bound. So each line enters its segments
+under (length, number, segment), and looks up, for each length it may match, only the
+substrings at those places. What meets is verified by a banded bit-parallel edit distance:
+the band of the dynamic programme, 2 * THRESHOLD + 1 diagonals, is one integer per column.
+Candidates travel by one of the hashes; the verified pairs are of lines, with both.
 
 Before that, pairs are thinned by the parities of the lines' character pairs: 64 bits, of which
 an edit changes at most four.
 
 A segment that many lines of one length share (as the variants of a much copied line do)
 would meet in all pairs. Up to HOT lines, a look-up meets each of them. For a segment with
-more, the rows of that segment alone are joined under the condition on parities, so that
-only pairs that pass leave the join.
+more, the rows of that segment alone are dealt into tiles, TILE lines that look up against
+TILE that are offered, and each pair of tiles is a join of its own under the condition on
+parities, so that no task gets a whole segment and only pairs that pass leave the join.
+Segments are counted by map-side sums; no window runs over one.
 
 Cases: a null text stays null, an empty one empty; a document whose lines all go becomes
-empty and stays as a row; rows that repeat an id share their places, so neither is before the
-other and both are judged alike; lines may be of any length; an empty table gives no rows.
+empty and stays as a row; rows are told apart by id and text, so rows that repeat an id, or
+have none, are judged each by its own text, and rows that repeat both are one document and
+judged alike; lines may be of any length; columns of any name pass through; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,14 +38,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, text_hashes, unused
 
 THRESHOLD = 2
 LEAST_CHARS = 20
 #: What a short line must hold to be judged.
 NOT_BLANK = r"(?U)\S"
-#: Lines of one length that share a segment before the pair condition moves into the join.
+#: Lines of one length that share a segment before the pair condition moves into the join, and lines in a tile of such a join.
 HOT = 16
+TILE = 2048
 #: Distinct lines in candidate pairs (8 bytes each) up to which their ids are broadcast.
 BROADCAST_IDS = 1_000_000
 
@@ -129,37 +136,67 @@ def parities(text: Column) -> Column:
     return F.transform(F.array(F.split(text, "")), of)[0]
 
 
-def places(docs: DataFrame, id_col: str, text_col: str, short_lines: bool = False) -> DataFrame:
-    """(id, at, line, h1, h2): every line that is judged, with its number and its two hashes."""
-    each = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
+#: What tells documents apart: the id and two hashes of the text.
+ROW = ["id", "t1", "t2"]
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    t1, t2 = text_hashes(F.col(text_col))
+    return [F.col(id_col).alias("id"), t1.alias("t1"), t2.alias("t2")]
+
+
+def same_row(a: DataFrame, b: DataFrame, names: list[str] = ROW) -> Column:
+    """The rows' keys are equal; null ids are equal to each other."""
+    return a[names[0]].eqNullSafe(b["id"]) & (a[names[1]] == b["t1"]) & (a[names[2]] == b["t2"])
+
+
+def places(docs: DataFrame, id_col: str, text_col: str, short_lines: bool = True) -> DataFrame:
+    """(id, t1, t2, at, line, h1, h2): every line that is judged, with its document, number and two hashes."""
+    each = docs.select(*row_key(id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
     each = each.where((F.char_length("line") >= LEAST_CHARS) | (F.lit(short_lines) & F.col("line").rlike(NOT_BLANK)))
-    return each.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), "line")})
+    h1, h2 = text_hashes(F.col("line"))
+    return each.withColumns({"h1": h1, "h2": h2})
+
+
+def _tiles(n: str) -> Column:
+    return F.ceil(F.col(n) / TILE).cast("int")
+
+
+def _meet_in_tiles(asking: DataFrame, offered: DataFrame, condition: Column) -> DataFrame:
+    """asking (key, h1, ...) and offered (key, to, ...) that share a key and meet the condition; the rows of one key are dealt into pairs of tiles."""
+    sizes = asking.groupBy("key").agg(F.count(F.lit(1)).alias("n_a")).join(offered.groupBy("key").agg(F.count(F.lit(1)).alias("n_b")), "key")
+    own = lambda c, n: F.pmod(F.xxhash64(c), _tiles(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), _tiles(n) - 1))
+    a = asking.join(sizes, "key").withColumn("i", own("h1", "n_a")).withColumn("j", every("n_b")).drop("n_a", "n_b")
+    b = offered.join(sizes, "key").withColumn("j", own("to", "n_b")).withColumn("i", every("n_a")).drop("n_a", "n_b")
+    return a.join(b, (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & condition)
 
 
 def linked_lines(lines: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): pairs of h1 of distinct lines (h1, n, line) within the threshold, a < b."""
-    w = Window.partitionBy("key")
-    index = lines.select(F.col("h1").alias("to"), F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    index = scratch.save(index.withColumn("c", F.count(F.lit(1)).over(w)).withColumn("nth", F.row_number().over(w.orderBy("to"))).where("c > 0"))
-    meet = index.where((F.col("c") <= HOT) | (F.col("nth") == 1)).select("key", F.when(F.col("c") <= HOT, F.col("to")).alias("to"))
+    """(a1, a2, b1, b2): pairs of distinct lines (h1, h2, n, line) within the threshold, once each, by both hashes."""
+    index = scratch.save(lines.select(F.col("h1").alias("to"), F.explode(segment_keys(F.col("line"), F.col("n"), threshold)).alias("key")))
+    hot = scratch.save(index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"))
+    cold = index.join(hot, "key", "left_anti").select("key", "to")
+    meet = cold.unionByName(hot.select("key", F.lit(None).cast("long").alias("to")))
     probe = lines.select("h1", F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
     met = probe.join(meet.hint("shuffle_hash"), "key").where(F.col("to").isNull() | (F.col("to") != F.col("h1")))
     met = scratch.save(met.select("h1", "to", F.when(F.col("to").isNull(), F.col("key")).alias("key")))
     pairs = met.where("to is not null").select(F.least("h1", "to").alias("a"), F.greatest("h1", "to").alias("b")).distinct()
     asking = met.where("to is null").select("key", "h1").distinct()
-    offered = index.where(F.col("c") > HOT).select("key", "to").distinct()
+    offered = index.join(hot, "key", "left_semi").select("key", "to").distinct()
     ids = reduce(DataFrame.union, [pairs.select("a"), pairs.select("b"), asking.select("h1"), offered.select("to")]).toDF("h1").distinct()
-    texts = scratch.save(_of(lines, ids).select("h1", "line", parities(F.col("line")).alias("sign")))
+    texts = scratch.save(_of(lines, ids).select("h1", "h2", "line", parities(F.col("line")).alias("sign")))
     signs = lambda name: texts.select(F.col("h1").alias(name), F.col("sign").alias(f"sign_{name}"))
     alike = lambda x, y: F.bit_count(F.col(f"sign_{x}").bitwiseXOR(F.col(f"sign_{y}"))) <= 4 * threshold
-    if offered.limit(1).count():
+    if hot.limit(1).count():
         asking, offered = asking.join(signs("h1"), "h1"), offered.join(signs("to"), "to")
-        close = asking.join(offered, (asking["key"] == offered["key"]) & alike("h1", "to") & (F.col("h1") != F.col("to")))
+        close = _meet_in_tiles(asking, offered, alike("h1", "to") & (F.col("h1") != F.col("to")))
         pairs = pairs.union(close.select(F.least("h1", "to").alias("a"), F.greatest("h1", "to").alias("b"))).distinct()
     near = pairs.join(signs("a"), "a").join(signs("b"), "b").where(alike("a", "b")).select("a", "b")
-    line = lambda name: texts.select(F.col("h1").alias(name), F.col("line").alias(f"line_{name}"))
-    both = scratch.save(near).join(line("a"), "a").join(line("b"), "b")
-    return both.where(edit_distance(F.col("line_a"), F.col("line_b"), threshold) <= threshold).select("a", "b")
+    line = lambda name: texts.select(F.col("h1").alias(name), F.col("h2").alias(f"h2_{name}"), F.col("line").alias(f"line_{name}"))
+    both = scratch.save(near.distinct()).join(line("a"), "a").join(line("b"), "b")
+    both = both.where(edit_distance(F.col("line_a"), F.col("line_b"), threshold) <= threshold)
+    return both.select(F.col("a").alias("a1"), F.col("h2_a").alias("a2"), F.col("b").alias("b1"), F.col("h2_b").alias("b2"))
 
 
 def _of(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -168,38 +205,45 @@ def _of(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(ids) if few else ids, "h1", "left_semi")
 
 
-def judged_lines(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
-    """(id, dropped, n_links): for each document with lines that have equal or near ones: the numbers of the lines to drop, and its lines' links to other distinct lines."""
+def judged_lines(docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = True) -> DataFrame:
+    """(id, t1, t2, dropped, n_links): for each document with lines that have equal or near ones: the numbers of the lines to drop, and its lines' links to other distinct lines."""
     every = places(docs, id_col, text_col, short_lines)
-    lines = every.groupBy("h1", "h2").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("line").alias("line"))
+    lines = every.groupBy("h1", "h2").agg(F.min(F.struct(*ROW, "at")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("line").alias("line"))
     lines = scratch.save(lines.withColumn("n", F.char_length("line")))
-    pairs = scratch.save(linked_lines(lines.where(F.col("n") >= LEAST_CHARS).select("h1", "n", "line"), scratch, threshold))
+    pairs = scratch.save(linked_lines(lines.where(F.col("n") >= LEAST_CHARS).select("h1", "h2", "n", "line"), scratch, threshold))
     scratch.keep(lines, pairs)
-    ends = pairs.union(pairs.select("b", "a")).toDF("h1", "other")
-    firsts = lines.select(F.col("h1").alias("other"), F.col("first").alias("near"))
-    near = ends.join(firsts, "other").groupBy("h1").agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("links"))
-    known = lines.select("h1", "h2", "first", "copies").join(near, "h1", "left").where("copies > 1 or links is not null")
+    ends = pairs.union(pairs.select("b1", "b2", "a1", "a2")).toDF("h1", "h2", "o1", "o2")
+    firsts = lines.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("first").alias("near"))
+    near = ends.join(firsts, ["o1", "o2"]).groupBy("h1", "h2").agg(F.min("near").alias("near"), F.count(F.lit(1)).alias("links"))
+    known = lines.select("h1", "h2", "first", "copies").join(near, ["h1", "h2"], "left").where("copies > 1 or links is not null")
     known = scratch.save(known.select("h1", "h2", F.least("first", "near").alias("first"), F.coalesce("links", F.lit(0)).alias("links")))
     scratch.keep(known)
     found = every.drop("line").join(known, ["h1", "h2"])
-    drop = F.when(F.struct("id", "at") > F.col("first"), F.col("at"))
-    return found.groupBy("id").agg(F.array_sort(F.collect_set(drop)).alias("dropped"), F.sum("links").alias("n_links"))
+    # a set of lines, so that rows that repeat id and text give each line once
+    line = F.struct("at", (F.struct(*ROW, "at") > F.col("first")).alias("drop"), "links")
+    marked = found.groupBy(*ROW).agg(F.collect_set(line).alias("lines"))
+    dropped = F.array_sort(F.transform(F.filter("lines", lambda x: x["drop"]), lambda x: x["at"]))
+    return marked.select(*ROW, dropped.alias("dropped"), F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["links"]).alias("n_links"))
 
 
-def line_report(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+def line_report(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = True) -> DataFrame:
     """(id, n_lines, n_dropped, n_links, dropped_lines) of each document; the text stays where it is."""
     scratch = Scratch(docs.sparkSession, "lines")
     found = judged_lines(docs, scratch, threshold, id_col, text_col, short_lines)
-    rows = docs.select(F.col(id_col), F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = rows.join(found, rows[id_col] == found["id"], "left")
+    t1, t2 = text_hashes(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("_i"), t1.alias("_t1"), t2.alias("_t2"), F.coalesce(F.size(F.split(F.col(text_col), "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    out = rows.join(found, same_row(rows, found, ["_i", "_t1", "_t2"]), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
-    return out.select(id_col, "n_lines", F.size(dropped).cast("long").alias("n_dropped"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), dropped.alias("dropped_lines"))
+    return out.select(F.col("_i").alias(id_col), "n_lines", F.size(dropped).cast("long").alias("n_dropped"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), dropped.alias("dropped_lines"))
 
 
-def drop_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+def drop_lines(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = True) -> DataFrame:
     """docs with their texts without the dropped lines."""
     scratch = Scratch(docs.sparkSession, "lines")
-    found = judged_lines(docs, scratch, threshold, id_col, text_col, short_lines).where(F.size("dropped") > 0).select(F.col("id").alias("_id"), F.col("dropped").alias("_dropped"))
-    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_dropped", i)), "\n")
-    out = docs.join(found, docs[id_col] == found["_id"], "left")
-    return out.withColumn(text_col, F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)
+    found = judged_lines(docs, scratch, threshold, id_col, text_col, short_lines).where(F.size("dropped") > 0).drop("n_links")
+    i, h1, h2, gone = (unused(docs, f"_line_{c}") for c in ("id", "t1", "t2", "dropped"))
+    found = found.select(F.col("id").alias(i), F.col("t1").alias(h1), F.col("t2").alias(h2), F.col("dropped").alias(gone))
+    t1, t2 = text_hashes(docs[text_col])
+    out = docs.join(found, docs[id_col].eqNullSafe(found[i]) & (t1 == found[h1]) & (t2 == found[h2]), "left")
+    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, k: ~F.array_contains(gone, k)), "\n")
+    return out.withColumn(text_col, F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(text)).select(*docs.columns)

@@ -43,7 +43,7 @@ def test_edit_distance(spark, threshold):
 
 
 def brute(rows, threshold):
-    """rows -> {doc: dropped lines}, links of lines."""
+    """rows -> {doc: dropped lines}, links of lines; lines under LEAST_CHARS are left alone."""
     first = {}
     for i, t in sorted(r for r in rows if r[1] is not None):
         for k, x in enumerate(t.split("\n")):
@@ -70,12 +70,12 @@ def cases(seed, variants):
 def test_brute_force(spark, seed, variants, threshold):
     rows = cases(seed, variants)
     want, near = brute(rows, threshold)
-    got = {r["doc_id"]: r for r in ld.line_report(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()}
+    got = {r["doc_id"]: r for r in ld.line_report(spark.createDataFrame(rows, "doc_id long, text string"), threshold, short_lines=False).collect()}
     for i, t in rows:
         assert got[i]["dropped_lines"] == want[i]
         assert got[i]["n_links"] == sum(len(near.get(x, [])) for x in t.split("\n"))
         assert got[i]["n_lines"] == len(t.split("\n")) and got[i]["n_dropped"] == len(want[i])
-    texts = {r["doc_id"]: r["text"] for r in ld.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), threshold).collect()}
+    texts = {r["doc_id"]: r["text"] for r in ld.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), threshold, short_lines=False).collect()}
     assert texts == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in rows}
 
 
@@ -91,9 +91,10 @@ def test_every_near_line_shares_a_key(spark):
 
 
 def test_awkward_rows(spark):
-    docs = clashing(awkward(spark), "line", "at", "h1", "dropped")
+    docs = clashing(awkward(spark), "line", "at", "h1", "dropped", "id", "t1", "t2", "_id", "_dropped", "_line_id", "_line_dropped", "first", "key")
     got = {r["doc_id"]: r["text"] for r in ld.drop_lines(docs).collect()}
     assert got[1] is None and got[2] == "" and got[3].startswith("same") and got[4] == ""
+    assert {r["_dropped"] for r in ld.drop_lines(docs).select("_dropped").collect()} == {"mine"}
     assert ld.drop_lines(docs).columns == docs.columns and ld.drop_lines(docs).count() == docs.count()
     assert ld.line_report(docs.limit(0)).count() == 0
 
@@ -119,3 +120,45 @@ def test_short_lines_brute_force(spark):
                 seen.add(x)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["dropped_lines"] for r in ld.line_report(docs, short_lines=True).collect()} == {i: sorted(w) for i, w in want.items()}
+
+
+A, B, C = ("line a of the fixture, quite unlike the rest", "the second one, which is called b here", "and one more: 12345 67890")
+
+
+def kept_lines(rows, threshold=2):
+    """Texts after the rule, by plain loops over the rows in the order of id (null first) and text; a repeated row is the row itself."""
+    left = {}
+    everything = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
+    for i, t in everything:
+        before = [x for j, u in everything if (j is not None, j or 0) < (i is not None, i or 0) for x in u.split("\n")]
+        own = []
+        for x in t.split("\n"):
+            if not any(edits(x, y) <= threshold for y in [*before, *own] if len(x) >= ld.LEAST_CHARS):
+                own.append(x)
+        left[i, t] = "\n".join(own)
+    return left
+
+
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    rows = [(1, B), (3, A), (3, B), (4, B + "\n" + C), (4, C + "!"), (4, B + "\n" + C)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in ld.drop_lines(docs).collect())
+    assert got[:3] == [(1, B), (3, ""), (3, A)]
+    assert len(got) == 6 and {t for i, t in got if i == 4} in ({C, ""}, {"", C + "!"})
+    assert {k: v for k, v in kept_lines(rows).items() if k[0] != 4} == {(1, B): B, (3, A): A, (3, B): ""}
+    report = ld.line_report(docs)
+    assert report.count() == 6 and sorted((r["doc_id"], r["n_links"]) for r in report.collect() if r["doc_id"] == 4) == [(4, 1)] * 3
+
+
+def test_rows_without_an_id_are_told_apart(spark):
+    rows = [(None, A), (None, B), (None, B), (7, A), (7, C)]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in ld.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(0, A), (0, B), (0, B), (7, ""), (7, C)])
+
+
+def test_tiles_of_a_hot_segment(spark, monkeypatch):
+    monkeypatch.setattr(ld, "TILE", 16)
+    rows = cases(6, 60)
+    want, near = brute(rows, 2)
+    got = {r["doc_id"]: r for r in ld.line_report(spark.createDataFrame(rows, "doc_id long, text string"), short_lines=False).collect()}
+    assert all(got[i]["dropped_lines"] == want[i] and got[i]["n_links"] == sum(len(near.get(x, [])) for x in t.split("\n")) for i, t in rows)
