@@ -4,15 +4,15 @@ Fingerprints: texts are lower-cased (A-Z), split into words at white space, and
 of 3 words (repeats included; all words if there are fewer) gives one XXH64; a bit of the
 fingerprint is set where over half of the hashes have it. No words: fingerprint 0.
 
-Links: two fingerprints link if they differ in at most 2 bits. They are compared by
-exclusive-or and bit counts in numpy, tile by tile. Distinct fingerprints only are
-compared, and only those that can link: with the 64 bits in m blocks, two that link agree
-in some m - 2 blocks, so each fingerprint goes to one bucket for each choice of blocks (m
-grows with the number of fingerprints, which keeps the mean bucket small). A bucket of
-more than TILE fingerprints, such as a large group of near copies makes, is cut into
-tiles by population count; a pair of tiles is compared only if their counts are within the
-radius, in a group of its own, so no task gets a whole bucket. From a bucket or pair of
-tiles come only the links of a spanning forest, never all pairs.
+Links: two fingerprints link if they differ in at most 2 bits. Distinct fingerprints are
+dealt into tiles by population count, at most TILE or so to a tile, and tile is compared with
+tile by exclusive-or and bit counts in numpy. Two tiles whose population counts differ by
+more than the radius cannot hold a link, and are skipped. Nor are two tiles compared where
+their fingerprints agree in too few blocks: with the 64 bits in m blocks, two that link agree
+in some m - 2 of them, so a tile is further divided by the bits of each choice of m - 2 blocks
+(m grows with the number of fingerprints), and only parts of equal bits meet. Each pair of
+tiles is a group of its own, whatever shares the bits, so no task gets a whole bucket. From a
+pair of tiles come only the links of a spanning forest, never all pairs.
 
 Components: each fingerprint takes the smallest label among its links, labels are
 followed to their own labels, and this repeats until nothing changes.
@@ -24,6 +24,7 @@ gets its component's; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,14 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import LOWER, borders, byte_class, ragged, roots, slices
-from .common import Scratch, annotate
+from .common import Scratch, annotate, text_hashes, unused
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
 TILE = 2048
-#: Buckets up to this size are compared pair by pair in one go over a whole batch.
-SMALL = 24
+#: Rows of a tile that are compared with another tile in one numpy call.
+STRIP = 256
 
 
 def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +76,12 @@ def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """The fingerprint of each text."""
-    hashes, runs = shingles_of(data, offsets, shingle)
-    out = np.zeros(len(offsets) - 1, np.uint64)
+    return majority(*shingles_of(data, offsets, shingle))
+
+
+def majority(hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """The bits that over half of each run of hashes have."""
+    out = np.zeros(len(runs), np.uint64)
     if not len(hashes):
         return out
     some = np.flatnonzero(runs)
@@ -123,90 +128,25 @@ def _keys(fp: Column, n: int, radius: int) -> Column:
     return F.array(*out)
 
 
-def _forest(radius: int):
-    """Rows (group, side, fp), sorted by group, to links of a spanning forest of each group. A group of side 0 is compared with itself, one of sides 1 and 2 across."""
-
-    def run(batches):
-        def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            a, b = np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
-            return a, b
-
-        def links(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            a_s, b_s = [], []
-            heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            sizes = np.diff(np.append(heads, len(group)))
-            small = np.repeat(sizes <= SMALL, sizes) & (side == 0)
-            for d in range(1, SMALL):
-                a = np.flatnonzero(small[: len(group) - d] & (group[: len(group) - d] == group[d:]))
-                if not len(a):
-                    break
-                a = a[np.bitwise_count(fp[a] ^ fp[a + d]) <= radius]
-                a_s.append(a)
-                b_s.append(a + d)
-            for h, n in zip(heads.tolist(), sizes.tolist(), strict=True):
-                if small[h]:
-                    continue
-                left = np.arange(h, h + n)[side[h : h + n] < 2]
-                right = left if side[h] == 0 else np.arange(h, h + n)[side[h : h + n] == 2]
-                for s in range(0, len(left), 256):
-                    a, b = near(fp[left[s : s + 256]], fp[right])
-                    a, b = left[s + a], right[b]
-                    if side[h] == 0:
-                        a, b = a[a < b], b[a < b]
-                    root = roots(len(group), a, b) if len(a) > 4 * n else None  # thin dense blocks at once
-                    if root is not None:
-                        own = np.flatnonzero(root != np.arange(len(group)))
-                        a, b = own, root[own]
-                    a_s.append(a)
-                    b_s.append(b)
-            if not a_s:
-                return fp[:0], fp[:0]
-            root = roots(len(group), np.concatenate(a_s), np.concatenate(b_s))
-            own = np.flatnonzero(root != np.arange(len(group)))
-            return fp[own], fp[root[own]]
-
-        held: list[np.ndarray] = []
-
-        def out(rows: list[np.ndarray]):
-            group, side, fp = (np.concatenate(x) for x in zip(*rows, strict=True))
-            a, b = links(group, side, fp)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group = batch.column(0).to_numpy(zero_copy_only=False)
-            side = batch.column(1).to_numpy(zero_copy_only=False)
-            fp = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-            cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
-            if cut:
-                yield out([*held, (group[:cut], side[:cut], fp[:cut])])
-                held = []
-            held.append((group[cut:], side[cut:], fp[cut:]))
-        if held:
-            yield out(held)
+def tile_pairs(rows: DataFrame, by: list[str], fp: str, radius: int, tile: int = TILE) -> DataFrame:
+    """rows with `g`, a group for each pair of tiles that is to be compared, and `side`: 0 for a tile with itself, else 1 and 2.
 
-    return run
-
-
-def links(fps: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """(a, b): links that connect what distinct fingerprints within the radius connect; n: about how many there are."""
-    keyed = fps.select("fp", F.bit_count("fp").alias("ones"), F.explode(_keys(F.col("fp"), n, radius)).alias("key")).select("fp", "ones", "key.k", "key.bits")
-    # per bucket: fingerprints by population count, and into how many tiles each count is cut
-    counts = keyed.groupBy("k", "bits", "ones").agg(F.count(F.lit(1)).alias("n"))
-    buckets = counts.groupBy("k", "bits").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("ones", F.ceil(F.col("n") / tile).cast("int")))).alias("cut")).where("n > 1")
-    placed = keyed.join(buckets, ["k", "bits"])
-    whole = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("i"), F.lit(-1).alias("q"), F.lit(0).alias("j"), F.lit(0).alias("side")))
-    own = F.pmod(F.xxhash64("fp"), F.element_at("cut", F.col("ones"))).cast("int")
+    Within each `by`, tiles are of one population count, cut further where more than `tile` rows
+    have it. A tile meets itself and those whose count is at most the radius away. Rows that
+    nothing can meet are gone."""
+    ones = rows.withColumn("_ones", F.bit_count(fp))
+    counts = ones.groupBy(*by, "_ones").agg(F.count(F.lit(1)).alias("n"))
+    cuts = counts.groupBy(*by).agg(F.sum("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_ones", F.ceil(F.col("n") / tile).cast("int")))).alias("_cut")).where("_n > 1")
+    placed = ones.join(cuts, by)
+    own = F.pmod(F.xxhash64(fp), F.element_at("_cut", F.col("_ones"))).cast("int")
 
     def pairs(d: int) -> Column:
         """The pairs of this tile with those of the count that is d higher; none if there are no such."""
-        ones = F.col("ones")
-        n_q = F.coalesce(F.try_element_at("cut", ones + d), F.lit(0))
+        n_q = F.coalesce(F.try_element_at("_cut", F.col("_ones") + d), F.lit(0))
         tiles = F.when(n_q > 0, F.sequence(F.lit(0), n_q - 1)).otherwise(F.array().cast("array<int>"))
 
         def pair(j: Column) -> Column:
-            here, there = (ones, own), (ones + d, j)
+            here, there = (F.col("_ones"), own), (F.col("_ones") + d, j)
             same = F.lit(d == 0) & (own == j)
             first = F.lit(d > 0) | (F.lit(d == 0) & (own <= j))
             low = [F.when(first, x).otherwise(y) for x, y in zip(here, there, strict=True)]
@@ -217,10 +157,90 @@ def links(fps: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> Dat
         return F.transform(tiles, pair)
 
     every = F.concat(*[pairs(d) for d in range(-radius, radius + 1)])
-    placed = placed.select("k", "bits", "fp", F.explode(F.when(F.col("n") <= tile, whole).otherwise(every)).alias("t"))
-    grouped = placed.select(F.xxhash64("k", "bits", "t.p", "t.i", "t.q", "t.j").alias("g"), F.col("t.side").alias("side"), "fp")
-    grouped = grouped.repartition("g").sortWithinPartitions("g", "side", "fp")
-    return grouped.mapInArrow(_forest(radius), "a long, b long").distinct()
+    group = F.xxhash64(*by, "_t.p", "_t.i", "_t.q", "_t.j")
+    return placed.withColumn("_t", F.explode(every)).select(*rows.columns, group.alias("g"), F.col("_t.side").alias("side"))
+
+
+def within(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places in x and y whose fingerprints differ in at most `radius` bits."""
+    return np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
+
+
+def compare_tiles(side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows (a, b) of one group that are within the radius, a strip of the left tile at a time."""
+    left = np.flatnonzero(side < 2)
+    right = left if not side.any() else np.flatnonzero(side == 2)
+    for s in range(0, len(left), STRIP):
+        a, b = within(fp[left[s : s + STRIP]], fp[right], radius)
+        a, b = left[s + a], right[b]
+        yield (a, b) if side.any() else (a[a < b], b[a < b])
+
+
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of each group of rows that are sorted by their first column; a group may span batches."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        heads = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))
+        ends = np.append(heads[1:], batch.num_rows)
+        for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
+            if held and held[-1][0][0] != columns[0][a]:
+                yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                held = []
+            held.append([c[a:b] for c in columns])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _forest(radius: int):
+    """Rows (group, side, fp), sorted by group, to links of a spanning forest of each group."""
+
+    def links(side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(fp)
+        a_s, b_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in compare_tiles(side, fp, radius):
+            if len(a) > 4 * n:  # a dense strip is thinned at once
+                root = roots(n, a, b)
+                a = np.flatnonzero(root != np.arange(n))
+                b = root[a]
+            a_s.append(a)
+            b_s.append(b)
+        root = roots(n, np.concatenate(a_s), np.concatenate(b_s))
+        own = np.flatnonzero(root != np.arange(n))
+        return fp[own], fp[root[own]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a_s, b_s, size = [], [], 0
+        for _, side, fp in grouped(batches):
+            a, b = links(side, fp.view(np.uint64))
+            a_s.append(a)
+            b_s.append(b)
+            size += len(a)
+            if size > OUT_ROWS:
+                yield _pairs(a_s, b_s)
+                a_s, b_s, size = [], [], 0
+        if a_s:
+            yield _pairs(a_s, b_s)
+
+    return run
+
+
+#: Links that a worker gathers before they leave it.
+OUT_ROWS = 10_000
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
+
+
+def links(fps: DataFrame, n: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """(a, b): links that connect what distinct fingerprints within the radius connect; n: about how many there are."""
+    keyed = fps.select("fp", F.explode(_keys(F.col("fp"), n, radius)).alias("key")).select("fp", "key.k", "key.bits")
+    tiles = tile_pairs(keyed, ["k", "bits"], "fp", radius, tile).select("g", "side", "fp")
+    tiles = tiles.repartition("g").sortWithinPartitions("g", "side", "fp")
+    return tiles.mapInArrow(_forest(radius), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, *needed: DataFrame) -> DataFrame:
@@ -257,13 +277,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BROADCAST_IDS = 1_000_000
 
 
+def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _h1, _h2, _text): the id and two hashes of the text, which tell rows apart, and the text."""
+    text = F.col(text_col)
+    h1, h2 = text_hashes(text)
+    return docs.select(F.col(id_col).alias("_id"), h1.alias("_h1"), h2.alias("_h2"), text.alias("_text"))
+
+
+ROW = ["_id", "_h1", "_h2"]
+
+
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with the rows that are `least` in found (_id, _h1, _h2, least: a struct of these three), once each.
+
+    found is a saved table. Rows go by id and text, not by id, so that rows which repeat an id
+    or have none are judged each by its own text. Of rows that repeat both, one stays."""
+    names = [unused(docs, c) for c in ("_id", "_h1", "_h2")]
+    is_least = F.struct(*ROW).eqNullSafe(F.col("least"))
+    gone = found.where(~is_least).select(*ROW).distinct().toDF(*names)
+    few = gone.count() <= BROADCAST_IDS
+
+    def same(df: DataFrame, other: DataFrame) -> Column:
+        h1, h2 = text_hashes(df[text_col])
+        return df[id_col].eqNullSafe(other[names[0]]) & (h1 == other[names[1]]) & (h2 == other[names[2]])
+
+    one = docs.join(F.broadcast(gone) if few else gone, same(docs, gone), "left_anti")
+    repeats = found.where(is_least).groupBy(*ROW).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*ROW).toDF(*names)
+    some = repeats.count()
+    if not some:
+        return one
+    repeats = F.broadcast(repeats) if some <= BROADCAST_IDS else repeats
+    again = one.join(repeats, same(one, repeats), "left_semi").dropDuplicates([id_col, text_col])
+    return one.join(repeats, same(one, repeats), "left_anti").unionByName(again)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document, that of the smallest id, of each component. Rows that repeat an id count as one more copy each, and rows without an id as one document."""
+    """docs with one document, the least by id and hashes of its text, of each component."""
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.save(near_duplicates(docs, id_col, text_col, scratch).select(F.col(id_col).alias("_id"), "component"))
+    rows = rows_of(docs, id_col, text_col).select(F.struct(*ROW).alias("row"), F.col("_text").alias("text"))
+    found = near_duplicates(rows, "row", "text", scratch)
+    found = scratch.save(found.select("row.*", F.col("component").alias("least")))
     scratch.keep(found)
-    gone = found.where(~F.col("_id").eqNullSafe(F.col("component"))).select("_id").distinct()
-    few = gone.count() <= BROADCAST_IDS
-    one = docs.join(F.broadcast(gone) if few else gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
-    repeats = found.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    return one.dropDuplicates([id_col]) if repeats else one
+    return keep_least(docs, found, id_col, text_col)

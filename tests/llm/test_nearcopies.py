@@ -85,3 +85,23 @@ def test_links_honour_their_radius(spark):
         labels = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, len(fps), radius), Scratch(spark, "t")).collect()}
         want = groups(fps, radius)
         assert {(labels.get(signed(f), signed(f)) == labels.get(signed(g), signed(g))) == (want[f] == want[g]) for f in fps for g in fps} == {True}
+
+
+def test_a_phrase_that_many_unlike_texts_share(spark, monkeypatch):
+    """Its bucket is compared in tiles, and only the copies in it link."""
+    monkeypatch.setattr(nearcopies, "TILE", 16)
+    rnd = random.Random(8)
+    word = lambda: f"w{rnd.randrange(9000)}"
+    phrase = " ".join(f"p{k}" for k in range(30))
+    texts = [f"{phrase} {' '.join(word() for _ in range(20))}" for _ in range(150)]
+    texts += [t.rsplit(" ", 1)[0] + " other" for t in texts[::10]]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in nearcopies.keep_one(docs).collect()) == kept(rows)
+
+
+def test_rows_that_repeat_an_id_and_rows_without_one(spark):
+    a, b, c, d = (f"{x} text whose words are its own and which goes on {x} for a while {x}" for x in "abcd")
+    docs = spark.createDataFrame([(1, a), (3, a), (3, b), (4, c), (4, d), (None, a), (None, c), (None, c)], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in nearcopies.keep_one(clashing(docs, "_id", "_h1", "_text", "h", "g", "side")).collect()))
+    assert got == sorted([(0, a), (3, b), (0, c), (4, d)])

@@ -112,3 +112,15 @@ def test_many_copies(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "one text that many rows share").otherwise(F.concat(F.lit("other "), F.col("id").cast("string"))).alias("text"))
     found = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(docs).collect()}
     assert all(found[i] == 0 for i in range(0, 500, 3))
+
+
+def test_rows_that_repeat_an_id_are_told_apart(spark):
+    a, b, c, d = ("words of the first text here", "a second one that is not like it", "third text, with its own content", "and the fourth: again something else")
+    docs = spark.createDataFrame([(1, a), (3, a), (3, b), (4, c), (4, d), (None, a), (None, c), (None, "no id and alone"), (9, "no id and alone")], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(clashing(docs, "_id", "_h1", "least", "fp")).collect()))
+    assert got == sorted([(0, a), (3, b), (0, c), (4, d), (0, "no id and alone")])
+
+
+def test_rows_that_repeat_id_and_text_stay_once(spark):
+    docs = spark.createDataFrame([(1, "one text of some words")] * 5 + [(None, None)] * 3 + [(2, "")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(docs).collect()) == [(0, None), (1, "one text of some words")]
