@@ -130,7 +130,7 @@ class Codec:
 
     def reset(self) -> None:
         """Forget the known words: their ids lie end to end in `flat`."""
-        self.lookup.known.clear()
+        self.lookup.clear()
         self.flat, self.used = np.empty(1 << 20, np.uint32), 0
         self.at = np.zeros(1 << 18, np.int64)  # where a word's ids start
         self.size = np.zeros(1 << 18, np.int64)

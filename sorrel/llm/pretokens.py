@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+
 import numpy as np
 import regex
 
-from .arrays import span_hashes
+from .arrays import span_hashes, spread
 
 #: The word split of byte-level vocabularies (a fixed, public pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -134,49 +135,94 @@ class Splitter:
 
 
 class Known:
-    """A bounded table from 64-bit keys of words to integers, in sorted arrays."""
+    """A bounded table from words, as runs of code points, to integers. Words are found by a 64-bit key and confirmed by their characters."""
 
     def __init__(self, limit: int):
         self.limit = limit
         self.clear()
 
     def clear(self) -> None:
-        self.sides = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2  # many, and the latest few
+        none = np.zeros(0, np.int64)
+        self.sides = [(np.zeros(0, np.uint64), none)] * 2  # keys and entries: many, and the latest few
+        self.chars, self.used, self.n = np.empty(1 << 16, np.uint32), 0, 0
+        self.at, self.size, self.value = (np.empty(1 << 12, np.int64) for _ in range(3))
 
-    def __len__(self) -> int:
-        return sum(len(k) for k, _ in self.sides)
+    def full(self) -> bool:
+        """More words than the limit, or more than 16 characters a word on average."""
+        return self.n > self.limit or self.used > 16 * self.limit
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The value of each key; -1 for an unknown one."""
-        out = np.full(len(keys), -1, np.int64)
-        for have, values in self.sides:
+    def find(self, keys: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value of each word, -1 for an unknown one; whether its key is taken, by itself or another word)."""
+        entry = np.full(len(keys), -1, np.int64)
+        for have, entries in self.sides:
             if len(have):
-                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-                hit = have[at] == keys
-                out[hit] = values[at[hit]]
-        return out
-
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """keys: none of them known."""
-        (many, mv), (few, fv) = self.sides
-        few, fv = np.concatenate((few, keys)), np.concatenate((fv, values))
+                place = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                hit = have[place] == keys
+                entry[hit] = entries[place[hit]]
+        taken = entry >= 0
+        which = np.flatnonzero(taken)
+        same = same_spans(text, starts[which], sizes[which], self.chars, self.at[entry[which]], self.size[entry[which]])
+        out = np.full(len(keys), -1, np.int64)
+        out[which[same]] = self.value[entry[which[same]]]
+        return out, taken
+
+    def add(self, keys: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> None:
+        """keys: none of them taken."""
+        total, n = int(sizes.sum()), len(keys)
+        self.chars = _grown(self.chars, self.used + total)
+        self.at, self.size, self.value = (_grown(x, self.n + n) for x in (self.at, self.size, self.value))
+        self.chars[self.used : self.used + total] = text[spread(starts, sizes)]
+        own = np.arange(self.n, self.n + n)
+        self.at[own], self.size[own], self.value[own] = self.used + np.cumsum(sizes) - sizes, sizes, values
+        self.used, self.n = self.used + total, self.n + n
+        (many, me), (few, fe) = self.sides
+        few, fe = np.concatenate((few, keys)), np.concatenate((fe, own))
         if len(few) > 50_000:
-            many, mv, few, fv = np.concatenate((many, few)), np.concatenate((mv, fv)), few[:0], fv[:0]
+            many, me, few, fe = np.concatenate((many, few)), np.concatenate((me, fe)), few[:0], fe[:0]
             order = np.argsort(many)
-            many, mv = many[order], mv[order]
+            many, me = many[order], me[order]
         order = np.argsort(few)
-        self.sides = [(many, mv), (few[order], fv[order])]
+        self.sides = [(many, me), (few[order], fe[order])]
+
+
+def _grown(x: np.ndarray, least: int) -> np.ndarray:
+    """x, or a longer copy with room for `least` entries."""
+    if least <= len(x):
+        return x
+    out = np.empty(max(least, 2 * len(x)), x.dtype)
+    out[: len(x)] = x
+    return out
+
+
+def same_spans(x: np.ndarray, x_at: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_at: np.ndarray, y_size: np.ndarray) -> np.ndarray:
+    """Whether each span of x has the same units as the span of y beside it."""
+    same = x_size == y_size
+    which = np.flatnonzero(same & (x_size > 0))
+    if len(which):
+        size = x_size[which]
+        differ = x[spread(x_at[which], size)] != y[spread(y_at[which], size)]
+        if differ.any():
+            same[which] = np.add.reduceat(differ, np.cumsum(size) - size, dtype=np.int64) == 0
+    return same
 
 
 class Lookup:
-    """Texts to the values of their pre-tokens. Each distinct pre-token of a slice is looked
-    up once, by a 64-bit hash of its characters and length; make() gets the unknown ones."""
+    """Texts to the values of their pre-tokens. Each distinct pre-token of a slice is looked up once;
+    make() gets the unknown ones.
+
+    Equal pre-tokens are found by a 64-bit hash and compared by their characters. Those that share
+    the hash of another one get their values from make() each time, by themselves."""
 
     def __init__(self, special: list[str], limit: int):
         self.splitter, self.known = Splitter(special), Known(limit)
+        self.alone = 0
 
     def full(self) -> bool:
-        return len(self.known) > self.known.limit
+        return self.known.full() or self.alone > self.known.limit
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.alone = 0
 
     def values(self, texts: list[str | None], make) -> tuple[np.ndarray, np.ndarray]:
         """(value of every pre-token, offsets by text)."""
@@ -197,13 +243,28 @@ class Lookup:
 
     def _values(self, parts: list[str], special: list[int], make) -> tuple[np.ndarray, np.ndarray]:
         text, starts, offsets = self.splitter.starts(parts, special)
-        ends = np.append(starts[1:], len(text))
-        keys, first, inverse = np.unique(span_hashes(text, starts, ends), return_index=True, return_inverse=True)
-        values = self.known.find(keys)
+        sizes = np.diff(np.append(starts, len(text)))
+        keys, first, inverse = np.unique(span_hashes(text, starts, starts + sizes), return_index=True, return_inverse=True)
+        rep = first[inverse]
+        # pre-tokens tile the text, so those of one key are compared in one go
+        if (sizes == sizes[rep]).all() and (text == text[spread(starts[rep], sizes)]).all():
+            own = rep[:0]
+        else:
+            own = np.flatnonzero(~same_spans(text, starts, sizes, text, starts[rep], sizes[rep]))  # not what their key stands for
+        values, taken = self.known.find(keys, text, starts[first], sizes[first])
+        joined = text.tobytes()
+
+        def words(at: np.ndarray) -> list[str]:
+            return [joined[4 * i : 4 * (i + n)].decode("utf-32-le", "surrogatepass") for i, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)]
+
         new = np.flatnonzero(values < 0)
         if len(new):
-            s, e = starts[first[new]], ends[first[new]]
-            joined = text.tobytes()
-            values[new] = make([joined[4 * i : 4 * j].decode("utf-32-le") for i, j in zip(s.tolist(), e.tolist(), strict=True)])
-            self.known.add(keys[new], values[new])
-        return values[inverse], np.diff(np.searchsorted(starts, offsets))
+            values[new] = make(words(first[new]))
+            fresh = new[~taken[new]]
+            self.known.add(keys[fresh], text, starts[first[fresh]], sizes[first[fresh]], values[fresh])
+            self.alone += len(new) - len(fresh)
+        out = values[inverse]
+        if len(own):
+            out[own] = make(words(own))
+            self.alone += len(own)
+        return out, np.diff(np.searchsorted(starts, offsets))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +9,14 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, table
 
-#: Folder of public vocabulary files, the same on every machine.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 
 
 def vocabulary_path() -> str:
-    return os.path.join(TOKENIZERS, VOCABULARY)
+    """Where the package of public vocabularies has the file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
 
 
 def op1_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

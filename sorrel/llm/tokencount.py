@@ -145,7 +145,7 @@ class Counter:
 
     def count(self, texts: list[str | None]) -> np.ndarray:
         if self.lookup.full():
-            self.lookup.known.clear()
+            self.lookup.clear()
         values, offsets = self.lookup.values(texts, self._make)
         upto = np.concatenate(([0], np.cumsum(values)))
         return np.diff(upto[offsets])

@@ -60,6 +60,37 @@ def test_long_texts_are_cut_where_no_word_spans(monkeypatch):
     assert offsets.tolist() == [0, len(whole), len(whole), len(whole), 2 * len(whole)]
 
 
+def thue_morse(n, letters="th"):
+    """Words of which one and its complement share every polynomial hash modulo 2**64 from 1,024 letters on."""
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_that_share_a_hash(library, n):
+    a, b = thue_morse(n), thue_morse(n, "ht")
+    for texts in ([a, b], [f"x {a} {b} {a}"], [b], [f"{b} {a}\n", a]):
+        codec, counter = bpe.codec(vocabulary_path()), tokencount.counter(vocabulary_path())
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, offsets = codec.encode_all(texts)
+        assert [ids[s:e].tolist() for s, e in zip(offsets, offsets[1:], strict=False)] == want
+        assert counter.count(texts).tolist() == [len(w) for w in want]
+        assert [codec.decode(ids[s:e]).decode() for s, e in zip(offsets, offsets[1:], strict=False)] == texts
+
+
+@pytest.mark.parametrize("distinct", [1, 7])
+def test_any_hash_will_do(library, monkeypatch, distinct):
+    """With a hash of a few values only, results stay the same: words are told apart by their characters."""
+    monkeypatch.setattr(pretokens, "span_hashes", lambda text, starts, ends: (text[starts].astype(np.uint64) * np.uint64(31) + (ends - starts).astype(np.uint64)) % np.uint64(distinct))
+    rng = np.random.default_rng(5)
+    codec, counter = bpe.Codec(vocabulary_path()), tokencount.Counter(vocabulary_path())
+    for _ in range(5):
+        texts = [" ".join("".join(rng.choice(list("abcé中"), rng.integers(1, 6))) for _ in range(rng.integers(0, 40))) for _ in range(20)]
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        ids, offsets = codec.encode_all(texts)
+        assert [ids[s:e].tolist() for s, e in zip(offsets, offsets[1:], strict=False)] == want
+        assert counter.count(texts).tolist() == [len(w) for w in want]
+
+
 def test_awkward_rows(spark, library):
     docs = awkward(spark)
     rows = docs.collect()
