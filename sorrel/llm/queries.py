@@ -100,7 +100,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
     kinds = F.transform("base_spans", lambda s: s["kind"])
     counts = [F.size(F.filter(kinds, F.lit(i).__eq__)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.concat("base_spans", "added_spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.concat("base_spans", "added_spans")).alias("spans"), F.size("added_spans").cast("long").alias("n_added"), (F.size("base_spans") + F.size("added_spans") > 0).alias("has_personal"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -65,7 +65,7 @@ def test_no_seeds_add_nothing(spark):
 
 
 def test_awkward_rows(spark):
-    docs = clashing(awkward(spark), "base_spans", "pattern", "token", "score", "start")
+    docs = clashing(awkward(spark), "base_spans", "pattern", "token", "score", "start", "row", "_row", "_found", "_contexts", "free")
     rows = got(docs)
     assert len(rows) == docs.count() and all(b == e == "" for _, b, e in rows)
     assert got(docs.limit(0)) == []
@@ -88,3 +88,64 @@ def test_accepted_instances_support_other_patterns(spark):
     scored = pii.scored_patterns(spark.createDataFrame(one + shared + alone, "pattern string, token string, seed boolean"), Scratch(spark, "t"))
     rows = {r["pattern"]: r for r in scored.withColumn("ok", pii.accepted()).collect()}
     assert rows["b ="]["seeds"] == 0 and rows["b ="]["ok"] and rows["a ="]["ok"] and not rows["c ="]["ok"]
+
+
+def test_phones_are_seeds_behind_labels_and_short_tokens_are_found(spark):
+    rows = [(i, f"word tel: +1 (017) 555-77{i}3 word") for i in range(6)] + [(10 + i, f"word tel: +4917755577{i}3 word") for i in range(4)]
+    rows += [(100, "word tel: 0177-55 word"), (101, "word tel: none-yet word"), (102, "word fax: 0177-55 word")]
+    every = {i: e for i, _, e in got(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert every[100] == "identifier:10:17" and every[101] == "identifier:10:18" and every[102] == ""
+    assert all(every[i] == spans(t) for i, t in rows[:10])
+
+
+def test_texts_of_very_many_spans(spark):
+    line = "10.0.{}.{} 2024-01-02 user{}@mail.example.org +1 (017) 555-7{:03d}\n"
+    text = "".join(line.format(k % 250, k // 250, k, k % 1000) for k in range(2_000))
+    rows = [(1, text), (2, "10.0.0.1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {i: b for i, b, _ in got(df)} == {1: spans(text), 2: "ip:0:8"}
+
+
+def planted(seed):
+    """Documents in invented words with identifiers of each kind in frames of their own, as data entry leaves them: most by the rules, some in forms that no rule accepts."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("bcdfglmnprstv") + rnd.choice("aeiou") for _ in range(rnd.randint(1, 4)))
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = digits(15)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    forms = {
+        "email": ("please write to {} before the end", lambda: f"{word()}.{digits(3)}@{word()}.example.org", lambda: f"{word()}.{digits(3)}(at){word()}.org"),
+        "ip": ("the client host was {} when it failed", lambda: ".".join(str(rnd.randrange(256)) for _ in range(4)), lambda: f"fe80-{digits(4)}-{digits(4)}"),
+        "card": ("was paid with card {} on that day", card, lambda: f"{digits(6)}-xxxx-{digits(4)}"),
+        "phone": ("or call us at {} during the week", lambda: f"+{digits(2)} {digits(3)} {digits(3)}-{digits(4)}", lambda: f"0{digits(3)}-{digits(6)}"),
+    }
+    rows, want = [], {}
+    for i in range(600):
+        kind = list(forms)[i % 4]
+        frame, normal, odd = forms[kind]
+        unseen = i % 5 == 0
+        value = odd() if unseen else normal()
+        before = " ".join(word() for _ in range(20))
+        text = f"{before}. {frame.format(value)} {' '.join(word() for _ in range(20))} {digits(4)} {word()} {word()}"
+        at = text.index(value)
+        rows.append((i, text))
+        want[i] = (kind, unseen, at, at + len(value))
+    return rows, want
+
+
+def test_recall_by_kind_on_planted_rows(spark):
+    """Nine in ten of the planted identifiers of every kind are covered, of rule forms and of forms that only contexts know; one clean number in a hundred at most is not left alone."""
+    rows, want = planted(4)
+    caught, wrong, extra = {}, {}, 0
+    for i, _, every in got(spark.createDataFrame(rows, "doc_id long, text string")):
+        kind, unseen, a, b = want[i]
+        found = [tuple(map(int, x.split(":")[1:])) for x in every.split(",") if x]
+        hit = any(s < b and e > a for s, e in found)
+        caught.setdefault((kind, unseen), []).append(hit)
+        extra += any(s >= b or e <= a for s, e in found)
+    recall = {k: sum(v) / len(v) for k, v in caught.items()}
+    print(recall, extra)
+    assert min(recall.values()) >= 0.9 and extra <= 6
