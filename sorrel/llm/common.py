@@ -44,6 +44,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder by Spark's file systems, if the driver still runs."""
+    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as it takes to be no column of df."""
     taken = {c.lower() for c in df.columns}
@@ -84,20 +91,16 @@ class Scratch:
         self.made.append((out, path))
         return out
 
-    def _delete(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
     def keep(self, *tables: DataFrame) -> None:
         """Delete all tables but these."""
         for out, path in self.made:
             if not any(out is t for t in tables):
-                self._delete(path)
+                delete(self.spark, path)
         self.made = [(out, path) for out, path in self.made if any(out is t for t in tables)]
 
     def _end(self) -> None:
-        if self.made and self.spark.sparkContext._jsc is not None and not self.spark.sparkContext._jsc.sc().isStopped():
-            self._delete(self.base)
+        if self.made:
+            delete(self.spark, self.base)
 
 
 def annotate(

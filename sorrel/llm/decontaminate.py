@@ -32,15 +32,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrays import LOWER, borders, byte_class, mix, ragged, slices, span_hashes, spread
-from .common import annotate
+from .common import annotate, unused
 
 WINDOW = 13
 BLOCK = 3
-#: Benchmark bytes whose tables are broadcast at once.
-MAX_BYTES = 16 << 20
+#: Benchmark bytes whose tables are broadcast at once. Each 13-word window keeps its words' hashes (104 bytes), its text and its
+#: owners, some 500 bytes for each 6 of text: about 80 times the text, in the driver and in each worker.
+MAX_BYTES = 4 << 20
 STRETCH = 512
+#: Columns that find_items adds.
+ADDED = ["n_words", "n_hit", "hit_ranges", "item_ids", "contaminated"]
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -190,7 +194,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     ]
     docs = docs.drop(*{"contaminated", *(f.name for f in fields)})
     at = docs.columns.index(text_col)
-    arrow_item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type.simpleString()]
+    arrow_item = to_arrow_type(item_type)
 
     def one_pass(k: int) -> DataFrame:
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(passes)) == k)
@@ -226,16 +230,18 @@ def _merged(docs: DataFrame, found: list[DataFrame], passes: int) -> DataFrame:
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    every = every.groupBy(*docs.columns).agg(
+    own, results = unused(docs, "_own"), ["n_words", "n_hit", "hit_ranges", "item_ids"]
+    every = every.select(F.struct(*docs.columns).alias(own), *results)
+    every = every.groupBy(own).agg(
         F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_ranges")))).alias("all"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_ranges")))).alias("ranges"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
         (F.count(F.lit(1)) / passes).cast("int").alias("copies"),
     )
     joined = F.aggregate(
-        "all",
+        "ranges",
         F.expr("cast(array() as array<struct<start: bigint, stop: bigint>>)"),
         lambda done, r: F.when((F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= r["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["stop"], r["stop"]).alias("stop"))))).otherwise(F.concat(done, F.array(r))),
     )
     every = every.withColumn("hit_ranges", joined).withColumn("n_hit", F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda n, r: n + r["stop"] - r["start"]))
-    return every.select("*", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(*docs.columns, "n_words", "n_hit", "hit_ranges", "item_ids")
+    return every.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(f"{own}.*", *results)
