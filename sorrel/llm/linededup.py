@@ -67,19 +67,28 @@ def segment_keys(text: Column, n: Column, threshold: int) -> Column:
     return F.array(*[_key(n, i, text, *_segment(n, i, threshold + 1)) for i in range(threshold + 1)])
 
 
-def probe_keys(text: Column, n: Column, threshold: int) -> Column:
-    """What a line looks up: keys of the substrings that a segment of an equally long or shorter line may equal."""
+def probe_steps(threshold: int) -> list[tuple[int, int, int]]:
+    """(how much shorter the other line is, its segment, how far that lies from the same place in the own line) of everything that is looked up."""
     out = []
     for shorter in range(threshold + 1):
-        length = n - shorter
         for i in range(threshold + 1):
-            start, size = _segment(length, i, threshold + 1)
             low = max(-i, shorter - (threshold - i))
             high = min(i, shorter + (threshold - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                out.append(F.when((at >= 0) & (at + size <= n) & (length > threshold), _key(length, i, text, at, size)))
-    return F.array_compact(F.array(*out))
+            out += [(shorter, i, shift) for shift in range(low, high + 1)]
+    return out
+
+
+def probe_keys(lines: DataFrame, threshold: int) -> DataFrame:
+    """(h1, key) from lines (h1, n, line): what a line looks up: keys of the substrings that a segment of an equally long or shorter line may equal.
+
+    The places are rows of a small constant array, so that the generated code holds one of them and stays small enough to be compiled."""
+    k = threshold + 1
+    steps = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(step, ("shorter", "i", "shift"), strict=True)]) for step in probe_steps(threshold)])
+    each = lines.select("h1", "n", "line", F.explode(steps).alias("p")).select("h1", "n", "line", (F.col("n") - F.col("p.shorter")).alias("length"), "p.i", "p.shift")
+    each = each.where(F.col("length") > threshold).withColumns({"least": F.expr(f"int(length div {k})"), "short": F.expr(f"{k} - length % {k}")})
+    each = each.withColumns({"at": F.col("least") * F.col("i") + F.greatest(F.col("i") - F.col("short"), F.lit(0)) + F.col("shift"), "size": F.col("least") + (F.col("i") >= F.col("short")).cast("int")})
+    each = each.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
+    return each.select("h1", F.xxhash64("length", "i", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"))
 
 
 def edit_distance(a: Column, b: Column, threshold: int) -> Column:
@@ -178,8 +187,7 @@ def linked_lines(lines: DataFrame, scratch: Scratch, threshold: int = THRESHOLD)
     hot = scratch.save(index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("key"))
     cold = index.join(hot, "key", "left_anti").select("key", "to")
     meet = cold.unionByName(hot.select("key", F.lit(None).cast("long").alias("to")))
-    probe = lines.select("h1", F.explode(probe_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    met = probe.join(meet.hint("shuffle_hash"), "key").where(F.col("to").isNull() | (F.col("to") != F.col("h1")))
+    met = probe_keys(lines, threshold).join(meet.hint("shuffle_hash"), "key").where(F.col("to").isNull() | (F.col("to") != F.col("h1")))
     met = scratch.save(met.select("h1", "to", F.when(F.col("to").isNull(), F.col("key")).alias("key")))
     pairs = met.where("to is not null").select(F.least("h1", "to").alias("a"), F.greatest("h1", "to").alias("b")).distinct()
     asking = met.where("to is null").select("key", "h1").distinct()

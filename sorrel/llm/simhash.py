@@ -5,9 +5,9 @@ of 3 words (repeats included; all words if there are fewer) gives one XXH64; a b
 fingerprint is set where over half of the hashes have it. No words: fingerprint 0.
 
 Links: two fingerprints link if they differ in at most 2 bits. Distinct fingerprints are
-dealt into tiles by population count, at most TILE or so to a tile, and tile is compared with
-tile by exclusive-or and bit counts in numpy. Two tiles whose population counts differ by
-more than the radius cannot hold a link, and are skipped. Nor are two tiles compared where
+dealt into tiles by bands of population counts, at most TILE or so to a tile, and tile is
+compared with tile by exclusive-or and bit counts in numpy. Two tiles whose population counts
+differ by more than the radius cannot hold a link, and are skipped. Nor are two tiles compared where
 their fingerprints agree in too few blocks: with the 64 bits in m blocks, two that link agree
 in some m - 2 of them, so a tile is further divided by the bits of each choice of m - 2 blocks
 (m grows with the number of fingerprints), and only parts of equal bits meet. Each pair of
@@ -34,15 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import LOWER, borders, byte_class, ragged, roots, slices
+from .arrays import LOWER, borders, byte_class, ragged, roots, slices, spread
 from .common import Scratch, annotate, text_hashes, unused
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
 TILE = 2048
-#: Rows of a tile that are compared with another tile in one numpy call.
-STRIP = 256
+#: Rows of whole groups that a worker takes at once, and pairs that it compares in one numpy call.
+ROWS = 20_000
+STRIP = 1 << 20
 
 
 def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -131,22 +132,23 @@ def _keys(fp: Column, n: int, radius: int) -> Column:
 def tile_pairs(rows: DataFrame, by: list[str], fp: str, radius: int, tile: int = TILE) -> DataFrame:
     """rows with `g`, a group for each pair of tiles that is to be compared, and `side`: 0 for a tile with itself, else 1 and 2.
 
-    Within each `by`, tiles are of one population count, cut further where more than `tile` rows
-    have it. A tile meets itself and those whose count is at most the radius away. Rows that
-    nothing can meet are gone."""
-    ones = rows.withColumn("_ones", F.bit_count(fp))
-    counts = ones.groupBy(*by, "_ones").agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.groupBy(*by).agg(F.sum("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_ones", F.ceil(F.col("n") / tile).cast("int")))).alias("_cut")).where("_n > 1")
-    placed = ones.join(cuts, by)
-    own = F.pmod(F.xxhash64(fp), F.element_at("_cut", F.col("_ones"))).cast("int")
+    Within each `by`, a tile is of a band of population counts, radius + 1 wide, and bands are
+    cut further where more than `tile` rows are in one. A tile meets itself, the others of its
+    band, and those of the next: counts of farther bands differ by more than the radius. Rows
+    that nothing can meet are gone."""
+    banded = rows.withColumn("_band", F.floor(F.bit_count(fp) / (radius + 1)).cast("int"))
+    counts = banded.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("n"))
+    cuts = counts.groupBy(*by).agg(F.sum("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_band", F.ceil(F.col("n") / tile).cast("int")))).alias("_cut")).where("_n > 1")
+    placed = banded.join(cuts, by)
+    own = F.pmod(F.xxhash64(fp), F.element_at("_cut", F.col("_band"))).cast("int")
 
     def pairs(d: int) -> Column:
-        """The pairs of this tile with those of the count that is d higher; none if there are no such."""
-        n_q = F.coalesce(F.try_element_at("_cut", F.col("_ones") + d), F.lit(0))
+        """The pairs of this tile with those of the band that is d higher; none if there are no such."""
+        n_q = F.coalesce(F.try_element_at("_cut", F.col("_band") + d), F.lit(0))
         tiles = F.when(n_q > 0, F.sequence(F.lit(0), n_q - 1)).otherwise(F.array().cast("array<int>"))
 
         def pair(j: Column) -> Column:
-            here, there = (F.col("_ones"), own), (F.col("_ones") + d, j)
+            here, there = (F.col("_band"), own), (F.col("_band") + d, j)
             same = F.lit(d == 0) & (own == j)
             first = F.lit(d > 0) | (F.lit(d == 0) & (own <= j))
             low = [F.when(first, x).otherwise(y) for x, y in zip(here, there, strict=True)]
@@ -156,51 +158,58 @@ def tile_pairs(rows: DataFrame, by: list[str], fp: str, radius: int, tile: int =
 
         return F.transform(tiles, pair)
 
-    every = F.concat(*[pairs(d) for d in range(-radius, radius + 1)])
+    every = F.concat(*[pairs(d) for d in (-1, 0, 1)])
     group = F.xxhash64(*by, "_t.p", "_t.i", "_t.q", "_t.j")
     return placed.withColumn("_t", F.explode(every)).select(*rows.columns, group.alias("g"), F.col("_t.side").alias("side"))
 
 
-def within(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places in x and y whose fingerprints differ in at most `radius` bits."""
-    return np.nonzero(np.bitwise_count(x[:, None] ^ y[None, :]) <= radius)
-
-
-def compare_tiles(side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The rows (a, b) of one group that are within the radius, a strip of the left tile at a time."""
-    left = np.flatnonzero(side < 2)
-    right = left if not side.any() else np.flatnonzero(side == 2)
-    for s in range(0, len(left), STRIP):
-        a, b = within(fp[left[s : s + STRIP]], fp[right], radius)
-        a, b = left[s + a], right[b]
-        yield (a, b) if side.any() else (a[a < b], b[a < b])
-
-
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of each group of rows that are sorted by their first column; a group may span batches."""
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of rows that are sorted by their first one, in runs of whole groups."""
     held: list[list[np.ndarray]] = []
+    size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        heads = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1]))
-        ends = np.append(heads[1:], batch.num_rows)
-        for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
-            if held and held[-1][0][0] != columns[0][a]:
-                yield [np.concatenate(x) for x in zip(*held, strict=True)]
-                held = []
-            held.append([c[a:b] for c in columns])
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        size += batch.num_rows
+        if size >= ROWS:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1]))
+            if cut:
+                yield [c[:cut] for c in columns]
+            held = [[c[cut:] for c in columns]]
+            size -= cut
     if held:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
+def compare_tiles(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows (a, b) that belong together and are within the radius, from rows sorted by group and side: each row of a tile against those after it in the same tile, or against the other tile."""
+    n = len(group)
+    end = np.searchsorted(group, group, "right")
+    # where side 2 begins in each group
+    other = np.searchsorted(group, group) + np.bincount(np.searchsorted(group, group), side < 2, n).astype(np.int64)[np.searchsorted(group, group)]
+    low = np.where(side == 0, np.arange(n) + 1, np.where(side == 1, other, end))
+    upto = np.concatenate(([0], np.cumsum(end - low)))
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + STRIP, "right")) - 1)
+        count = end[a:b] - low[a:b]
+        left = np.repeat(np.arange(a, b), count)
+        right = spread(low[a:b], count)
+        hit = np.flatnonzero(np.bitwise_count(fp[left] ^ fp[right]) <= radius)
+        if len(hit):
+            yield left[hit], right[hit]
+        a = b
+
+
 def _forest(radius: int):
-    """Rows (group, side, fp), sorted by group, to links of a spanning forest of each group."""
+    """Rows (group, side, fp), sorted by group and side, to links of a spanning forest of each group."""
 
-    def links(side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def links(group: np.ndarray, side: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(fp)
         a_s, b_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in compare_tiles(side, fp, radius):
+        for a, b in compare_tiles(group, side, fp, radius):
             if len(a) > 4 * n:  # a dense strip is thinned at once
                 root = roots(n, a, b)
                 a = np.flatnonzero(root != np.arange(n))
@@ -212,25 +221,13 @@ def _forest(radius: int):
         return fp[own], fp[root[own]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a_s, b_s, size = [], [], 0
-        for _, side, fp in grouped(batches):
-            a, b = links(side, fp.view(np.uint64))
-            a_s.append(a)
-            b_s.append(b)
-            size += len(a)
-            if size > OUT_ROWS:
-                yield _pairs(a_s, b_s)
-                a_s, b_s, size = [], [], 0
-        if a_s:
-            yield _pairs(a_s, b_s)
+        for group, side, fp in whole_groups(batches):
+            a, b = links(group, side, fp.view(np.uint64))
+            yield _pairs([a], [b])
 
     return run
 
 
-#: Links that a worker gathers before they leave it.
-OUT_ROWS = 10_000
-
-
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], names=["a", "b"])
 

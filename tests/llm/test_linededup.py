@@ -82,8 +82,9 @@ def test_brute_force(spark, seed, variants, threshold):
 def test_every_near_line_shares_a_key(spark):
     rnd = random.Random(9)
     pairs = [(a := "".join(rnd.choice("abcdef") for _ in range(rnd.randint(20, 60))), change(rnd, a, rnd.randint(1, 2))) for _ in range(800)]
-    df = spark.createDataFrame([(max(p, key=len), min(p, key=len)) for p in pairs], "long string, short string")
-    keys = df.select("long", "short", F.arrays_overlap(ld.probe_keys(F.col("long"), F.char_length("long"), 2), ld.segment_keys(F.col("short"), F.char_length("short"), 2)).alias("met"))
+    df = spark.createDataFrame([(i, max(p, key=len), min(p, key=len)) for i, p in enumerate(pairs)], "h1 long, long string, short string")
+    asked = ld.probe_keys(df.select("h1", F.char_length("long").alias("n"), F.col("long").alias("line")), 2).groupBy("h1").agg(F.collect_set("key").alias("asked"))
+    keys = df.join(asked, "h1").select("long", "short", F.arrays_overlap("asked", ld.segment_keys(F.col("short"), F.char_length("short"), 2)).alias("met"))
     signs = keys.withColumn("flips", F.bit_count(ld.parities(F.col("long")).bitwiseXOR(ld.parities(F.col("short")))))
     for r in signs.collect():
         d = edits(r["long"], r["short"])
