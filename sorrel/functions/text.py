@@ -21,14 +21,32 @@ def year_of(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(raw, r"^.+\s+\((\d{4})\)$", 1), F.lit("")).cast("int")
 
 
+# The characters that count as white space.
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A number: digits with single underscores between them, a fraction, an exponent; or infinity or no number, by name.
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+NUMBER = rf"(?i)^[+-]?(?:inf(?:inity)?|nan|(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?)$"
+
+
+def strip(raw: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(raw, f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
+def number_of(raw: Column) -> Column:
+    """The number that a text is, white space around it aside; null for anything else, such as "2d"."""
+    bare = strip(raw)
+    return F.when(bare.rlike(NUMBER), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
+
+
 def normal_code(raw: Column) -> Column:
-    return F.upper(F.trim(raw))
+    return F.upper(strip(raw))
 
 
 def normal_description(raw: Column) -> Column:
     """Upper case, single blanks, no punctuation at the end; only punctuation stays as it is."""
-    plain = F.upper(F.trim(F.regexp_replace(raw, r"\s+", " ")))
-    bare = F.trim(F.regexp_replace(plain, r"[.,;:!?]+$", ""))
+    plain = F.upper(F.regexp_replace(strip(raw), f"[{WHITE}]+", " "))
+    bare = strip(F.regexp_replace(plain, r"[.,;:!?]+$", ""))
     return F.when(bare == "", plain).otherwise(bare)
 
 

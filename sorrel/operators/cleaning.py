@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_code, normal_description
+from ..functions.text import normal_code, normal_description, number_of, strip
 
 # What marks a row as no product.
 NON_PRODUCT_DESCRIPTIONS = ["POSTAGE", "DOTCOM POSTAGE", "CARRIAGE", "CRUK COMMISSION", "MANUAL", "SAMPLES", "DISCOUNT"]
@@ -23,14 +23,14 @@ REASONS = ["bad_columns", "cancellation_or_adjustment", "blank_description", "ba
 
 def is_non_product(code: Column, description: Column) -> Column:
     """code: normalised; description: as it is in the log."""
-    text = F.upper(F.trim(description))
+    text = F.upper(strip(description))
     return text.isin(NON_PRODUCT_DESCRIPTIONS) | code.rlike(NON_PRODUCT_CODE_PATTERN) | code.isin(NON_PRODUCT_CODES) | (code.rlike(INTERNAL_CODE_PATTERN) & text.isin(INTERNAL_DESCRIPTIONS))
 
 
 def with_drop_reason(log: DataFrame) -> DataFrame:
     """log with drop_reason (null: kept), stock, quantity and price. One projection, whatever the number of rules."""
-    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    out = log.withColumns({"stock": normal_code(F.coalesce("StockCode", F.lit(""))), "quantity": F.trim("Quantity").try_cast("double"), "price": F.trim("UnitPrice").try_cast("double")})
+    blank = lambda c: strip(F.coalesce(F.col(c), F.lit(""))) == ""
+    out = log.withColumns({"stock": normal_code(F.coalesce("StockCode", F.lit(""))), "quantity": number_of(F.col("Quantity")), "price": number_of(F.col("UnitPrice"))})
     bad_width = F.col("_corrupt_record").isNotNull() if "_corrupt_record" in log.columns else F.lit(False)
     reason = (
         F.when(bad_width, REASONS[0])
@@ -53,7 +53,7 @@ def waterfall(reasoned: DataFrame) -> DataFrame:
 
 def kept_lines(reasoned: DataFrame) -> DataFrame:
     """(invoice, stock, description) of the kept rows."""
-    return reasoned.where(F.col("drop_reason").isNull()).select(F.col("InvoiceNo").alias("invoice"), "stock", F.col("Description").alias("description"))
+    return reasoned.where(F.col("drop_reason").isNull()).select(F.col("InvoiceNo").alias("invoice"), "stock", strip(F.col("Description")).alias("description"))
 
 
 def canonical_descriptions(kept: DataFrame) -> DataFrame:
@@ -71,10 +71,13 @@ def build_baskets(kept: DataFrame, canonical: DataFrame, min_items: int = 2) ->
 
 
 def item_dictionary(baskets: DataFrame) -> DataFrame:
-    """(idx, stock, description, n): items by falling basket count, then code, from 0. The window is global, over the item table only."""
+    """(idx, stock, description, n): items by falling basket count, then code, from 0. Items of one count are ranked by themselves; running totals over the distinct counts give where each begins."""
     each = baskets.select(F.explode("items").alias("item")).groupBy("item.stock", "item.description").agg(F.count(F.lit(1)).alias("n"))
-    idx = (F.row_number().over(Window.orderBy(F.desc("n"), "stock")) - 1).cast("int")
-    return each.select(idx.alias("idx"), "stock", "description", "n")
+    sizes = each.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    before = sizes.select("n", (F.sum("k").over(Window.orderBy(F.desc("n"))) - F.col("k")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("n").orderBy("stock"))
+    ranked = each.withColumn("inside", inside).join(before, "n")
+    return ranked.select((F.col("before") + F.col("inside") - 1).cast("int").alias("idx"), "stock", "description", "n")
 
 
 def encode_baskets(baskets: DataFrame, dictionary: DataFrame) -> DataFrame:

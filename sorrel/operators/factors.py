@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.metrics import dot
 from ..functions.text import clamp
+from .split import split_by_time
 
 FACTORS = 16
 LOW, HIGH = 1.0, 5.0
 RELEVANT = 4.0
-#: Items whose factors are broadcast in top-K; more are dealt out by item.
+#: Items whose factors are broadcast at once in top-K, and users that are scored in one product.
 BROADCAST_ITEMS = 100_000
+USERS = 32
 
 
 @dataclass(frozen=True)
@@ -108,26 +115,56 @@ def train_with_history(train_rows: DataFrame, val_rows: DataFrame, epochs: list[
     return train_rows.sparkSession.createDataFrame(rows, "epoch int, trainRMSE double, valRMSE double"), models
 
 
+def _best_of_block(ids: np.ndarray, factors: np.ndarray, mean: float, k: int, kinds: tuple[pa.DataType, pa.DataType]):
+    """Rows (user, features, seen) to the k best unseen items of one block for each user: (user, item, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            users, items, scores = [], [], []
+            for a in range(0, batch.num_rows, USERS):
+                part = batch.slice(a, USERS)
+                p = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                every = mean + p @ factors.T
+                for i, seen in enumerate(part.column(2)):
+                    own = every[i]
+                    if seen.is_valid and len(seen):
+                        own[np.isin(ids, np.asarray(seen.values))] = -np.inf
+                    rounded = np.round(own, 9)
+                    least = np.partition(rounded, len(rounded) - k)[len(rounded) - k] if k < len(rounded) else -np.inf
+                    top = np.flatnonzero((rounded >= least) & (own > -np.inf))
+                    top = top[np.lexsort((ids[top], -rounded[top]))][:k]
+                    users += [part.column(0)[i].as_py()] * len(top)
+                    items.append(ids[top])
+                    scores.append(own[top])
+            if users:
+                yield pa.RecordBatch.from_arrays([pa.array(users, kinds[0]), pa.array(np.concatenate(items), kinds[1]), pa.array(np.concatenate(scores))], names=["user", "item", "score"])
+
+    return run
+
+
 def top_k(users: DataFrame, model: Model, movies: DataFrame, seen: DataFrame, k: int = 10, user: str = "userId", item: str = "movieId") -> DataFrame:
     """(user, item, title, score, rank): for given users, unclamped scores of the movies (id, title) that they have not seen. No rows for k <= 0.
 
-    Items are broadcast while they are few; else users meet blocks of items, keep the k
-    best of each block, and then the k best of these."""
-    u = users.select(F.col(user)).distinct().join(model.users, F.col(user) == F.col("id")).select(user, F.col("features").alias("p"))
-    i = model.items.withColumnRenamed("id", item).join(movies.select(F.col("id").alias(item), "title"), item).select(item, "title", F.col("features").alias("q"))
-    blocks = max(1, -(-i.count() // BROADCAST_ITEMS))
-    if blocks == 1:
-        pairs = u.join(F.broadcast(i)).withColumn("_b", F.lit(0))
-    else:
-        u = u.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        pairs = u.join(i.withColumn("_b", F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int")), "_b")
-    fresh = pairs.join(seen.select(user, item).distinct(), [user, item], "left_anti")
-    scored = fresh.select(user, item, "title", "_b", (F.lit(model.mean) + dot(F.col("p"), F.col("q"))).alias("score"))
-    order = (F.desc(F.round("score", 9)), F.col(item))
-    if blocks > 1:
-        scored = scored.withColumn("_r", F.row_number().over(Window.partitionBy(user, "_b").orderBy(*order))).where(F.col("_r") <= k)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(*order)))
-    return ranked.where(F.col("rank") <= k).select(user, item, "title", "score", "rank")
+    A user travels with the items they have seen; blocks of at most BROADCAST_ITEMS item factors
+    are broadcast one after the other, and a block gives each user's k best by one product of
+    matrices. Pairs of users and items are never rows; what is shuffled is k rows a user and block."""
+    spark = users.sparkSession
+    known = model.items.join(movies.select("id").distinct(), "id", "left_semi")
+    blocks = max(1, -(-known.count() // BROADCAST_ITEMS))
+    own = seen.select(F.col(user).alias("_s"), F.col(item).alias("_i")).groupBy("_s").agg(F.collect_set("_i").alias("seen"))
+    u = users.select(F.col(user)).distinct().join(model.users, F.col(user) == F.col("id")).join(own, F.col(user) == F.col("_s"), "left").select(F.col(user).alias("user"), "features", "seen")
+    kinds = (users.schema[user].dataType, model.items.schema["id"].dataType)
+    schema = T.StructType([T.StructField("user", kinds[0]), T.StructField("item", kinds[1]), T.StructField("score", T.DoubleType())])
+    found = spark.createDataFrame([], schema)
+    for block in range(blocks) if k > 0 else ():
+        rows = known.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "features").toPandas()
+        if len(rows):
+            run = _best_of_block(rows["id"].to_numpy(), np.stack(rows["features"].to_numpy()).astype(np.float64), model.mean, k, tuple(map(to_arrow_type, kinds)))
+            found = found.unionByName(u.mapInArrow(run, schema))
+    order = (F.desc(F.round("score", 9)), F.col("item"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(*order))).where(F.col("rank") <= k)
+    titles = movies.select(F.col("id").alias("item"), "title")
+    return ranked.join(titles, "item").select(F.col("user").alias(user), F.col("item").alias(item), "title", "score", "rank")
 
 
 @dataclass(frozen=True)
@@ -151,3 +188,35 @@ def recall_at_k(train_rows: DataFrame, val_rows: DataFrame, test_rows: DataFrame
     unseen = relevant.select(item).distinct().join(pool, item, "left_anti")
     without = test_rows.select(user).distinct().join(known, user, "left_anti")
     return Recall(overall, each, unseen, without)
+
+
+def run_pipeline(ratings: DataFrame, movies: DataFrame, order: list[str], epochs: list[int] | None = None, options: TrainOptions = TrainOptions(), k: int = 10, user: str = "userId", item: str = "movieId") -> DataFrame:
+    """One row of the whole evaluation: split by time, train with a history, take the epoch of the smallest validation error, and measure it on the test rows.
+
+    (n_train, n_val, n_test, best_epoch, trainRMSE, valRMSE, test_rmse, baseline_rmse, overall_recall, n_users)"""
+    parts = split_by_time(ratings, order, user).persist()
+    train_rows, val_rows, test_rows = (parts.where(F.col("part") == p) for p in ("train", "val", "test"))
+    sizes = parts.groupBy().pivot("part", ["train", "val", "test"]).agg(F.count(F.lit(1)))
+    history, models = train_with_history(train_rows, val_rows, epochs or [options.epochs], options)
+    best = best_checkpoint(history)
+    model = models[best.first()["epoch"]]
+    one = [
+        sizes.select(F.coalesce("train", F.lit(0)).alias("n_train"), F.coalesce("val", F.lit(0)).alias("n_val"), F.coalesce("test", F.lit(0)).alias("n_test")),
+        best.withColumnRenamed("epoch", "best_epoch"),
+        rmse(score(test_rows, model, user, item)).toDF("test_rmse"),
+        baseline_rmse(train_rows, test_rows).toDF("baseline_rmse"),
+        recall_at_k(train_rows, val_rows, test_rows, model, movies, k, user=user, item=item).overall,
+    ]
+    out = one[0]
+    for more in one[1:]:
+        out = out.join(F.broadcast(more))
+    return out
+
+
+def train_embeddings(ratings: DataFrame, options: TrainOptions = TrainOptions(epochs=10, factors=10), validation: float = 0.1, seed: int = 42, user: str = "userId", item: str = "movieId") -> tuple[Model, DataFrame]:
+    """The older flow: a model of rank 10 on all but a tenth of the ratings, picked by hash, and (loss, val_loss) as mean squared errors of unclamped predictions."""
+    held = F.pmod(F.xxhash64(F.col(user), F.col(item), F.lit(seed)), F.lit(1_000_000)) < int(validation * 1_000_000)
+    fit_rows, val_rows = ratings.where(~held), ratings.where(held)
+    model = train(fit_rows, options, user, item)
+    loss = lambda rows, name: score(rows, model, user, item, clamped=False).agg(F.avg(F.pow(F.col("prediction") - F.col("rating"), F.lit(2.0))).alias(name))
+    return model, loss(fit_rows, "loss").join(F.broadcast(loss(val_rows, "val_loss")))

@@ -8,6 +8,7 @@ import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -19,6 +20,12 @@ def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
 
+def in_order(ids: DataFrame) -> DataFrame:
+    """(id, place): distinct ids with their place from 1. Sorted by ranges, so no task holds all of them."""
+    placed = ids.select("id").orderBy("id").rdd.zipWithIndex().map(lambda x: (x[0]["id"], x[1] + 1))
+    return ids.sparkSession.createDataFrame(placed, T.StructType([ids.schema["id"], T.StructField("place", T.LongType())]))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """(id, neighbours, degree)."""
     return undirected(edges).groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("neighbours"), F.count(F.lit(1)).alias("degree"))

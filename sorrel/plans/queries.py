@@ -148,6 +148,11 @@ def basket_top5(spark: SparkSession, sf: str) -> DataFrame:
     return bk.item_counts(views.postings(spark, sf)).orderBy(F.desc("n"), "stock").limit(5)
 
 
+@query(f"with {POSTINGS} select stock, count(*) as n from postings group by stock order by n desc, stock limit 10")
+def basket_top10(spark: SparkSession, sf: str) -> DataFrame:
+    return bk.item_counts(views.postings(spark, sf)).orderBy(F.desc("n"), "stock").limit(10)
+
+
 @query(f"with {POSTINGS} select count(*) as n from (select basket_id from postings where stock in ('Brand#11', 'Brand#12') group by basket_id having count(*) = 2)")
 def count_itemset(spark: SparkSession, sf: str) -> DataFrame:
     return bk.count_itemset(views.postings(spark, sf), ["Brand#11", "Brand#12", "Brand#11"])
@@ -174,9 +179,9 @@ def jaccard_top2(spark: SparkSession, sf: str) -> DataFrame:
     return content.similar_to(m, liked).select("id", "title", F.round("score", 9).alias("score"))
 
 
-@query("select p_partkey as id, p_name as title from part order by title, id limit 50")
+@query("select p_partkey as id, p_name as title from part order by title, id")
 def movies_by_title(spark: SparkSession, sf: str) -> DataFrame:
-    return views.movies(spark, sf).orderBy(F.expr("title COLLATE UNICODE"), "id").limit(50).select("id", "title")
+    return views.movies(spark, sf).orderBy(F.expr("title COLLATE UNICODE"), "id").select("id", "title")
 
 
 @query("select p_partkey as id, p_name as title, row_number() over (order by p_name, p_partkey) as place from part")
@@ -204,6 +209,27 @@ def user_cf_top5(spark: SparkSession, sf: str) -> DataFrame:
     return collaborative.user_based(r, r.select("userId").distinct()).select("userId", "movieId", F.round("score", 6).alias("score"), "rank")
 
 
+def _summed(sims: DataFrame) -> DataFrame:
+    """Similarities by user: how many, of how many shared entries, their sum and the best."""
+    return sims.groupBy("a").agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("shared"), F.round(F.sum("sim"), 4).alias("total"), F.round(F.max("sim"), 6).alias("best"))
+
+
+@query(f"""with {LAST}, dots as (select a.userId as a, b.userId as b, sum(a.rating * b.rating) as xy, sum(a.rating * a.rating) as xx, sum(b.rating * b.rating) as yy, count(*) as n from last a join last b on a.movieId = b.movieId and a.userId <> b.userId group by 1, 2)
+select a, count(*) as pairs, sum(n)::bigint as shared, round(sum(round(xy / sqrt(xx * yy) * n / (n + 1), 12)), 4) as total, round(max(round(xy / sqrt(xx * yy) * n / (n + 1), 12)), 6) as best from dots group by a""")
+def user_similarity_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    s = collaborative.similarities(views.last_ratings(spark, sf), "userId", "movieId", strategy="weighted")
+    return _summed(s)
+
+
+@query(f"""with {LAST}, own as (select userId as u, avg(rating) as m from last group by 1), met as (select distinct a.userId as a, b.userId as b from last a join last b on a.movieId = b.movieId and a.userId <> b.userId),
+cells as (select a, b, movieId as i from met join last on userId = a union select a, b, movieId from met join last on userId = b),
+filled as (select c.a, c.b, coalesce(x.rating, p.m) as x, coalesce(y.rating, q.m) as y, x.rating is not null and y.rating is not null as co from cells c left join last x on x.userId = c.a and x.movieId = c.i left join last y on y.userId = c.b and y.movieId = c.i join own p on p.u = c.a join own q on q.u = c.b)
+select a, count(*) as pairs, sum(n)::bigint as shared, round(sum(sim), 4) as total, round(max(sim), 6) as best from (select a, b, count(*) filter (co) as n, round(sum(x * y) / sqrt(sum(x * x) * sum(y * y)), 12) as sim from filled group by a, b) group by a""")
+def user_similarity_mean(spark: SparkSession, sf: str) -> DataFrame:
+    s = collaborative.similarities(views.last_ratings(spark, sf), "userId", "movieId", strategy="mean")
+    return _summed(s)
+
+
 @query(f"""with {LAST}, dots as (select a.movieId as a, b.movieId as b, sum(a.rating * b.rating) as xy, sum(a.rating * a.rating) as xx, sum(b.rating * b.rating) as yy from last a join last b on a.userId = b.userId and a.movieId <> b.movieId group by 1, 2),
 sims as (select a, b, round(xy / sqrt(xx * yy), 12) as sim from dots), votes as (select l.userId as u, b as i, round(sum(sim * rating), 9) as score from last l join sims on l.movieId = a where sim > 0 group by 1, 2),
 fresh as (select v.* from votes v left join last l on v.u = l.userId and v.i = l.movieId where l.userId is null)
@@ -287,10 +313,17 @@ def recall_exclusions(spark: SparkSession, sf: str) -> DataFrame:
     return r.unseen_ids.select(F.lit("unseen item").alias("kind"), F.col("movieId").alias("id")).union(r.users_without_relevant.select(F.lit("user without relevant"), "userId"))
 
 
+def _timed(spark: SparkSession, sf: str) -> DataFrame:
+    """The last rating of each pair, with its time and place."""
+    r = views.ratings(spark, sf)
+    last = F.max(F.struct(*[F.col(c) for c in views.TIME_ORDER], F.col("rating"))).alias("last")
+    return r.groupBy("userId", "movieId").agg(last).select("userId", "movieId", "last.*")
+
+
 @query(None)
 def als_history(spark: SparkSession, sf: str) -> DataFrame:
-    p = split.split_by_time(views.last_ratings(spark, sf).withColumn("timestamp", F.col("movieId")), ["timestamp"]).cache()
-    history, _ = factors.train_with_history(p.where("part = 'train'"), p.where("part = 'val'"), [1, 3, 5], factors.TrainOptions(factors=8))
+    p = split.split_by_time(_timed(spark, sf), SPLIT_ORDER).cache()
+    history, _ = factors.train_with_history(p.where("part = 'train'"), p.where("part = 'val'"), [1, 5, 10, 20])
     return history
 
 
@@ -299,6 +332,16 @@ def als_best_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
     return factors.best_checkpoint(als_history(spark, sf))
 
 
+@query(None)
+def mf_run_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return factors.run_pipeline(_timed(spark, sf), views.movies(spark, sf), SPLIT_ORDER, [5, 20])
+
+
+@query(None)
+def mf_embeddings_validation(spark: SparkSession, sf: str) -> DataFrame:
+    return factors.train_embeddings(_timed(spark, sf))[1]
+
+
 GRAPH = """edges as (select distinct user_id as src, cast(regexp_extract(props, '"k":\\s*(\\d+)', 1) as bigint) + 1000000 as dst from events),
 sym as (select src, dst from edges union select dst, src from edges), degree as (select src, count(*) as d from sym group by src), n as (select count(*) as n from degree)"""
 RANKS = GRAPH + """, pr(step, id, score) as (select 0, src, 1.0::double / n from degree, n union all
@@ -329,6 +372,58 @@ def graph_add_edge(spark: SparkSession, sf: str) -> DataFrame:
     return graph.add_edge(e, ends[0], ends[1]).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"with {GRAPH} select src as id, row_number() over (order by src) as place from degree")
+def nodes_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.in_order(graph.nodes(views.edges(spark, sf)))
+
+
+@query(f"with {RATINGS} select userId as id, row_number() over (order by userId) as place from (select distinct userId from ratings)")
+def users_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.in_order(views.ratings(spark, sf).select(F.col("userId").alias("id")).distinct())
+
+
+@query(f"with recursive {RANKS} select id, round(score, 9) as score, md5(string_agg(cast(dst as varchar), ',' order by dst)) as friends_md5 from ranks join sym on src = id group by 1, 2")
+def friend_lists(spark: SparkSession, sf: str) -> DataFrame:
+    e = views.edges(spark, sf)
+    f = graph.friend_lists(e, graph.pagerank(e))
+    return f.select("id", F.round("score", 9).alias("score"), F.md5(F.array_join(F.transform("friends", lambda x: x.cast("string")), ",")).alias("friends_md5"))
+
+
+@query("with recursive " + RANKS.replace("edges as (select distinct user_id as src,", "given as (select distinct user_id as src,").replace("from events),", "from events), edges as (select * from given union select min(src), max(dst) from given),", 1) + " select id, round(score, 9) as score from ranks")
+def pagerank_after_add_edge(spark: SparkSession, sf: str) -> DataFrame:
+    e = views.edges(spark, sf)
+    ends = e.agg(F.min("src"), F.max("dst")).first()
+    return graph.pagerank(graph.add_edge(e, ends[0], ends[1])).select("id", F.round("score", 9).alias("score"))
+
+
+#: Rows of a log whose outcome is known by hand: invoice, code, description, quantity, price, customer; reason, code, description.
+LITERAL = [
+    ("536365", " 85123a\t", "White\u00a0 Hanging\tHeart .", "6", "2.55", "17850", "kept", "85123A", "WHITE HANGING HEART"),
+    ("536366", "22752", "\t\u2003", "2", "7.65", "17850", "blank_description", "22752", ""),
+    ("536367", "22745", "A box", "1", "1.0", "\t\u00a0", "blank_customer", "22745", "A BOX"),
+    ("536368", "POST1", "POSTAGE\t", "1", "18", "12583", "non_product", "POST1", "POSTAGE"),
+    ("536369", "22746", "A cup", "2d", "1.0", "1", "bad_number", "22746", "A CUP"),
+    ("536370", "22747", "A cup", "2", "0x1p3", "1", "bad_number", "22747", "A CUP"),
+    ("536371", "22748", "A cup", "\u00a01_000 ", "1e-2", "1", "kept", "22748", "A CUP"),
+    ("536372", "22749", "A cup", "1__0", "1", "1", "bad_number", "22749", "A CUP"),
+    ("536373", "22750", "A cup", "nan", "inf", "1", "kept", "22750", "A CUP"),
+    ("536374", "22751", "A cup", "5.", ".5", "1", "kept", "22751", "A CUP"),
+    ("536375", "\u3000", "A cup", "5", "1", "1", "blank_code", "", "A CUP"),
+    ("536376", "gift_0001_20", "A voucher", "5", "1", "1", "non_product", "GIFT_0001_20", "A VOUCHER"),
+    ("C536377", "22753", "A cup", "-5", "1", "1", "cancellation_or_adjustment", "22753", "A CUP"),
+    ("536378", "22754", "?", "0", "1", "1", "quantity", "22754", "?"),
+    ("536379", "22755", "foo . .", "1", "-0.0", "1", "price", "22755", "FOO ."),
+]
+
+
+@query("select * from (values " + ", ".join("('" + "', '".join((r[0], r[6], r[7], r[8])) + "')" for r in LITERAL) + ") as t(invoice, reason, stock, description)")
+def retail_literal_cases(spark: SparkSession, sf: str) -> DataFrame:
+    columns = ["InvoiceNo", "StockCode", "Description", "Quantity", "UnitPrice", "CustomerID"]
+    log = spark.createDataFrame([r[:6] for r in LITERAL], ", ".join(f"{c} string" for c in columns))
+    out = cleaning.with_drop_reason(log)
+    return out.select(F.col("InvoiceNo").alias("invoice"), F.coalesce("drop_reason", F.lit("kept")).alias("reason"), "stock", tx.normal_description(F.col("Description")).alias("description"))
+
+
 @query(f"with {LOG} select coalesce(reason, 'kept') as reason, count(*) as n from reasoned group by 1")
 def retail_waterfall(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.waterfall(cleaning.with_drop_reason(views.retail_log(spark, sf)))

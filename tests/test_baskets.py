@@ -116,3 +116,30 @@ def test_retail_cleaning(spark):
     assert [(r["idx"], r["stock"]) for r in d.orderBy("idx").collect()] == [(0, "DCGS0003"), (1, "P1")]
     again = cleaning.decode_baskets(cleaning.encode_baskets(b, d), d)
     assert again.collect() == b.collect()
+
+
+def test_white_space_and_numbers_of_a_retail_log(spark):
+    from sorrel.operators import cleaning
+    from sorrel.plans.queries import LITERAL
+
+    rows = [r[:6] for r in LITERAL]
+    log = spark.createDataFrame(rows, "InvoiceNo string, StockCode string, Description string, Quantity string, UnitPrice string, CustomerID string")
+    got = {r["InvoiceNo"]: (r["drop_reason"] or "kept", r["stock"]) for r in cleaning.with_drop_reason(log).collect()}
+    assert got == {r[0]: (r[6], r[7]) for r in LITERAL}
+
+    def reads(x):
+        try:
+            return float(x)
+        except ValueError:
+            return None
+
+    texts = ["1", " 2\t", "2d", "2f", "1_0", "_1", "1_", "1__0", ".5", "5.", ".", "", "1e5", "1E-2", "e5", "+1", "--1", "inf", "-Infinity", "NaN", "0x10", "1 2", "\u00a07", "1.5_0", "infinit"]
+    from pyspark.sql import functions as F
+
+    from sorrel.functions.text import normal_code, number_of
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", number_of(F.col("t")).alias("v"), normal_code(F.col("t")).alias("c")).collect():
+        want = reads(r["t"])
+        assert repr(r["v"]) == repr(want), r
+        assert r["c"] == r["t"].strip().upper()

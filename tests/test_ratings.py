@@ -140,3 +140,50 @@ def test_all_movies_by_title(spark):
     got = [(r["place"], r["id"]) for r in content.by_title(df).collect()]
     want = sorted(titles, key=lambda i: (titles[i].lower(), titles[i].swapcase(), i))
     assert sorted(got) == list(enumerate(want, 1))
+
+
+def test_top_k_leaves_out_seen_items_and_breaks_ties_by_id(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sorrel.operators import factors
+
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id int, features array<double>")
+    items = spark.createDataFrame([(i, [float(i % 3), float(i % 2)]) for i in range(1, 12)], "id int, features array<double>")
+    movies = spark.createDataFrame([(i, f"m{i}") for i in range(1, 11)], "id int, title string")
+    seen = spark.createDataFrame([(1, 2), (1, 5), (3, 5), (3, 5)], "userId int, movieId int")
+    model = factors.Model(users, items, 3.0)
+    factor = {r["id"]: r["features"] for r in items.collect()}
+    own = {r["id"]: r["features"] for r in users.collect()}
+    gone = {(r["userId"], r["movieId"]) for r in seen.collect()}
+    want = []
+    for u, p in own.items():
+        scored = sorted((-(3.0 + sum(a * b for a, b in zip(p, factor[i], strict=True))), i) for i in range(1, 11) if (u, i) not in gone)
+        want += [(u, i, f"m{i}", -s, k + 1) for k, (s, i) in enumerate(scored[:4])]
+    asked = users.select(F.col("id").alias("userId"))
+    for block in (100_000, 3):
+        monkeypatch.setattr(factors, "BROADCAST_ITEMS", block)
+        assert sorted(map(tuple, factors.top_k(asked, model, movies, seen, 4).collect())) == sorted(want)
+    assert factors.top_k(asked, model, movies, seen, 0).count() == 0
+
+
+def test_popular_keys_meet_in_chunks(spark, monkeypatch):
+    from sorrel.operators import collaborative
+
+    rows = [(u, i, float((u * i) % 5 + 1)) for u in range(40) for i in range(6) if (u + i) % 3]
+    r = spark.createDataFrame(rows, "userId int, movieId int, rating double")
+    whole = sorted(map(tuple, collaborative.similarities(r, "userId", "movieId").collect()))
+    monkeypatch.setattr(collaborative, "CHUNK", 7)
+    assert sorted(map(tuple, collaborative.similarities(r, "userId", "movieId").collect())) == whole
+
+
+def test_run_pipeline_and_older_flow(spark):
+    from sorrel.operators import factors
+
+    rows = [(u, i, float((u + i) % 5 + 1), u * 100 + i) for u in range(1, 12) for i in range(1, 13)]
+    r = spark.createDataFrame(rows, "userId int, movieId int, rating double, timestamp long")
+    movies = spark.createDataFrame([(i, f"m{i}") for i in range(1, 13)], "id int, title string")
+    got = factors.run_pipeline(r, movies, ["timestamp", "movieId"], [1, 3], factors.TrainOptions(epochs=3, factors=2)).collect()
+    assert len(got) == 1 and (got[0]["n_train"], got[0]["n_val"], got[0]["n_test"]) == (99, 11, 22) and got[0]["best_epoch"] in (1, 3)
+    assert 0 <= got[0]["overall_recall"] <= 1 and got[0]["baseline_rmse"] > 0
+    loss = factors.train_embeddings(r)[1].first()
+    assert 0 <= loss["loss"] < 5 and loss["val_loss"] >= 0
