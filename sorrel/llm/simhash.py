@@ -41,8 +41,9 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 2
 TILE = 2048
-#: Rows of whole groups that a worker takes at once, and pairs that it compares in one numpy call.
+#: Rows of whole groups that a worker takes at once, or bytes of them, and pairs that it compares in one numpy call.
 ROWS = 20_000
+BYTES = 64 << 20
 STRIP = 1 << 20
 
 
@@ -129,16 +130,18 @@ def _keys(fp: Column, n: int, radius: int) -> Column:
     return F.array(*out)
 
 
-def tile_pairs(rows: DataFrame, by: list[str], fp: str, radius: int, tile: int = TILE) -> DataFrame:
+def tile_pairs(rows: DataFrame, by: list[str], fp: str, radius: int, tile: int = TILE, share: Column | None = None) -> DataFrame:
     """rows with `g`, a group for each pair of tiles that is to be compared, and `side`: 0 for a tile with itself, else 1 and 2.
 
     Within each `by`, a tile is of a band of population counts, radius + 1 wide, and bands are
-    cut further where more than `tile` rows are in one. A tile meets itself, the others of its
+    cut further where more than `tile` rows are in one (share: what each row takes of a tile, if
+    not 1 / tile). A tile meets itself, the others of its
     band, and those of the next: counts of farther bands differ by more than the radius. Rows
     that nothing can meet are gone."""
     banded = rows.withColumn("_band", F.floor(F.bit_count(fp) / (radius + 1)).cast("int"))
-    counts = banded.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.groupBy(*by).agg(F.sum("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_band", F.ceil(F.col("n") / tile).cast("int")))).alias("_cut")).where("_n > 1")
+    share = F.lit(1 / tile) if share is None else share
+    counts = banded.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum(share)).cast("int").alias("cut"))
+    cuts = counts.groupBy(*by).agg(F.sum("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_band", "cut"))).alias("_cut")).where("_n > 1")
     placed = banded.join(cuts, by)
     own = F.pmod(F.xxhash64(fp), F.element_at("_cut", F.col("_band"))).cast("int")
 
@@ -166,18 +169,20 @@ def tile_pairs(rows: DataFrame, by: list[str], fp: str, radius: int, tile: int =
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """The columns of rows that are sorted by their first one, in runs of whole groups."""
     held: list[list[np.ndarray]] = []
-    size = 0
+    size = weight = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
         size += batch.num_rows
-        if size >= ROWS:
+        weight += batch.nbytes
+        if size >= ROWS or weight >= BYTES:
             columns = [np.concatenate(x) for x in zip(*held, strict=True)]
             cut = int(np.searchsorted(columns[0], columns[0][-1]))
             if cut:
                 yield [c[:cut] for c in columns]
             held = [[c[cut:] for c in columns]]
+            weight = weight * (size - cut) // size
             size -= cut
     if held:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from helpers import awkward, clashing
 from test_simhash import clustered, groups, signed
@@ -105,3 +106,25 @@ def test_rows_that_repeat_an_id_and_rows_without_one(spark):
     docs = spark.createDataFrame([(1, a), (3, a), (3, b), (4, c), (4, d), (None, a), (None, c), (None, c)], "doc_id long, text string")
     got = sorted(((r["doc_id"] or 0, r["text"]) for r in nearcopies.keep_one(clashing(docs, "_id", "_h1", "_text", "h", "g", "side")).collect()))
     assert got == sorted([(0, a), (3, b), (0, c), (4, d)])
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 25])
+def test_sets_of_tiles_are_compared_exactly(monkeypatch, cells):
+    """In blocks of columns of any width, for groups whose hashes overlap."""
+    monkeypatch.setattr(nearcopies, "CELLS", cells)
+    rnd = random.Random(5)
+    sets, group = [], []
+    for g in (-7, 3, 9):
+        base = rnd.sample(range(-500, 500), 180)
+        for _ in range(25):
+            own = set(base) - set(rnd.sample(base, rnd.randint(0, 40))) | set(rnd.sample(range(500, 700), rnd.randint(0, 9)))
+            sets.append(np.array(sorted(own), np.int64))
+            group.append(g)
+    n = np.array([len(x) for x in sets])
+    boxed = np.empty(len(sets), object)
+    boxed[:] = sets
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if group[i] == group[j]]
+    a, b = np.array(pairs).T
+    want = [5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])) for i, j in pairs]
+    assert 0 < sum(want) < len(want)
+    assert nearcopies.alike(np.array(group), n, boxed, a, b).tolist() == want
