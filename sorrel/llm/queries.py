@@ -52,7 +52,7 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import assign
 
     placed = assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "n_links", "n_cut")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

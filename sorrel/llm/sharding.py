@@ -18,7 +18,12 @@ sorts a whole shard.
 
 Cases: null and empty texts are groups like any other text (null ones: one group); rows
 that repeat an id are separate documents; an empty table gives no rows; fewer documents
-than shards leave shards with one or none.
+than shards leave shards with one or none. Other columns of the input do not come through;
+join them by id.
+
+What was achieved is in the output: `n_links` is the number of documents that a document is
+linked to, `n_cut` how many of these are in other shards. Half of the sum of `n_cut` is the
+number of cut links.
 """
 
 from __future__ import annotations
@@ -151,8 +156,18 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> D
     return every.join(go, "key", "left").select("key", "grp", "linked", F.coalesce("new", "shard").alias("shard"))
 
 
+def with_cuts(placed: DataFrame) -> DataFrame:
+    """placed (key, grp, linked, shard) with n_links and n_cut, from counts by group and shard."""
+    here = placed.where("linked").groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("_here"))
+    here = here.withColumn("_n", F.sum("_here").over(Window.partitionBy("grp")))
+    links, cut = F.col("_n") - 1, F.col("_n") - F.col("_here")
+    counted = placed.where("linked").join(here, ["grp", "shard"]).select(*placed.columns, links.alias("n_links"), cut.alias("n_cut"))
+    zero = F.lit(0).cast("long")
+    return counted.unionByName(placed.where("not linked").select("*", zero.alias("n_links"), zero.alias("n_cut")))
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32, shard, slot, linked): size is the UTF-8 bytes of the text plus 16; slots are gapless from 0 in each shard."""
+    """(id, size, text_crc32, shard, slot, linked, n_links, n_cut): size is the UTF-8 bytes of the text plus 16; slots are gapless from 0 in each shard."""
     scratch = Scratch(docs.sparkSession, "shards")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -172,7 +187,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col:
     rows = scratch.save(rows.withColumn("key", key).drop("nth"))
     scratch.keep(rows)
     n = rows.count()
-    placed = propagate(rows.select("key", "grp"), shards, rounds).select("key", "linked", "shard")
-    out = rows.join(placed, "key").select("key", "size", "text_crc32", "shard", "linked")
+    placed = with_cuts(scratch.save(propagate(rows.select("key", "grp"), shards, rounds))).drop("grp")
+    out = rows.join(placed, "key").select("key", "size", "text_crc32", "shard", "linked", "n_links", "n_cut")
     out = ranked(out, ["shard"], ["key"], "slot", max(1, n // (shards * BUCKET_ROWS // 4)))
-    return out.select(F.col("key.id").alias(id_col), "size", "text_crc32", "shard", "slot", "linked")
+    return out.select(F.col("key.id").alias(id_col), "size", "text_crc32", "shard", "slot", "linked", "n_links", "n_cut")

@@ -39,6 +39,25 @@ def test_law_and_groups(spark, n, shards):
         assert len(by[hot]) <= -(-size[hot] * shards // n) + 3  # whole shards, hardly more
 
 
+def test_cut_links(spark):
+    """The reported cuts are those of all pairs, and far fewer than hashing ids cuts."""
+    size = F.pmod(F.xxhash64(F.floor(F.col("id") / 5)), F.lit(5)) + 1
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.floor(F.col("id") / 5), F.floor(F.col("id") % 5 / size)).alias("text"))
+    rows = [r.asDict() for r in sharding.assign(docs, 9).collect()]
+    hashed = {r["id"]: r["s"] for r in spark.range(900).select("id", F.pmod(F.xxhash64("id"), F.lit(9)).alias("s")).collect()}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    links, cut, baseline = Counter(), Counter(), 0
+    for a in rows:
+        for b in rows:
+            if a["doc_id"] != b["doc_id"] and text[a["doc_id"]] == text[b["doc_id"]]:
+                links[a["doc_id"]] += 1
+                cut[a["doc_id"]] += a["shard"] != b["shard"]
+                baseline += hashed[a["doc_id"]] != hashed[b["doc_id"]]
+    assert all((r["n_links"], r["n_cut"]) == (links[r["doc_id"]], cut[r["doc_id"]]) for r in rows)
+    assert sum(links.values()) > 500
+    assert sum(cut.values()) <= 0.2 * baseline
+
+
 def test_awkward_rows(spark):
     docs = clashing(awkward(spark), "shard", "slot", "size", "key", "grp")
     rows = sharding.assign(docs, 3).collect()
