@@ -3,13 +3,15 @@
 Counts of a text (words, characters in words, symbols, repeated lines, words in repeated
 3-word windows) become a vector of five transformed statistics, rounded to thousandths.
 For each language and source, the location and scatter of these vectors are estimated by
-the minimum covariance determinant: from two starts (mean and covariance; medians and
-quartile ranges), concentration steps replace the estimate by that of the three quarters of
-rows nearest to it by Mahalanobis distance; the start that ends with the smaller
-determinant is taken, and reweighted once by the rows within the 97.5 % ellipsoid. A row is
-kept if its distance to the estimate is within a far quantile of the chi-square law.
-
-The steps are joins and aggregates: distances fall into bins of 1/32 on a log scale, and
+the minimum covariance determinant. There are four starts: mean and covariance; medians and
+quartile ranges; and, of the statistics centred and scaled by those, the correlations of
+their hyperbolic tangents and of their spatial signs. Concentration steps replace an
+estimate by that of the three quarters of rows nearest to it by Mahalanobis distance, until
+no determinant changes any more (MOST_STEPS bounds this); the start that ends with the
+smallest determinant is taken, and reweighted once by the rows within the 97.5 % ellipsoid.
+A row is kept if its distance to the estimate is within a far quantile of the chi-square law.
+
+The steps are joins and aggregates: distances fall into bins of 1/128 on a log scale, and
 the sums of each bin are what the next estimate needs, so that a step is one aggregation
 with map-side sums, whatever the size of a group. Sums are integers and so do not depend on
 the order of rows. A small floor is added to the variances, since a statistic that is 0
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +45,11 @@ PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 UNIT = 1000
 FLOORS = (0.15, 0.04, 0.05, 0.15, 0.12)
 KEPT_SHARE = 0.75
-STEPS = 4
+#: Bins of a unit of the logarithm of the squared distance.
+BINS = 128
+#: Steps end when no log determinant moves by more than SETTLED, or after so many.
+MOST_STEPS = 30
+SETTLED = 1e-4
 LEAST = 60
 REWEIGHT = 0.975
 #: A clean row of a normal group is rejected once in so many.
@@ -167,7 +174,7 @@ def _distance(df: DataFrame) -> DataFrame:
 
 
 def _medians(rows: DataFrame) -> DataFrame:
-    """Medians and quartile ranges by group, from counts of hundredths, as a diagonal estimate."""
+    """Medians and quartile ranges by group, from counts of hundredths, m_i and w_i."""
     width = UNIT // 100
     each = rows.select("g", F.posexplode(F.array(*[F.floor(F.col(x) / width) for x in NAMES])).alias("dim", "bin"))
     counts = each.groupBy("g", "dim", "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -176,8 +183,34 @@ def _medians(rows: DataFrame) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin"))) * width
     found = counts.groupBy("g", "dim").agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("wide"))
     wide = found.groupBy("g").agg(*[F.max(F.when(F.col("dim") == i, F.col("mid"))).cast("double").alias(f"m_{i}") for i in range(DIMS)], *[F.max(F.when(F.col("dim") == i, F.col("wide"))).alias(f"w_{i}") for i in range(DIMS)])
-    wide = wide.withColumns({f"c_{i}_{j}": F.col(f"w_{i}") * F.col(f"w_{i}") + F.lit((FLOORS[i] * UNIT) ** 2) if i == j else F.lit(0.0) for i, j in PAIRS})
-    return _factor(wide.drop(*[f"w_{i}" for i in range(DIMS)]))
+    return wide
+
+
+def _floored(i: int) -> Column:
+    """Scale of statistic i: its quartile range as a deviation, with the floor."""
+    return F.sqrt(F.col(f"w_{i}") * F.col(f"w_{i}") + F.lit((FLOORS[i] * UNIT) ** 2))
+
+
+def _diagonal(mid: DataFrame) -> DataFrame:
+    """Medians and quartile ranges as an estimate."""
+    own = {f"c_{i}_{j}": _floored(i) * _floored(j) if i == j else F.lit(0.0) for i, j in PAIRS}
+    return _factor(mid.withColumns(own).drop(*[f"w_{i}" for i in range(DIMS)]))
+
+
+def _bounded_scores(rows: DataFrame, mid: DataFrame, start: int) -> DataFrame:
+    """The estimate by correlations of bounded scores: hyperbolic tangents (start 2) or spatial signs (start 3)."""
+    z = [(F.col(x) - F.col(f"m_{i}")) / _floored(i) for i, x in enumerate(NAMES)]
+    if start == 2:
+        y = [F.tanh(v) for v in z]
+    else:
+        length = F.sqrt(sum((v * v for v in z), F.lit(1e-12)))
+        y = [v / length for v in z]
+    scored = rows.join(mid, "g").select("g", *[F.round(v * UNIT).cast("long").alias(x) for v, x in zip(y, NAMES, strict=True)])
+    sums = scored.groupBy("g").agg(*_sums())
+    n = F.col("n").cast("double")
+    second = lambda i, j: F.col(f"p_{i}_{j}") / n - F.col(f"s_x{i}") * F.col(f"s_x{j}") / (n * n) + F.lit(1.0 if i == j else 0.0)
+    own = {f"c_{i}_{j}": second(i, j) / F.sqrt(second(i, i) * second(j, j)) * _floored(i) * _floored(j) for i, j in PAIRS}
+    return _factor(sums.join(mid, "g").withColumns(own).drop("n", *[f"w_{i}" for i in range(DIMS)]))
 
 
 MODEL = ["g", "start", *[f"m_{i}" for i in range(DIMS)], *[f"l_{i}_{j}" for i, j in PAIRS], "det"]
@@ -186,15 +219,19 @@ MODEL = ["g", "start", *[f"m_{i}" for i in range(DIMS)], *[f"l_{i}_{j}" for i, j
 def estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(g, m_i, l_i_j): the estimate of each group of rows (g, x0 ...)."""
     plain = _estimate(rows.groupBy("g").agg(*_sums()), 1.0).withColumn("start", F.lit(0))
-    model = plain.select(*MODEL).unionByName(_medians(rows).withColumn("start", F.lit(1)).select(*MODEL))
-    model = scratch.save(model)
-    for _ in range(STEPS):
-        near = _distance(rows.join(model, "g")).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 32))
+    mid = scratch.save(_medians(rows))
+    starts = [plain, _diagonal(mid).withColumn("start", F.lit(1)), *[_bounded_scores(rows, mid, k).withColumn("start", F.lit(k)) for k in (2, 3)]]
+    model = scratch.save(reduce(DataFrame.unionByName, [s.select(*MODEL) for s in starts]))
+    for _ in range(MOST_STEPS):
+        near = _distance(rows.join(model, "g")).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS))
         bins = near.groupBy("g", "start", "bin").agg(*_sums())
         w = Window.partitionBy("g", "start")
         bins = bins.withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n")).withColumn("all", F.sum("n").over(w))
         half = bins.where(F.col("before") < KEPT_SHARE * F.col("all")).groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in SUMS])
-        model = scratch.save(_estimate(half, consistency(KEPT_SHARE)).select(*MODEL))
+        last, model = model, scratch.save(_estimate(half, consistency(KEPT_SHARE)).select(*MODEL))
+        change = model.join(last.select("g", "start", F.col("det").alias("was")), ["g", "start"])
+        if (change.agg(F.max(F.abs(F.col("det") - F.col("was"))).alias("m")).first()["m"] or 0.0) <= SETTLED:
+            break
     best = model.groupBy("g").agg(F.min_by(F.struct(*MODEL[1:]), F.struct("det", "start")).alias("m")).select("g", "m.*")
     inner = _distance(rows.join(best, "g")).where(F.col("d2") <= quantile(REWEIGHT, DIMS)).groupBy("g").agg(*_sums())
     return scratch.save(_estimate(inner, consistency(REWEIGHT)).drop("det"))
