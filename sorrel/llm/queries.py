@@ -103,6 +103,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.concat("base_spans", "added_spans")).alias("spans"), F.size("added_spans").cast("long").alias("n_added"), (F.size("base_spans") + F.size("added_spans") > 0).alias("has_personal"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exactdedup import match_copies
+
+    return match_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_outliers": op1_outliers,
     "op2_chat_format": op2_chat_format,
@@ -114,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": r"""
@@ -154,5 +161,10 @@ with words as (
 select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(h.n_hit, 0) as bigint) as n_hit, cast(coalesce(n.n_items, 0) as bigint) as n_items,
   sha256(coalesce(n.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(w.w) as contaminated
 from words w left join hits h using (doc_id) left join named n using (doc_id)
+""",
+    "op13_exact_dedup": r"""
+with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t, length(coalesce(text, '')) as n from documents)
+select doc_id, first_value(doc_id) over best as keep_id, count(*) over (partition by t) as group_size, row_number() over best = 1 as kept, sha256(t) as text_sha256
+from d window best as (partition by t order by n desc, doc_id nulls last)
 """,
 }

@@ -1,0 +1,90 @@
+"""Exact dedup against brute force, with weak digests, hot groups and awkward rows."""
+
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from sorrel.llm import exactdedup
+from sorrel.llm.exactdedup import keep_one, match_copies
+
+from helpers import DOCS, awkward, clashing
+
+
+def brute(rows):
+    """(id, keep_id, group_size, kept, sha) for each (id, text), sorted."""
+    groups = defaultdict(list)
+    for i, t in rows:
+        t = t or ""
+        groups["".join(c for c in t if c not in " \t\n\x0b\x0c\r")].append((-len(t), i is None, i if i is not None else 0, i))
+    out = []
+    for t, members in groups.items():
+        members.sort(key=lambda m: m[:3])
+        for k, m in enumerate(members):
+            out.append((m[3], members[0][3], len(members), k == 0, hashlib.sha256(t.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def got(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def mixed(spark, n=600, parts=7):
+    """Many copies of one text, groups of several sizes, blanks of all kinds, no-break spaces that count."""
+    pick = random.Random(4)
+    texts = ["the common  text", "thecommontext", " the common\ttext\n", "a b", "ab", "a b", None, "", " \r\n", "Ab", "\x0b\x0cab", "\x1cab", "é e", "ée"]
+    rows = [(pick.choice([k, k, k // 2, None]), pick.choice([*texts, *texts[:3] * 6, f"single {k}"])) for k in range(n)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+
+
+@pytest.mark.parametrize("digest", [exactdedup.sha256, lambda c: F.lit("same"), lambda c: F.substring(F.sha2(c, 256), 1, 1)])
+@pytest.mark.parametrize("least", [5, 1_000])
+def test_against_brute_force(spark, digest, least):
+    rows, docs = mixed(spark)
+    assert got(match_copies(docs, digest=digest, least_hot=least)) == brute(rows)
+
+
+def test_hot_groups_are_salted(spark):
+    rows, docs = mixed(spark)
+    plain = exactdedup._rows(docs, "doc_id", "text", exactdedup.sha256, None)
+    hot = exactdedup._hot(plain, len(rows), 20)
+    largest = max(r["salts"] for r in hot.collect())
+    assert largest > 3
+    salts = exactdedup._salted(plain, hot).where("salts is not null").groupBy("digest").agg(F.count_distinct("salt").alias("n")).agg(F.max("n")).first()[0]
+    assert salts > 3
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark)
+    assert got(match_copies(docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert match_copies(docs).where("kept").count() == 4
+
+
+def test_empty_and_clashing(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert match_copies(none).count() == 0
+    assert keep_one(none).columns == none.columns
+    assert keep_one(none).count() == 0
+    odd = clashing(awkward(spark), "Digest", "salt", "row", "member", "Kept", "a.b")
+    left = keep_one(odd)
+    assert left.columns == odd.columns
+    assert {r["row"] for r in left.collect()} == {"mine"}
+    assert match_copies(odd).count() == odd.count()
+
+
+def test_other_id_types(spark):
+    docs = spark.createDataFrame([("b", "x y"), ("a", "xy "), (None, "xy z")], "name string, body string")
+    found = {(r["name"], r["keep_id"], r["group_size"], r["kept"]) for r in match_copies(docs, "name", "body").collect()}
+    assert found == {("a", "a", 2, True), ("b", "a", 2, False), (None, None, 1, True)}
+
+
+@pytest.mark.parametrize("least", [5, 1_000])
+def test_keep_one(spark, least):
+    rows, docs = mixed(spark)
+    kept = sorted(((r["doc_id"], r["text"]) for r in keep_one(docs, least_hot=least).collect()), key=repr)
+    want = brute(rows)
+    assert sorted(str(k[0]) for k in kept) == sorted(str(w[0]) for w in want if w[3])
+    texts = ["".join(c for c in (t or "") if c not in " \t\n\x0b\x0c\r") for _, t in kept]
+    assert len(set(texts)) == len(texts) == len({w[4] for w in want})
