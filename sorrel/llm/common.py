@@ -133,3 +133,26 @@ def annotate(
             yield out if mask is None else out.filter(pa.array(mask))
 
     return df.mapInArrow(run, T.StructType(kept + fields))
+
+
+#: Keys whose totals are broadcast; more are joined by a shuffle, with salts.
+BROADCAST_KEYS = 100_000
+SALTS = 32
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, keys: list[str], by: str, limit: int = BROADCAST_KEYS, how: str = "inner") -> DataFrame:
+    """rows with the other columns of totals, which has one row for each value of keys; nulls equal each other.
+
+    Up to `limit` totals, as counted, are broadcast. More are repeated for each of SALTS salts, and
+    rows take theirs from a hash of `by`, so that a key with a third of all rows is many keys."""
+    totals = Scratch(rows.sparkSession, "totals").save(totals)
+    salt, aside = unused(rows, "_salt"), [unused(rows, f"_key{k}") for k in range(len(keys))]
+    totals = totals.withColumnsRenamed(dict(zip(keys, aside)))
+    if totals.count() <= limit:
+        totals, equal = F.broadcast(totals), []
+    else:
+        rows = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+        totals = totals.withColumn(f"{salt}2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        equal = [F.col(salt) == F.col(f"{salt}2")]
+    met = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, aside)] + equal
+    return rows.join(totals, met, how).drop(*aside, salt, f"{salt}2")

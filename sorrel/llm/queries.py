@@ -103,6 +103,15 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(written(F.col("base_spans")), 256).alias("base_sha256"), written(F.concat("base_spans", "added_spans")).alias("spans"), F.size("added_spans").cast("long").alias("n_added"), (F.size("base_spans") + F.size("added_spans") > 0).alias("has_personal"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectorcodes import compress, with_label_errors
+
+    arrow_rows(spark, 2000)
+    done = compress(table(spark, sf_dir, "embeddings"))
+    rows = with_label_errors(done.codes)
+    return rows.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(done.sha256()).alias("codebooks_sha256"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exactdedup import match_copies
 
@@ -120,9 +129,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
+    "op11_vector_codes": op11_vector_codes,
     "op13_exact_dedup": op13_exact_dedup,
 }
+
+
+def _lloyd_sql(rounds: int = 4) -> str:
+    """The rounds of op11 one after the other: points and entries as lists of doubles, which hold these integers exactly."""
+    nearest = """a{k} as materialized (
+  select r, p, v, m.e as e, m.d as d from (
+    select r, p, any_value(v) as v, min(struct_pack(d := list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c), e := e)) as m
+    from points join b{k} using (p) group by r, p))"""
+    means = """b{n} as materialized (
+  select p, b{k}.e, coalesce(x.c, b{k}.c) as c from b{k} left join (
+    select p, e, list(f order by i) as c from (
+      select p, e, i, floor(sum(v[i]) / count(*)) as f from a{k}, (select unnest(generate_series(1, (select max(len(v)) from points))) as i) group by p, e, i) group by p, e) x using (p, e))"""
+    steps = [nearest.format(k=0)]
+    for k in range(rounds):
+        steps += [means.format(k=k, n=k + 1), nearest.format(k=k + 1)]
+    return f"""
+with kept as materialized (
+  select row_number() over (order by vec_id nulls last, x) as r, * from (
+    select vec_id, label, list_transform(embedding, lambda v: floor(cast(v as double) * 1024)) as x
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0)
+), points as materialized (
+  select r, p, x[p * (len(x) // 4) + 1 : (p + 1) * (len(x) // 4)] as v from kept, (select unnest(generate_series(0, 3)) as p)
+), b0 as materialized (
+  select p, r - 1 as e, v as c from points where r <= 256
+), {", ".join(steps)}, coded as (
+  select r, lower(string_agg(printf('%02x', e), '' order by p)) as code, cast(sum(d) as bigint) as error from a{rounds} group by r
+), books as (
+  select sha256(string_agg(array_to_string(list_transform(c, lambda v: cast(cast(v as bigint) as varchar)), ','), ',' order by p, e)) as codebooks_sha256 from b{rounds}
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from kept join coded using (r), books
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_vector_codes": _lloyd_sql(),
     "op2_chat_format": r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
