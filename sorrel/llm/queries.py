@@ -112,6 +112,13 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("vec_id"), F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(done.sha256()).alias("codebooks_sha256"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    arrow_rows(spark)
+    return audit(table(spark, sf_dir, "documents"))
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exactdedup import match_copies
 
@@ -130,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_personal_data": op10_personal_data,
     "op11_vector_codes": op11_vector_codes,
+    "op12_divergence": op12_divergence,
     "op13_exact_dedup": op13_exact_dedup,
 }
 
@@ -205,6 +213,36 @@ with words as (
 select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(h.n_hit, 0) as bigint) as n_hit, cast(coalesce(n.n_items, 0) as bigint) as n_items,
   sha256(coalesce(n.ids, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 and 20 * coalesce(h.n_hit, 0) >= len(w.w) as contaminated
 from words w left join hits h using (doc_id) left join named n using (doc_id)
+""",
+    "op12_divergence": r"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), words as (
+  select r, lang, source, unnest(w) as term from docs
+), terms as materialized (
+  select lang, term, count(*) as total from words group by lang, term having count(distinct r) >= 3
+), counts as materialized (
+  select lang, source, term, count(*) as n from words join terms using (lang, term) group by lang, source, term
+), langs as (
+  select lang, count(*) as v, sum(total) as size from terms group by lang
+), sized as (
+  select lang, source, coalesce(sum(n), 0) as size from (select distinct lang, source from docs) left join counts using (lang, source) group by lang, source
+), probs as materialized (
+  select s.lang, s.source, t.term, coalesce(c.n, 0) as n,
+    cast(1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (s.size + l.v) as hugeint) as p, cast(1 + (1000000000::hugeint * (t.total + 1)) // (l.size + l.v) as hugeint) as q
+  from sized s join langs l using (lang) join terms t using (lang) left join counts c on c.lang = s.lang and c.source = s.source and c.term = t.term
+), pairs as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+  from probs a join probs b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), listed as (
+  select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(p.value, 0) as bigint) as value
+  from sized a join sized b on a.lang = b.lang and a.source <> b.source left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+  union all
+  select lang, source, 'term', term, cast(((p - q) * (p - q)) // q as bigint) from probs where n > 0 and p > q
+)
+select * from (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from listed) where part = 'pair' or rank <= 200
 """,
     "op13_exact_dedup": r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t, length(coalesce(text, '')) as n from documents)

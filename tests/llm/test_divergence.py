@@ -1,0 +1,90 @@
+"""The audit against whole numbers in plain Python: bounds, tiles, ties and awkward rows."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from sorrel.llm.common import arrow_rows
+from sorrel.llm.divergence import Audit, audit
+
+from helpers import DOCS, awkward, clashing
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+
+
+def brute(rows, top, least=3):
+    groups, docs = defaultdict(Counter), defaultdict(Counter)
+    for text, lang, source in rows:
+        words = TERM.findall((text or "").translate(LOWER))
+        groups[lang or "", source or ""].update(words)
+        docs[lang or ""].update(set(words))
+    out = []
+    for lang in docs:
+        kept = [t for t, d in docs[lang].items() if d >= least]
+        own = {s: c for (l, s), c in groups.items() if l == lang}
+        total = {t: sum(c[t] for c in own.values()) for t in kept}
+        probs = lambda c: {t: 1 + 10**9 * (c[t] + 1) // (sum(c[u] for u in kept) + len(kept)) for t in kept}
+        f = lambda p, q: (p - q) ** 2 // q
+        q = probs(total)
+        p = {s: probs(c) for s, c in own.items()}
+        for s in own:
+            lists = {
+                "pair": [(sum(f(p[s][t], p[o][t]) for t in kept), o) for o in own if o != s],
+                "term": [(f(p[s][t], q[t]), t) for t in kept if own[s][t] and p[s][t] > q[t]],
+            }
+            for part, found in lists.items():
+                found.sort(key=lambda x: (-x[0], x[1].encode()))
+                out += [(lang, s, part, item, value, k + 1) for k, (value, item) in enumerate(found) if part == "pair" or k < top]
+    return sorted(out)
+
+
+def got(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def corpus(seed, n=240, langs=3, sources=5):
+    """Words of uneven frequency; some of a source only, some tied, and a language with few documents."""
+    pick = random.Random(seed)
+    rows = []
+    for k in range(n):
+        lang, source = f"l{pick.randrange(langs)}", f"s{pick.randrange(sources)}"
+        words = [f"w{'abcdefghij'[min(9, int(pick.expovariate(0.4)))]}{'xyz'[pick.randrange(3)]}" for _ in range(pick.randrange(40))]
+        words += [f"only{source[-1] * 3}q".replace("1", "b").replace("2", "c")] * pick.randrange(3) + ["Straße", "ÉTÉ", "it's", "x1y2"][: pick.randrange(5)]
+        rows.append((" ".join(words), lang, source))
+    return [*rows, ("aa bb cc", "few", "s1"), ("aa dd", "few", "s2"), (None, "few", None), ("zz yy", None, None)]
+
+
+@pytest.mark.parametrize(("top", "block", "piece"), [(200, 256, 200_000), (3, 2, 30), (1, 3, 7)])
+def test_against_brute_force(spark, top, block, piece):
+    rows = corpus(top)
+    docs = spark.createDataFrame(rows, "text string, lang string, source string").repartition(3)
+    assert got(audit(docs, top=top, block=block, piece=piece)) == brute(rows, top)
+
+
+def test_bounds_close_buckets(spark):
+    """Only part of the terms is evaluated, and ties at the last rank are complete."""
+    rows = [(" ".join(f"{c}{d}" * 2 for c in "abcdefgh" for d in "mnopqrst" if (ord(c) * 7 + ord(d) * 3 + k) % 5), "en", f"s{k % 4}") for k in range(60)]
+    rows += [("rare tied " * (3 + k % 4), "en", "s1") for k in range(6)]
+    rows += [("burst peak " * 300 * (s + 1), "en", f"s{s}") for s in range(4) for _ in range(3) if s % 2]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    done = Audit(docs)
+    for top in (1, 2, 5):
+        assert got(done.top_terms(top)) == [(l, s, i, v, r) for l, s, part, i, v, r in brute(rows, top) if part == "term"]
+    assert done.evaluated(2).count() < done.evaluated(10**6).count()
+
+
+def test_awkward_rows(spark):
+    arrow_rows(spark, 3)
+    docs = awkward(spark)
+    rows = [(r["text"], r["lang"], r["source"]) for r in docs.collect()]
+    assert got(audit(docs)) == brute(rows, 200)
+    three = docs.union(docs).union(docs)
+    assert got(audit(clashing(three, "n", "no", "term", "value", "P"))) == brute(rows * 3, 200)
+    arrow_rows(spark)
+
+
+def test_empty(spark):
+    assert audit(spark.createDataFrame([], DOCS)).count() == 0
