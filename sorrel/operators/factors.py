@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.metrics import dot
 from ..functions.text import clamp
+from ..scratch import Scratch
 from .split import split_by_time
 
 FACTORS = 16
@@ -47,15 +48,17 @@ def global_mean(train: DataFrame, value: str = "rating") -> float:
     return train.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("m")).first()["m"]
 
 
-def initial_factors(train: DataFrame, factors: int = FACTORS, seed: int = 42, user: str = "userId", item: str = "movieId") -> Model:
-    """Seeded normal factors with deviation 0.05 for ids 0 .. the largest, made from hashes, so that any partitioning gives the same."""
+def initial_factors(train: DataFrame, factors: int = FACTORS, seed: int = 42, user: str = "userId", item: str = "movieId", top_user: int | None = None, top_item: int | None = None, uniform: bool = False) -> Model:
+    """Seeded factors for ids 0 .. the largest (of train, unless given), made from hashes, so that any partitioning gives the same: normal with deviation 0.05, or uniform within 0.05."""
     top = train.agg(F.max(user).alias("u"), F.max(item).alias("i")).first()
+    top = {"u": top["u"] if top_user is None else top_user, "i": top["i"] if top_item is None else top_item}
     spark = train.sparkSession
 
     def make(n: int | None, salt: int) -> DataFrame:
         unit = lambda c: (F.pmod(F.xxhash64("id", c, F.lit(salt), F.lit(seed)), F.lit(1 << 40)).cast("double") + 1) / F.lit(float((1 << 40) + 1))
         normal = lambda c: F.sqrt(-2 * F.log(unit(c))) * F.cos(2 * F.pi() * unit(c + 1000)) * 0.05
-        return spark.range((n if n is not None else -1) + 1).select(F.col("id").cast("int").alias("id"), F.transform(F.sequence(F.lit(1), F.lit(factors)), normal).alias("features"))
+        flat = lambda c: (unit(c) * 2 - 1) * 0.05
+        return spark.range((n if n is not None else -1) + 1).select(F.col("id").cast("int").alias("id"), F.transform(F.sequence(F.lit(1), F.lit(factors)), flat if uniform else normal).alias("features"))
 
     return Model(make(top["u"], 1), make(top["i"], 2), global_mean(train))
 
@@ -190,15 +193,20 @@ def recall_at_k(train_rows: DataFrame, val_rows: DataFrame, test_rows: DataFrame
     return Recall(overall, each, unseen, without)
 
 
-def run_pipeline(ratings: DataFrame, movies: DataFrame, order: list[str], epochs: list[int] | None = None, options: TrainOptions = TrainOptions(), k: int = 10, user: str = "userId", item: str = "movieId") -> DataFrame:
-    """One row of the whole evaluation: split by time, train with a history, take the epoch of the smallest validation error, and measure it on the test rows.
+#: From train and validation rows to a history and the models of its epochs.
+Trainer = Callable[[DataFrame, DataFrame], tuple[DataFrame, dict[int, Model]]]
+
+
+def run_pipeline(ratings: DataFrame, movies: DataFrame, order: list[str], epochs: list[int] | None = None, options: TrainOptions = TrainOptions(), k: int = 10, user: str = "userId", item: str = "movieId", trainer: Trainer | None = None) -> DataFrame:
+    """One row of the whole evaluation: split by time, train with a history, take the epoch of the smallest validation error, and measure it on the test rows. Trained by alternating least squares for each of `epochs`, or by `trainer`.
 
     (n_train, n_val, n_test, best_epoch, trainRMSE, valRMSE, test_rmse, baseline_rmse, overall_recall, n_users)"""
-    parts = split_by_time(ratings, order, user).persist()
+    parts = Scratch(ratings.sparkSession, "split").save(split_by_time(ratings, order, user))
     train_rows, val_rows, test_rows = (parts.where(F.col("part") == p) for p in ("train", "val", "test"))
     sizes = parts.groupBy().pivot("part", ["train", "val", "test"]).agg(F.count(F.lit(1)))
-    history, models = train_with_history(train_rows, val_rows, epochs or [options.epochs], options)
-    best = best_checkpoint(history)
+    trainer = trainer or (lambda rows, val: train_with_history(rows, val, epochs or [options.epochs], options))
+    history, models = trainer(train_rows, val_rows)
+    best = best_checkpoint(history.select("epoch", "trainRMSE", "valRMSE"))
     model = models[best.first()["epoch"]]
     one = [
         sizes.select(F.coalesce("train", F.lit(0)).alias("n_train"), F.coalesce("val", F.lit(0)).alias("n_val"), F.coalesce("test", F.lit(0)).alias("n_test")),

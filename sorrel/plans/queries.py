@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.metrics import dot
 from ..operators import baskets as bk
-from ..operators import cleaning, collaborative, content, factors, graph, rules, split
+from ..operators import cleaning, collaborative, content, factors, gradient, graph, rules, split
+from ..scratch import Scratch
 from ..sources import readers
 from ..sources.readers import table
 from . import views
@@ -332,14 +333,67 @@ def als_best_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
     return factors.best_checkpoint(als_history(spark, sf))
 
 
+def _trained(spark: SparkSession, sf: str) -> gradient.Trained:
+    """One run of 20 epochs from seeded factors."""
+    p = Scratch(spark, "split").save(split.split_by_time(_timed(spark, sf), SPLIT_ORDER))
+    train_rows = p.where("part = 'train'")
+    top = p.agg(F.max("userId").alias("u"), F.max("movieId").alias("i")).first()
+    return gradient.train_gradient(train_rows, p.where("part = 'val'"), factors.initial_factors(train_rows, top_user=top["u"], top_item=top["i"]))
+
+
+@query(None)
+def mf_history(spark: SparkSession, sf: str) -> DataFrame:
+    return _trained(spark, sf).history
+
+
+@query(None)
+def mf_best_checkpoint(spark: SparkSession, sf: str) -> DataFrame:
+    return factors.best_checkpoint(_trained(spark, sf).history)
+
+
+#: Steps that SQL can follow: fixed start factors, a batch for each diagonal.
+FIXED_STEPS = gradient.GradientOptions(epochs=2, lr=0.05, reg=0.001, batch_size=1_000_000_000, blocks=2)
+
+
+def _steps_sql(o: gradient.GradientOptions) -> str:
+    """(epoch, trainRMSE, valRMSE) by one list of factors and two of moments for each row, step after step."""
+    step = """e{t} as materialized (
+ select userId, movieId, p.w as pw, q.w as qw, 2.0::double / (select count(*) from fit where d = {d}) * (3.0::double + list_dot_product(p.w, q.w) - rating) as e
+ from fit join w{s} p on p.side = 0 and p.id = userId join w{s} q on q.side = 1 and q.id = movieId where d = {d}),
+g{t} as materialized (
+ select side, id, list(s order by j) as g from (select side, id, j, sum(e * o[j]) as s from (select 0 as side, userId as id, qw as o, e from e{t} union all select 1, movieId, pw, e from e{t}), (select unnest(generate_series(1, 64)) as j) group by side, id, j) group by side, id),
+f{t} as (select w{s}.*, list_transform(generate_series(1, 64), lambda j: coalesce(g[j], 0) + {decay}::double * w[j]) as g from w{s} left join g{t} using (side, id)),
+h{t} as (select side, id, w, list_transform(generate_series(1, 64), lambda j: 0.9::double * m[j] + 0.1::double * g[j]) as m, list_transform(generate_series(1, 64), lambda j: 0.999::double * v[j] + 0.001::double * g[j] * g[j]) as v from f{t}),
+w{t} as materialized (select side, id, list_transform(generate_series(1, 64), lambda j: w[j] - {lr}::double * (m[j] / {c1!r}::double) / (sqrt(v[j] / {c2!r}::double) + 1e-7::double)) as w, m, v from h{t})"""
+    steps, errors, t = [], [], 0
+    for epoch in range(1, o.epochs + 1):
+        for d in range(o.blocks):
+            t += 1
+            steps.append(step.format(t=t, s=t - 1, d=d, decay=2 * o.reg, lr=o.lr, c1=1 - gradient.BETA1**t, c2=1 - gradient.BETA2**t))
+        for part in ("train", "val"):
+            guess = "case when p.id is null or q.id is null then 3.0 else least(5.0, greatest(1.0, 3.0 + list_dot_product(p.w, q.w))) end"
+            errors.append(f"select {epoch} as epoch, '{part}' as part, sqrt(avg(pow({guess} - rating, 2))) as rmse from parts left join w{t} p on p.side = 0 and p.id = userId left join w{t} q on q.side = 1 and q.id = movieId where part = '{part}'")
+    return f"""with {PARTS}, {VECTORS}, fit as materialized (select userId, movieId, rating, ((movieId - userId) % {o.blocks} + {o.blocks}) % {o.blocks} as d from parts where part = 'train'),
+w0 as materialized (select side, id, f as w, list_transform(f, lambda x: 0.0::double) as m, list_transform(f, lambda x: 0.0::double) as v from vectors, (select unnest([0, 1]) as side)), {", ".join(steps)},
+errors as ({" union all ".join(errors)})
+select epoch, round(max(rmse) filter (part = 'train'), 6) as train_rmse, round(max(rmse) filter (part = 'val'), 6) as val_rmse from errors group by epoch"""
+
+
+@query(_steps_sql(FIXED_STEPS))
+def mf_epochs_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    p = Scratch(spark, "split").save(split.split_by_time(views.ratings(spark, sf), SPLIT_ORDER))
+    done = gradient.train_gradient(p.where("part = 'train'"), p.where("part = 'val'"), views.fixed_model(spark, sf), FIXED_STEPS)
+    return done.history.select("epoch", F.round("trainRMSE", 6).alias("train_rmse"), F.round("valRMSE", 6).alias("val_rmse"))
+
+
 @query(None)
 def mf_run_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    return factors.run_pipeline(_timed(spark, sf), views.movies(spark, sf), SPLIT_ORDER, [5, 20])
+    return gradient.run_pipeline(_timed(spark, sf), views.movies(spark, sf), SPLIT_ORDER)
 
 
 @query(None)
 def mf_embeddings_validation(spark: SparkSession, sf: str) -> DataFrame:
-    return factors.train_embeddings(_timed(spark, sf))[1]
+    return gradient.train_embedding_model(_timed(spark, sf), SPLIT_ORDER)[0]
 
 
 GRAPH = """edges as (select distinct user_id as src, cast(regexp_extract(props, '"k":\\s*(\\d+)', 1) as bigint) + 1000000 as dst from events),
