@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -16,14 +16,16 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.metrics import dot
 from ..functions.text import clamp
 from ..scratch import Scratch
+from .ranks import with_place
 from .split import split_by_time
 
 FACTORS = 16
 LOW, HIGH = 1.0, 5.0
 RELEVANT = 4.0
-#: Items whose factors are broadcast at once in top-K, and users that are scored in one product.
+#: Items whose factors are broadcast at once in top-K; items of a block, and users that are scored in one product.
 BROADCAST_ITEMS = 100_000
-USERS = 32
+ITEM_BLOCK = 512
+USERS = 256
 
 
 @dataclass(frozen=True)
@@ -118,54 +120,116 @@ def train_with_history(train_rows: DataFrame, val_rows: DataFrame, epochs: list[
     return train_rows.sparkSession.createDataFrame(rows, "epoch int, trainRMSE double, valRMSE double"), models
 
 
-def _best_of_block(ids: np.ndarray, factors: np.ndarray, mean: float, k: int, kinds: tuple[pa.DataType, pa.DataType]):
-    """Rows (user, features, seen) to the k best unseen items of one block for each user: (user, item, score)."""
+@dataclass
+class _Best:
+    """The k best items so far of some users, as matrices with -inf for places still empty: rounded scores rank, ties go to the smaller item."""
+
+    items: np.ndarray
+    scores: np.ndarray
+
+    def kth(self) -> np.ndarray:
+        return np.round(self.scores[:, -1], 9)
+
+    def merge(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Take in the scores of one block of items for these rows."""
+        k = self.scores.shape[1]
+        every = np.concatenate([self.scores[rows], scores], axis=1)
+        rounded = np.round(every, 9)
+        least = np.partition(rounded, rounded.shape[1] - k, axis=1)[:, -k]
+        at, place = np.nonzero((rounded >= least[:, None]) & (every > -np.inf))
+        own = np.where(place < k, self.items[rows[at], np.minimum(place, k - 1)], ids[np.maximum(place - k, 0)])
+        order = np.lexsort((own, -rounded[at, place], at))
+        at, place, own = at[order], place[order], own[order]
+        nth = np.arange(len(at)) - np.searchsorted(at, at)
+        at, place, own, nth = (x[nth < k] for x in (at, place, own, nth))
+        self.scores[rows] = -np.inf
+        self.scores[rows[at], nth] = every[at, place]
+        self.items[rows[at], nth] = own
+
+
+def _visit(ids: np.ndarray, factors: np.ndarray, norms: np.ndarray, next_norm: float, mean: float, k: int, block: int, item_kind: pa.DataType):
+    """Rows (user, features, seen, items, scores, visited, open) after the items of one wave, which come by falling norm. A user is open while |p| |q| of the next item could still reach the k-th score."""
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.arange(0, len(ids), block)
+    # the largest norm from each block on, and beyond the wave
+    ahead = np.append(norms[starts], next_norm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            users, items, scores = [], [], []
             for a in range(0, batch.num_rows, USERS):
                 part = batch.slice(a, USERS)
-                p = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
-                every = mean + p @ factors.T
-                for i, seen in enumerate(part.column(2)):
-                    own = every[i]
-                    if seen.is_valid and len(seen):
-                        own[np.isin(ids, np.asarray(seen.values))] = -np.inf
-                    rounded = np.round(own, 9)
-                    least = np.partition(rounded, len(rounded) - k)[len(rounded) - k] if k < len(rounded) else -np.inf
-                    top = np.flatnonzero((rounded >= least) & (own > -np.inf))
-                    top = top[np.lexsort((ids[top], -rounded[top]))][:k]
-                    users += [part.column(0)[i].as_py()] * len(top)
-                    items.append(ids[top])
-                    scores.append(own[top])
-            if users:
-                yield pa.RecordBatch.from_arrays([pa.array(users, kinds[0]), pa.array(np.concatenate(items), kinds[1]), pa.array(np.concatenate(scores))], names=["user", "item", "score"])
+                n = part.num_rows
+                p = np.array(part.column(1).to_pylist(), np.float64).reshape(n, -1)
+                best = _Best(np.zeros((n, k), ids.dtype), np.full((n, k), -np.inf))
+                for i, (own, scores) in enumerate(zip(part.column(3).to_pylist(), part.column(4).to_pylist())):
+                    best.items[i, : len(own)], best.scores[i, : len(own)] = own, scores
+                seen = [np.asarray(s.values) if s.is_valid and len(s) else np.zeros(0, ids.dtype) for s in part.column(2)]
+                user, gone = np.repeat(np.arange(n), [len(s) for s in seen]), np.concatenate(seen)
+                at = by_id[np.minimum(np.searchsorted(ids[by_id], gone), len(ids) - 1)]
+                user, at = user[ids[at] == gone], at[ids[at] == gone]
+                reach = np.linalg.norm(p, axis=1) * (1 + 1e-9)
+                visited = part.column(5).to_numpy().copy()
+                rows = np.arange(n)
+                for j, start in enumerate(starts):
+                    # strictly below the k-th, by more than rounding can make up for
+                    rows = rows[~(mean + reach[rows] * ahead[j] < best.kth()[rows] - 1e-8)]
+                    if not len(rows):
+                        break
+                    scores = mean + p[rows] @ factors[start : start + block].T
+                    place = np.full(n, -1)
+                    place[rows] = np.arange(len(rows))
+                    hide = (at >= start) & (at < start + block) & (place[user] >= 0)
+                    scores[place[user[hide]], at[hide] - start] = -np.inf
+                    best.merge(rows, ids[start : start + block], scores)
+                    visited[rows] += 1
+                left = ~(mean + reach * ahead[-1] < best.kth() - 1e-8) if next_norm > -np.inf else np.zeros(n, bool)
+                full = best.scores > -np.inf
+                offsets = np.concatenate([[0], np.cumsum(full.sum(1))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[full], kind)) for x, kind in ((best.items, item_kind), (best.scores, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *lists, pa.array(visited), pa.array(left)], names=["user", "features", "seen", "items", "scores", "visited", "open"])
 
     return run
 
 
-def top_k(users: DataFrame, model: Model, movies: DataFrame, seen: DataFrame, k: int = 10, user: str = "userId", item: str = "movieId") -> DataFrame:
-    """(user, item, title, score, rank): for given users, unclamped scores of the movies (id, title) that they have not seen. No rows for k <= 0.
+def best_items(users: DataFrame, model: Model, movies: DataFrame, seen: DataFrame, k: int = 10, user: str = "userId", item: str = "movieId", block: int = ITEM_BLOCK) -> DataFrame:
+    """(user, items, scores, visited, blocks): each user's k best unseen items in order, and how many of all blocks of items were scored for it.
 
-    A user travels with the items they have seen; blocks of at most BROADCAST_ITEMS item factors
-    are broadcast one after the other, and a block gives each user's k best by one product of
-    matrices. Pairs of users and items are never rows; what is shuffled is k rows a user and block."""
+    Items lie in blocks by falling norm. |p| |q| bounds every score that is still to come, so a user
+    stops as soon as that is below the k-th score; most blocks are scored for few users. A user
+    travels with the items they have seen and their k best. At most BROADCAST_ITEMS items are
+    broadcast at once, a wave; users that are still open after it are saved and go through the next."""
     spark = users.sparkSession
-    known = model.items.join(movies.select("id").distinct(), "id", "left_semi")
-    blocks = max(1, -(-known.count() // BROADCAST_ITEMS))
+    scratch = Scratch(spark, "best")
+    norm = F.sqrt(F.aggregate("features", F.lit(0.0), lambda s, x: s + x * x)).alias("norm")
+    known = with_place(model.items.join(movies.select("id").distinct(), "id", "left_semi").select("id", "features", norm), F.desc("norm"), "id", name="place", first=0)
+    n = known.count()
     own = seen.select(F.col(user).alias("_s"), F.col(item).alias("_i")).groupBy("_s").agg(F.collect_set("_i").alias("seen"))
-    u = users.select(F.col(user)).distinct().join(model.users, F.col(user) == F.col("id")).join(own, F.col(user) == F.col("_s"), "left").select(F.col(user).alias("user"), "features", "seen")
-    kinds = (users.schema[user].dataType, model.items.schema["id"].dataType)
-    schema = T.StructType([T.StructField("user", kinds[0]), T.StructField("item", kinds[1]), T.StructField("score", T.DoubleType())])
-    found = spark.createDataFrame([], schema)
-    for block in range(blocks) if k > 0 else ():
-        rows = known.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "features").toPandas()
-        if len(rows):
-            run = _best_of_block(rows["id"].to_numpy(), np.stack(rows["features"].to_numpy()).astype(np.float64), model.mean, k, tuple(map(to_arrow_type, kinds)))
-            found = found.unionByName(u.mapInArrow(run, schema))
-    order = (F.desc(F.round("score", 9)), F.col("item"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("user").orderBy(*order))).where(F.col("rank") <= k)
+    u = users.select(F.col(user)).distinct().join(model.users, F.col(user) == F.col("id")).join(own, F.col(user) == F.col("_s"), "left")
+    id_kind = model.items.schema["id"].dataType
+    nothing = F.array().cast(T.ArrayType(id_kind)), F.array().cast("array<double>")
+    state = u.select(F.col(user).alias("user"), "features", F.col("seen").cast(T.ArrayType(id_kind)).alias("seen"), nothing[0].alias("items"), nothing[1].alias("scores"), F.lit(0).cast("long").alias("visited"), F.lit(True).alias("open"))
+    schema, done = state.schema, None
+    for first in range(0, n if k > 0 else 0, BROADCAST_ITEMS):
+        rows = known.where((F.col("place") >= first) & (F.col("place") <= first + BROADCAST_ITEMS)).toPandas().sort_values("place")
+        following = rows["norm"].iloc[BROADCAST_ITEMS] if len(rows) > BROADCAST_ITEMS else -np.inf
+        wave = rows.iloc[:BROADCAST_ITEMS]
+        factors = np.stack(wave["features"].to_numpy()).astype(np.float64)
+        run = _visit(wave["id"].to_numpy(), factors, wave["norm"].to_numpy(), following, model.mean, k, block, to_arrow_type(id_kind))
+        state = scratch.save(state.mapInArrow(run, schema))
+        ended = state.where(~F.col("open"))
+        done = ended if done is None else done.unionByName(ended)
+        state = state.where("open")
+        if following == -np.inf or state.isEmpty():
+            break
+    out = state.limit(0) if done is None else done
+    blocks = sum(-(-min(BROADCAST_ITEMS, n - first) // block) for first in range(0, n, BROADCAST_ITEMS))
+    return out.select("user", "items", "scores", "visited", F.lit(blocks).cast("long").alias("blocks"))
+
+
+def top_k(users: DataFrame, model: Model, movies: DataFrame, seen: DataFrame, k: int = 10, user: str = "userId", item: str = "movieId") -> DataFrame:
+    """(user, item, title, score, rank): for given users, unclamped scores of the movies (id, title) that they have not seen. No rows for k <= 0. See best_items; pairs of users and items are never rows."""
+    found = best_items(users, model, movies, seen, k, user, item).select("user", F.posexplode(F.arrays_zip("items", "scores")).alias("place", "best"))
+    ranked = found.select("user", F.col("best.items").alias("item"), F.col("best.scores").alias("score"), (F.col("place") + 1).alias("rank"))
     titles = movies.select(F.col("id").alias("item"), "title")
     return ranked.join(titles, "item").select(F.col("user").alias(user), F.col("item").alias(item), "title", "score", "rank")
 

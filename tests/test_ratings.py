@@ -187,3 +187,30 @@ def test_run_pipeline_and_older_flow(spark):
     assert 0 <= got[0]["overall_recall"] <= 1 and got[0]["baseline_rmse"] > 0
     loss = factors.train_embeddings(r)[1].first()
     assert 0 <= loss["loss"] < 5 and loss["val_loss"] >= 0
+
+
+@pytest.mark.parametrize(("wave", "block"), [(100_000, 8), (40, 8), (7, 3)])
+def test_top_k_stops_by_norm(spark, monkeypatch, wave, block):
+    """Falling norms: few blocks are scored, and the result is that of scoring everything; ties and seen items included."""
+    import numpy as np
+
+    from sorrel.operators import factors
+
+    monkeypatch.setattr(factors, "BROADCAST_ITEMS", wave)
+    pick = np.random.default_rng(8)
+    items = {i: (pick.integers(-4, 5, 3) / (1 + i // 10)).tolist() for i in range(1, 121)}
+    items[200] = items[201] = items[5]
+    people = {u: pick.integers(-3, 4, 3).astype(float).tolist() for u in range(1, 30)} | {99: [0.0, 0.0, 0.0]}
+    gone = {(u, i) for u in people for i in range(1, 40) if (u * i) % 5 == 0}
+    model = factors.Model(spark.createDataFrame(list(people.items()), "id int, features array<double>"), spark.createDataFrame(list(items.items()), "id int, features array<double>"), 3.0)
+    movies = spark.createDataFrame([(i, f"m{i}") for i in items if i != 3], "id int, title string")
+    users = spark.createDataFrame([(u,) for u in [*people, 1, 555]], "userId int")
+    seen = spark.createDataFrame(sorted(gone), "userId int, movieId int")
+    done = {r["user"]: r for r in factors.best_items(users, model, movies, seen, 4, block=block).collect()}
+    assert set(done) == set(people)
+    for u, p in people.items():
+        scored = sorted((-round(3.0 + sum(a * b for a, b in zip(p, q, strict=True)), 9), i) for i, q in items.items() if i != 3 and (u, i) not in gone)
+        assert list(zip((-np.round(done[u]["scores"], 9)).tolist(), done[u]["items"], strict=True)) == scored[:4]
+    blocks = sum(-(-min(wave, 121 - first) // block) for first in range(0, 121, wave))
+    assert max(r["visited"] for r in done.values()) == done[99]["blocks"] == blocks
+    assert sum(r["visited"] for r in done.values()) < 0.8 * sum(r["blocks"] for r in done.values())
