@@ -166,14 +166,31 @@ def test_top_k_leaves_out_seen_items_and_breaks_ties_by_id(spark, monkeypatch):
     assert factors.top_k(asked, model, movies, seen, 0).count() == 0
 
 
-def test_popular_keys_meet_in_chunks(spark, monkeypatch):
-    from sorrel.operators import collaborative
+@pytest.mark.parametrize(("block", "entries"), [(7, 2_000_000), (1024, 9), (3, 5)])
+def test_tiles_and_pieces(spark, monkeypatch, block, entries):
+    """The result does not depend on how ids are dealt into blocks, nor on pieces of hot ids; pairs are those of a plain loop."""
+    from sorrel.operators import collaborative, products
 
-    rows = [(u, i, float((u * i) % 5 + 1)) for u in range(40) for i in range(6) if (u + i) % 3]
+    rows = [(u, i, float((u * i) % 5 + 1)) for u in range(30) for i in range(8) if (u + i) % 3 or i == 2]
     r = spark.createDataFrame(rows, "userId int, movieId int, rating double")
-    whole = sorted(map(tuple, collaborative.similarities(r, "userId", "movieId").collect()))
-    monkeypatch.setattr(collaborative, "CHUNK", 7)
-    assert sorted(map(tuple, collaborative.similarities(r, "userId", "movieId").collect())) == whole
+    own = {}
+    for u, i, x in rows:
+        own.setdefault(u, {})[i] = x
+    want = {}
+    for a in own:
+        for b in own:
+            both = own[a].keys() & own[b].keys()
+            if a != b and both:
+                xx, yy = (sum(own[z][i] ** 2 for i in both) for z in (a, b))
+                want[a, b] = (sum(own[a][i] * own[b][i] for i in both) / (xx * yy) ** 0.5, len(both))
+    active = r.select("userId").distinct()
+    whole = [sorted(map(tuple, f(r, active).collect())) for f in (collaborative.user_based, collaborative.item_based)]
+    plain = lambda *c: products.products(*c[:4], *c[4:], block=block, entries=entries)
+    monkeypatch.setattr(collaborative, "products", plain)
+    got = {(x["a"], x["b"]): (x["sim"], x["n"]) for x in collaborative.similarities(r, "userId", "movieId").collect()}
+    assert set(got) == set(want)
+    assert all(got[p] == (pytest.approx(want[p][0], abs=1e-11), want[p][1]) for p in want)
+    assert [sorted(map(tuple, f(r, active).collect())) for f in (collaborative.user_based, collaborative.item_based)] == whole
 
 
 def test_run_pipeline_and_older_flow(spark):
