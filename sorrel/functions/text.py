@@ -21,8 +21,9 @@ def year_of(raw: Column) -> Column:
     return F.nullif(F.regexp_extract(raw, r"^.+\s+\((\d{4})\)$", 1), F.lit("")).cast("int")
 
 
-# The characters that count as white space.
+# The characters that count as white space, as a class and one by one.
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A number: digits with single underscores between them, a fraction, an exponent; or infinity or no number, by name.
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 NUMBER = rf"(?i)^[+-]?(?:inf(?:inity)?|nan|(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?)$"
@@ -30,7 +31,7 @@ NUMBER = rf"(?i)^[+-]?(?:inf(?:inity)?|nan|(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{
 
 def strip(raw: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(raw, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.trim(raw, F.lit(WHITES))
 
 
 def number_of(raw: Column) -> Column:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import with_place
+
+#: Baskets of one bitmap, as Spark's bitmap functions have it.
+BUCKET = 32_768
+
 
 def postings(baskets: DataFrame, basket_col: str = "basket_id", items_col: str = "items") -> DataFrame:
     """Distinct (stock, basket_id) of baskets with an array of codes."""
@@ -19,6 +27,49 @@ def posting_sets(index: DataFrame) -> DataFrame:
     return index.groupBy("stock").agg(F.array_sort(F.collect_set("basket_id")).alias("basket_ids"))
 
 
+def numbered(index: DataFrame) -> DataFrame:
+    """index with basket_id as numbers from 1 without gaps, in the order of the ids, so that bitmaps are dense whatever the ids are."""
+    places = with_place(index.select("basket_id").distinct(), "basket_id", name="number")
+    return index.join(places, "basket_id").select("stock", F.col("number").alias("basket_id"))
+
+
+def posting_bitmaps(index: DataFrame) -> DataFrame:
+    """(stock, bucket, bits): the inverted index as bitmaps of 32,768 whole-numbered baskets each. A hot stock has as many rows as there are buckets, each of 4 KB, whatever its count."""
+    place = F.bitmap_bit_position("basket_id")
+    return index.groupBy("stock", F.bitmap_bucket_number("basket_id").alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+
+
+def bitmap_counts(bitmaps: DataFrame) -> DataFrame:
+    """(stock, n)."""
+    return bitmaps.groupBy("stock").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
+def count_in_bitmaps(bitmaps: DataFrame, items: list[str]) -> DataFrame:
+    """One row n, as count_itemset: bitmaps of a bucket are intersected, and buckets without one of the items add nothing."""
+    wanted = sorted(set(items))
+    met = bitmaps.where(F.col("stock").isin(wanted)) if wanted else bitmaps.limit(0)
+    each = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.bitmap_and_agg("bits").alias("bits")).where(F.col("k") == len(wanted))
+    return each.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).cast("long").alias("n"))
+
+
+def bitmap_ids(bitmaps: DataFrame) -> DataFrame:
+    """(stock, bucket, basket_ids): the ids of each bitmap in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
+            row, place = np.nonzero(bits)
+            bucket = batch.column(1).to_numpy()[row]
+            # bucket 1 begins at 1; bucket 0 and below count down from 0
+            ids = np.where(bucket > 0, (bucket - 1) * BUCKET + place + 1, bucket * BUCKET - place)
+            ids = ids[np.lexsort((ids, row))]
+            offsets = np.concatenate([[0], np.cumsum(bits.sum(1, dtype=np.int64))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int64()))], names=["stock", "bucket", "basket_ids"])
+
+    kind = bitmaps.schema["stock"].dataType.simpleString()
+    return bitmaps.select("stock", "bucket", "bits").mapInArrow(run, f"stock {kind}, bucket long, basket_ids array<long>")
+
+
 def dedupe(items: str | Column) -> Column:
     """Codes once each, in order of first appearance."""
     return F.array_distinct(items)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_code, normal_description, number_of, strip
+from ..scratch import Scratch
+from .ranks import with_place
 
 # What marks a row as no product.
 NON_PRODUCT_DESCRIPTIONS = ["POSTAGE", "DOTCOM POSTAGE", "CARRIAGE", "CRUK COMMISSION", "MANUAL", "SAMPLES", "DISCOUNT"]
 NON_PRODUCT_CODES = ["AMAZONFEE", "B", "PADS", "23444", "23574", "23595"]
-NON_PRODUCT_CODE_PATTERN = r"(?i)^(BANK CHARGES$|TEST\d*$|gift_\d+)"
+NON_PRODUCT_CODE_PATTERNS = [r"^BANK CHARGES$", r"^TEST\d*$", r"^gift_\d+"]
 INTERNAL_DESCRIPTIONS = [
     "AMAZON FEE", "MANUAL", "DISCOUNT", "ADJUSTMENT", "RE-ADJUSTMENT", "DOTCOM POSTAGE",
     "POSTAGE", "PACKING CHARGE", "NEXT DAY CARRIAGE", "BANK CHARGES", "CRUK COMMISSION",
@@ -24,7 +28,7 @@ REASONS = ["bad_columns", "cancellation_or_adjustment", "blank_description", "ba
 def is_non_product(code: Column, description: Column) -> Column:
     """code: normalised; description: as it is in the log."""
     text = F.upper(strip(description))
-    return text.isin(NON_PRODUCT_DESCRIPTIONS) | code.rlike(NON_PRODUCT_CODE_PATTERN) | code.isin(NON_PRODUCT_CODES) | (code.rlike(INTERNAL_CODE_PATTERN) & text.isin(INTERNAL_DESCRIPTIONS))
+    return text.isin(NON_PRODUCT_DESCRIPTIONS) | code.rlike("(?i)" + "|".join(NON_PRODUCT_CODE_PATTERNS)) | code.isin(NON_PRODUCT_CODES) | (code.rlike(INTERNAL_CODE_PATTERN) & text.isin(INTERNAL_DESCRIPTIONS))
 
 
 def with_drop_reason(log: DataFrame) -> DataFrame:
@@ -59,8 +63,7 @@ def kept_lines(reasoned: DataFrame) -> DataFrame:
 def canonical_descriptions(kept: DataFrame) -> DataFrame:
     """(stock, description): the most frequent normalised description, the smallest of equals. Counted first, so a hot code shuffles one row per description."""
     counts = kept.groupBy("stock", normal_description(F.col("description")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("stock").agg(F.max("n").alias("top"))
-    return counts.join(best, "stock").where("n = top").groupBy("stock").agg(F.min("d").alias("description"))
+    return counts.groupBy("stock").agg(F.min(F.struct(-F.col("n"), "d"))["d"].alias("description"))
 
 
 def build_baskets(kept: DataFrame, canonical: DataFrame, min_items: int = 2) -> DataFrame:
@@ -71,13 +74,52 @@ def build_baskets(kept: DataFrame, canonical: DataFrame, min_items: int = 2) ->
 
 
 def item_dictionary(baskets: DataFrame) -> DataFrame:
-    """(idx, stock, description, n): items by falling basket count, then code, from 0. Items of one count are ranked by themselves; running totals over the distinct counts give where each begins."""
+    """(idx, stock, description, n): items by falling basket count, then code, from 0. Ranked by ranges, so many items of one count are no single task."""
     each = baskets.select(F.explode("items").alias("item")).groupBy("item.stock", "item.description").agg(F.count(F.lit(1)).alias("n"))
-    sizes = each.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    before = sizes.select("n", (F.sum("k").over(Window.orderBy(F.desc("n"))) - F.col("k")).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("n").orderBy("stock"))
-    ranked = each.withColumn("inside", inside).join(before, "n")
-    return ranked.select((F.col("before") + F.col("inside") - 1).cast("int").alias("idx"), "stock", "description", "n")
+    return with_place(each, F.desc("n"), "stock", name="idx", first=0).select(F.col("idx").cast("int").alias("idx"), "stock", "description", "n")
+
+
+@dataclass(frozen=True)
+class Cleaned:
+    """What a log was cleaned to: tables already saved, and the report of the passes that wrote them."""
+
+    kept: DataFrame
+    canonical: DataFrame
+    baskets: DataFrame
+    dictionary: DataFrame
+    report: DataFrame
+
+
+def clean_log(log: DataFrame, min_items: int = 2, top: int = 10) -> Cleaned:
+    """The whole cleaning, each table written once. The rows and reasons are observed while the kept rows are written, baskets and their rows while the baskets are.
+
+    report: (section, name, n) with sections `rows` (raw, kept, in_baskets), `dropped` (each reason), `size` (baskets, items) and `top` (codes by basket count)."""
+    spark = log.sparkSession
+    scratch = Scratch(spark, "cleaning")
+    rows, ends = Observation(), Observation()
+    counts = [F.count(F.when(F.col("drop_reason") == r, 1)).alias(r) for r in REASONS]
+    kept = scratch.save(kept_lines(with_drop_reason(log).observe(rows, F.count(F.lit(1)).alias("raw"), F.count(F.when(F.col("drop_reason").isNull(), 1)).alias("kept"), *counts)))
+    canonical = scratch.save(canonical_descriptions(kept))
+    made = build_baskets(kept, canonical, min_items).observe(ends, F.count(F.lit(1)).alias("baskets"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("in_baskets"))
+    baskets = scratch.save(made)
+    dictionary = item_dictionary(baskets)
+    seen = rows.get | ends.get
+    report = [("rows", c, seen[c]) for c in ("raw", "kept", "in_baskets")] + [("dropped", r, seen[r]) for r in REASONS] + [("size", "baskets", seen["baskets"])]
+    listed = spark.createDataFrame(report, "section string, name string, n long")
+    items = dictionary.agg(F.count(F.lit(1)).alias("n")).select(F.lit("size").alias("section"), F.lit("items").alias("name"), "n")
+    best = dictionary.where(F.col("idx") < top).select(F.lit("top").alias("section"), F.col("stock").alias("name"), "n")
+    return Cleaned(kept, canonical, baskets, dictionary, listed.unionByName(items).unionByName(best))
+
+
+def first_entries(rows: DataFrame, key: str = "stock", value: str = "description", place: str = "place") -> DataFrame:
+    """(key, value): of repeated keys the entry that comes first in the order of `place` (see sources.with_position)."""
+    return rows.groupBy(key).agg(F.min_by(value, place).alias(value))
+
+
+def in_first_seen_order(kept: DataFrame, baskets: DataFrame, place: str = "place") -> DataFrame:
+    """baskets with `nth`, from 0, in the order in which their invoices first appear among the kept rows."""
+    first = kept.groupBy("invoice").agg(F.min(place).alias("first"))
+    return with_place(baskets.join(first, "invoice"), "first", name="nth", first=0).drop("first")
 
 
 def encode_baskets(baskets: DataFrame, dictionary: DataFrame) -> DataFrame:

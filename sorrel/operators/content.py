@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.metrics import jaccard
+from .ranks import with_place
 
 
 def similar_to(items: DataFrame, liked_id: Column | int, k: int = 2, id_col: str = "id", set_col: str = "genres") -> DataFrame:
@@ -17,7 +17,6 @@ def similar_to(items: DataFrame, liked_id: Column | int, k: int = 2, id_col: str
 
 
 def by_title(items: DataFrame, id_col: str = "id", title_col: str = "title") -> DataFrame:
-    """(id, title, place): all items, with their place from 1 in the order of titles, then ids. Sorted by ranges, so no task holds all items; the rows are counted by range at once."""
+    """(id, title, place): all items, with their place from 1 in the order of titles, then ids. Sorted by ranges, so no task holds all items."""
     rows = items.select(F.col(id_col).alias("id"), F.col(title_col).alias("title"))
-    ordered = rows.orderBy(F.expr("title COLLATE UNICODE"), "id").rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1))
-    return items.sparkSession.createDataFrame(ordered, T.StructType([*rows.schema.fields, T.StructField("place", T.LongType())]))
+    return with_place(rows, F.expr("title COLLATE UNICODE"), "id")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..scratch import Scratch, checkpoint_dir
+from .ranks import with_place
+
+#: A node is a hub with more edges than this and than all edges divided by MOST_HUBS.
+HUB = 10_000
+MOST_HUBS = 50_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -22,8 +26,7 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 def in_order(ids: DataFrame) -> DataFrame:
     """(id, place): distinct ids with their place from 1. Sorted by ranges, so no task holds all of them."""
-    placed = ids.select("id").orderBy("id").rdd.zipWithIndex().map(lambda x: (x[0]["id"], x[1] + 1))
-    return ids.sparkSession.createDataFrame(placed, T.StructType([ids.schema["id"], T.StructField("place", T.LongType())]))
+    return with_place(ids.select("id"), "id")
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -38,33 +41,104 @@ def add_edge(edges: DataFrame, src: int, dst: int) -> DataFrame:
     return edges.select("src", "dst").union(one.join(known, ["src", "dst"], "left_anti"))
 
 
-def pagerank(edges: DataFrame, steps: int = 50, damping: float = 0.85, cut_every: int = 10) -> DataFrame:
+def adjacency_chunks(edges: DataFrame, size: int = HUB) -> DataFrame:
+    """(id, chunk, neighbours, degree): like adjacency, with the neighbours of a hub in several rows of about `size`, in no order between chunks."""
+    both, degree, hubs = _degrees(edges, size)
+    placed = both.join(F.broadcast(hubs), "src", "left").select("src", "dst", _piece(F.col("dst")).alias("chunk"))
+    each = placed.groupBy(F.col("src").alias("id"), "chunk").agg(F.array_sort(F.collect_list("dst")).alias("neighbours"))
+    return each.join(degree.withColumnRenamed("src", "id"), "id").select("id", "chunk", "neighbours", "degree")
+
+
+def _degrees(edges: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Saved: edges both ways, (src, degree), and the hubs (src, pieces), of more than `least` edges and a MOST_HUBS-th of all, so that there are at most MOST_HUBS."""
+    scratch = Scratch(edges.sparkSession, "graph")
+    both = scratch.save(undirected(edges))
+    degree = scratch.save(both.groupBy("src").agg(F.count(F.lit(1)).alias("degree")))
+    share = max(least, -(-both.count() // MOST_HUBS))
+    hubs = scratch.save(degree.where(F.col("degree") > share).select("src", F.ceil(F.col("degree") / share).cast("int").alias("pieces")))
+    return both, degree, hubs
+
+
+def _piece(dst: Column) -> Column:
+    """The sub-vertex of a hub that has this edge; 0 for other nodes."""
+    return F.coalesce(F.pmod(F.xxhash64(dst), F.col("pieces")), F.lit(0)).cast("int")
+
+
+class _Links:
+    """Edges by (src, piece) with the degree of src, dealt out once: a hub's edges lie with its sub-vertices, each of which gets the hub's rank and sends partial sums."""
+
+    def __init__(self, edges: DataFrame, least: int):
+        _checkpoints(edges.sparkSession)
+        both, self.degree, self.hubs = _degrees(edges, least)
+        hub = F.broadcast(self.hubs)
+        rest = both.join(hub, "src", "left_anti").join(self.degree, "src").withColumn("piece", F.lit(0))
+        split = both.join(hub, "src").join(F.broadcast(self.degree.join(hub, "src", "left_semi")), "src").withColumn("piece", _piece(F.col("dst")))
+        columns = ["src", "piece", "dst", "degree"]
+        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.links = rest.select(columns).unionByName(split.select(columns)).repartition(parts, "src", "piece").checkpoint()
+
+    def send(self, values: DataFrame) -> DataFrame:
+        """(id, value): for (id, value), the sum over each node's neighbours of their value by degree."""
+        pieces = values.join(F.broadcast(self.hubs.withColumnRenamed("src", "id")), "id", "left")
+        each = pieces.select("id", "value", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
+        met = self.links.join(each, (self.links.src == each.id) & (self.links.piece == each.piece))
+        return met.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") / F.col("degree")).alias("value"))
+
+
+def _checkpoints(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+
+
+def pagerank(edges: DataFrame, steps: int = 50, damping: float = 0.85, cut_every: int = 10, hub: int = HUB) -> DataFrame:
     """(id, score), scores summing to 1. Lineage is cut by checkpoint() in the folder of spark.checkpoint.dir.
 
-    Every node has a neighbour, as nodes come from edges, so no mass is lost on the way;
-    a step is one join and one aggregation with map-side sums, and the edges are dealt out once."""
-    spark = edges.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        if not named:
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc.setCheckpointDir(named)
-    both = undirected(edges)
-    degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    links = both.join(degree, "src").checkpoint()
-    n = degree.count()
-    ranks = degree.select(F.col("src").alias("id"), F.lit(1.0 / n if n else 0.0).alias("score"))
+    Every node has a neighbour, as nodes come from edges, so no mass is lost on the way; a step is
+    one join and one aggregation with map-side sums. Edges are dealt out once, those of a node with
+    more than `hub` of them over sub-vertices, so that no task holds a hub."""
+    links = _Links(edges, hub)
+    n = links.degree.count()
+    ranks = links.degree.select(F.col("src").alias("id"), F.lit(1.0 / n if n else 0.0).alias("value"))
     for k in range(steps):
-        sent = links.join(ranks, links.src == ranks.id).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("in"))
-        ranks = sent.select("id", (F.lit(damping) * F.col("in") + F.lit((1 - damping) / n if n else 0.0)).alias("score"))
+        ranks = links.send(ranks).select("id", (F.lit(damping) * F.col("value") + F.lit((1 - damping) / n if n else 0.0)).alias("value"))
         if (k + 1) % cut_every == 0:
             ranks = ranks.checkpoint()
-    total = ranks.agg(F.sum("score").alias("total"))
-    return ranks.join(F.broadcast(total)).select("id", (F.col("score") / F.col("total")).alias("score"))
+    total = ranks.agg(F.sum("value").alias("total"))
+    return ranks.join(F.broadcast(total)).select("id", (F.col("value") / F.col("total")).alias("score"))
+
+
+def pagerank_update(edges: DataFrame, old: DataFrame, damping: float = 0.85, tolerance: float = 1e-12, most: int = 400, cut_every: int = 5, hub: int = HUB) -> DataFrame:
+    """(id, score): the ranks of changed edges, from the ranks (id, score) of before.
+
+    One pass over all edges gives the residual of the old ranks, what they lack to be a fixed point.
+    Then only residuals above the tolerance are pushed: a node adds its own to its rank and sends a
+    share to its neighbours, until none is left. Nodes that are gone lose their rank, new ones start at 0."""
+    links = _Links(edges, hub)
+    scratch = Scratch(edges.sparkSession, "ranks")
+    n = links.degree.count()
+    zero = F.lit(0.0)
+    ids = links.degree.select(F.col("src").alias("id"))
+    start = scratch.save(ids.join(old.select("id", F.col("score").alias("value")), "id", "left").select("id", F.coalesce("value", zero).alias("value")))
+    sent = links.send(start).withColumnRenamed("value", "sent")
+    lacking = F.lit(damping) * F.coalesce("sent", zero) + F.lit((1 - damping) / n if n else 0.0) - F.col("value")
+    residual = scratch.save(start.join(sent, "id", "left").select("id", lacking.alias("value")))
+    pushed = [start]
+    for k in range(most):
+        high = F.abs("value") > tolerance
+        active = residual.where(high)
+        pushed.append(active)
+        more = links.send(active).select("id", (F.lit(damping) * F.col("value")).alias("value"))
+        residual = residual.where(~high).unionByName(more).groupBy("id").agg(F.sum("value").alias("value"))
+        if (k + 1) % cut_every == 0:
+            # ranks so far, and what is still to be pushed
+            both = scratch.save(reduce(DataFrame.unionByName, pushed).groupBy("id").agg(F.sum("value").alias("rank")).join(residual, "id", "full").select("id", F.coalesce("rank", zero).alias("rank"), F.coalesce("value", zero).alias("value")))
+            scratch.keep(both)
+            pushed, residual = [both.select("id", F.col("rank").alias("value"))], both.where(F.col("value") != 0).select("id", "value")
+            if residual.where(high).isEmpty():
+                break
+    ranks = reduce(DataFrame.unionByName, pushed).groupBy("id").agg(F.sum("value").alias("value"))
+    total = ranks.agg(F.sum("value").alias("total"))
+    return ranks.join(F.broadcast(total)).select("id", (F.col("value") / F.col("total")).alias("score"))
 
 
 def friends(edges: DataFrame, ranks: DataFrame, node: int, k: int = 3) -> DataFrame:

@@ -2,31 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metrics import confidence, lift, support
-
-#: A split is a bit mask over the items, so a set of k items has 2**k - 2 splits.
-MAX_ITEMS = 12
+from ..scratch import Scratch
 
 
-def generate_rules(itemsets: DataFrame, n: int, min_confidence: float, max_items: int = MAX_ITEMS) -> DataFrame:
+def generate_rules(itemsets: DataFrame, n: int, min_confidence: float) -> DataFrame:
     """Rules from (items, count): every split of an itemset into two non-empty sides with enough confidence.
 
-    Sides are looked up among the itemsets (which hold every part of a frequent set), by
-    their sorted arrays: two equi-joins. Sets of more than max_items raise."""
-    size = F.size("items")
-    sets = itemsets.where(size >= 2).withColumn("items", F.when(size <= max_items, F.col("items")).otherwise(F.raise_error(F.lit("an itemset is larger than max_items"))))
-    masks = sets.select("items", F.col("count").alias("joint"), F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("items")).cast("int") - 2)).alias("mask"))
-
-    def side(bit: int) -> Column:
-        in_mask = lambda i: F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0
-        return F.filter("items", lambda _, i: in_mask(i) if bit else ~in_mask(i))
-
-    split = masks.select(side(1).alias("antecedent"), side(0).alias("consequent"), "joint")
-    counts = itemsets.select("items", "count")
-    rules = split.join(counts.toDF("antecedent", "antecedent_count"), "antecedent").join(counts.toDF("consequent", "consequent_count"), "consequent")
+    Consequents grow by one item a level. Moving an item to the consequent can only lower the
+    confidence, as fewer items on the left are in at least as many baskets; so a consequent is built
+    from one that was confident and a later item that was confident alone, and the splits that are
+    looked at are about those that are kept. Sides are looked up among the itemsets (which hold
+    every part of a frequent set) by their sorted arrays."""
+    scratch = Scratch(itemsets.sparkSession, "rules")
+    counts = scratch.save(itemsets.select(F.array_sort("items").alias("items"), "count"))
+    numbered = scratch.save(counts.where(F.size("items") >= 2).withColumn("set", F.monotonically_increasing_id()))
+    most = numbered.agg(F.max(F.size("items"))).first()[0] or 0
+    antecedents = counts.toDF("antecedent", "antecedent_count")
+
+    def confident(splits: DataFrame) -> DataFrame:
+        """(set, items, joint, consequent) to those with enough confidence, with antecedent and its count."""
+        met = splits.withColumn("antecedent", F.array_except("items", "consequent")).join(antecedents, "antecedent")
+        return scratch.save(met.where(confidence(F.col("joint"), F.col("antecedent_count"))["value"] >= min_confidence))
+
+    level = confident(numbered.select("set", "items", F.col("count").alias("joint"), F.explode(F.transform("items", lambda x: F.array(x))).alias("consequent")))
+    single = level.select("set", F.col("consequent")[0].alias("next"))
+    levels = [level]
+    for _ in range(2, most):
+        grown = level.where(F.size("antecedent") > 1).join(single, "set").where(F.col("next") > F.element_at("consequent", -1))
+        level = confident(grown.select("set", "items", "joint", F.concat("consequent", F.array("next")).alias("consequent")))
+        if level.isEmpty():
+            break
+        levels.append(level)
+    found = reduce(DataFrame.unionByName, levels)
+    rules = found.join(counts.toDF("consequent", "consequent_count"), "consequent")
     return with_metrics(rules, F.lit(n)).where(F.col("confidence") >= min_confidence)
 
 

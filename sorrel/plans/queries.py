@@ -165,6 +165,22 @@ def inverted_index(spark: SparkSession, sf: str) -> DataFrame:
     return sets.select("stock", F.size("basket_ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("basket_ids", lambda x: x.cast("string")), ",")).alias("ids_md5"))
 
 
+@query(f"with {POSTINGS} select stock, cast(case when basket_id > 0 then (basket_id - 1) // 32768 + 1 else -(-basket_id // 32768) end as bigint) as bucket, count(*) as n, md5(string_agg(cast(basket_id as varchar), ',' order by basket_id)) as ids_md5 from postings group by all")
+def inverted_index_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    ids = bk.bitmap_ids(bk.posting_bitmaps(views.postings(spark, sf)))
+    return ids.select("stock", "bucket", F.size("basket_ids").cast("long").alias("n"), F.md5(F.array_join(F.transform("basket_ids", lambda x: x.cast("string")), ",")).alias("ids_md5"))
+
+
+@query(f"with {POSTINGS} select stock, count(*) as n from postings group by stock")
+def bitmap_item_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return bk.bitmap_counts(bk.posting_bitmaps(bk.numbered(views.postings(spark, sf))))
+
+
+@query(f"with {POSTINGS} select count(*) as n from (select basket_id from postings where stock in ('Brand#11', 'Brand#12') group by basket_id having count(*) = 2)")
+def count_itemset_bitmaps(spark: SparkSession, sf: str) -> DataFrame:
+    return bk.count_in_bitmaps(bk.posting_bitmaps(views.postings(spark, sf)), ["Brand#11", "Brand#12", "Brand#11"])
+
+
 @query("select cast(l_orderkey as bigint) as basket_id, array_to_string(list(p_brand order by k), ',') as items from (select l_orderkey, p_brand, min(struct_pack(a := l_linenumber, b := l_partkey, c := l_quantity)) as k from lineitem join part on l_partkey = p_partkey group by l_orderkey, p_brand) group by l_orderkey")
 def basket_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -419,6 +435,12 @@ def node_friends(spark: SparkSession, sf: str) -> DataFrame:
     return graph.adjacency(views.edges(spark, sf)).select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("friends"), "degree")
 
 
+@query(f"with {GRAPH} select src as id, dst as friend, d as degree from sym join degree using (src)")
+def node_friends_in_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = graph.adjacency_chunks(views.edges(spark, sf), 20)
+    return chunks.select("id", F.explode("neighbours").alias("friend"), "degree")
+
+
 @query(f"with {GRAPH} select count(*) as n from (select src, dst from edges union select min(src), max(dst) from edges)")
 def graph_add_edge(spark: SparkSession, sf: str) -> DataFrame:
     e = views.edges(spark, sf)
@@ -450,32 +472,12 @@ def pagerank_after_add_edge(spark: SparkSession, sf: str) -> DataFrame:
     return graph.pagerank(graph.add_edge(e, ends[0], ends[1])).select("id", F.round("score", 9).alias("score"))
 
 
-#: Rows of a log whose outcome is known by hand: invoice, code, description, quantity, price, customer; reason, code, description.
-LITERAL = [
-    ("536365", " 85123a\t", "White\u00a0 Hanging\tHeart .", "6", "2.55", "17850", "kept", "85123A", "WHITE HANGING HEART"),
-    ("536366", "22752", "\t\u2003", "2", "7.65", "17850", "blank_description", "22752", ""),
-    ("536367", "22745", "A box", "1", "1.0", "\t\u00a0", "blank_customer", "22745", "A BOX"),
-    ("536368", "POST1", "POSTAGE\t", "1", "18", "12583", "non_product", "POST1", "POSTAGE"),
-    ("536369", "22746", "A cup", "2d", "1.0", "1", "bad_number", "22746", "A CUP"),
-    ("536370", "22747", "A cup", "2", "0x1p3", "1", "bad_number", "22747", "A CUP"),
-    ("536371", "22748", "A cup", "\u00a01_000 ", "1e-2", "1", "kept", "22748", "A CUP"),
-    ("536372", "22749", "A cup", "1__0", "1", "1", "bad_number", "22749", "A CUP"),
-    ("536373", "22750", "A cup", "nan", "inf", "1", "kept", "22750", "A CUP"),
-    ("536374", "22751", "A cup", "5.", ".5", "1", "kept", "22751", "A CUP"),
-    ("536375", "\u3000", "A cup", "5", "1", "1", "blank_code", "", "A CUP"),
-    ("536376", "gift_0001_20", "A voucher", "5", "1", "1", "non_product", "GIFT_0001_20", "A VOUCHER"),
-    ("C536377", "22753", "A cup", "-5", "1", "1", "cancellation_or_adjustment", "22753", "A CUP"),
-    ("536378", "22754", "?", "0", "1", "1", "quantity", "22754", "?"),
-    ("536379", "22755", "foo . .", "1", "-0.0", "1", "price", "22755", "FOO ."),
-]
-
-
-@query("select * from (values " + ", ".join("('" + "', '".join((r[0], r[6], r[7], r[8])) + "')" for r in LITERAL) + ") as t(invoice, reason, stock, description)")
-def retail_literal_cases(spark: SparkSession, sf: str) -> DataFrame:
-    columns = ["InvoiceNo", "StockCode", "Description", "Quantity", "UnitPrice", "CustomerID"]
-    log = spark.createDataFrame([r[:6] for r in LITERAL], ", ".join(f"{c} string" for c in columns))
-    out = cleaning.with_drop_reason(log)
-    return out.select(F.col("InvoiceNo").alias("invoice"), F.coalesce("drop_reason", F.lit("kept")).alias("reason"), "stock", tx.normal_description(F.col("Description")).alias("description"))
+@query("with recursive " + RANKS.replace("step < 50", "step < 150").replace("step = 50", "step = 150").replace("edges as (select distinct user_id as src,", "given as (select distinct user_id as src,").replace("from events),", "from events), edges as (select * from given union select min(src), max(dst) from given),", 1) + " select id, round(score, 8) as score from ranks")
+def pagerank_pushed(spark: SparkSession, sf: str) -> DataFrame:
+    e = views.edges(spark, sf)
+    ends = e.agg(F.min("src"), F.max("dst")).first()
+    old = Scratch(spark, "ranks").save(graph.pagerank(e))
+    return graph.pagerank_update(graph.add_edge(e, ends[0], ends[1]), old, tolerance=1e-10).select("id", F.round("score", 8).alias("score"))
 
 
 @query(f"with {LOG} select coalesce(reason, 'kept') as reason, count(*) as n from reasoned group by 1")
@@ -484,7 +486,7 @@ def retail_waterfall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _retail(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    kept = cleaning.kept_lines(cleaning.with_drop_reason(views.retail_log(spark, sf)))
+    kept = Scratch(spark, "retail").save(cleaning.kept_lines(cleaning.with_drop_reason(views.retail_log(spark, sf))))
     canonical = cleaning.canonical_descriptions(kept)
     return canonical, cleaning.build_baskets(kept, canonical)
 
@@ -499,6 +501,28 @@ def retail_baskets(spark: SparkSession, sf: str) -> DataFrame:
     return _retail(spark, sf)[1].select("invoice", F.array_join("items.stock", ",").alias("stocks"), F.array_join("items.description", ",").alias("descriptions"))
 
 
+REASON_NAMES = ", ".join(f"('{r}')" for r in cleaning.REASONS)
+
+
+@query(f"""with {LOG} select 'rows' as section, 'raw' as name, count(*) as n from log union all select 'rows', 'kept', count(*) from kept union all select 'rows', 'in_baskets', count(*) from retail
+union all select 'dropped', r, count(reason) from (values {REASON_NAMES}) v(r) left join reasoned on reason = r group by r
+union all select 'size', 'baskets', count(distinct invoice) from retail union all select 'size', 'items', count(*) from dictionary union all select 'top', stock, n from dictionary where idx < 10""")
+def retail_report(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.clean_log(views.retail_log(spark, sf)).report
+
+
+@query("""select p_brand as stock, min_by(p_name, p_partkey) as description from part group by p_brand""")
+def first_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    return cleaning.first_entries(table(spark, sf, "part").select(F.col("p_brand").alias("stock"), F.col("p_name").alias("description"), F.col("p_partkey").alias("place")))
+
+
+@query(f"""with {LOG}, first as (select invoice, cast(ltrim(invoice, 'C') as bigint) as place from retail group by invoice) select invoice, row_number() over (order by place) - 1 as nth from first""")
+def baskets_in_first_seen_order(spark: SparkSession, sf: str) -> DataFrame:
+    log = cleaning.kept_lines(cleaning.with_drop_reason(views.retail_log(spark, sf)))
+    kept = Scratch(spark, "retail").save(log.withColumn("place", F.ltrim("invoice", F.lit("C")).cast("long")))
+    return cleaning.in_first_seen_order(kept, cleaning.build_baskets(kept, cleaning.canonical_descriptions(kept))).select("invoice", "nth")
+
+
 @query(f"with {LOG} select cast(idx as int) as idx, stock, description, n from dictionary")
 def item_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.item_dictionary(_retail(spark, sf)[1])
@@ -555,8 +579,8 @@ def id_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(None)
-def lunch_pick(spark: SparkSession, sf: str) -> DataFrame:
-    return readers.lunch_menu(spark).orderBy(F.rand(7)).limit(1)
+def random_movie(spark: SparkSession, sf: str) -> DataFrame:
+    return views.movies(spark, sf).select("id", "title").orderBy(F.rand(7)).limit(1)
 
 
 @query(f"with {VECTORS} select a.id, round(list_dot_product(a.f, a.f), 5) as norm from vectors a")

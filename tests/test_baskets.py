@@ -118,28 +118,46 @@ def test_retail_cleaning(spark):
     assert again.collect() == b.collect()
 
 
-def test_white_space_and_numbers_of_a_retail_log(spark):
-    from sorrel.operators import cleaning
-    from sorrel.plans.queries import LITERAL
-
-    rows = [r[:6] for r in LITERAL]
-    log = spark.createDataFrame(rows, "InvoiceNo string, StockCode string, Description string, Quantity string, UnitPrice string, CustomerID string")
-    got = {r["InvoiceNo"]: (r["drop_reason"] or "kept", r["stock"]) for r in cleaning.with_drop_reason(log).collect()}
-    assert got == {r[0]: (r[6], r[7]) for r in LITERAL}
-
-    def reads(x):
-        try:
-            return float(x)
-        except ValueError:
-            return None
-
-    texts = ["1", " 2\t", "2d", "2f", "1_0", "_1", "1_", "1__0", ".5", "5.", ".", "", "1e5", "1E-2", "e5", "+1", "--1", "inf", "-Infinity", "NaN", "0x10", "1 2", "\u00a07", "1.5_0", "infinit"]
-    from pyspark.sql import functions as F
-
-    from sorrel.functions.text import normal_code, number_of
-
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for r in df.select("t", number_of(F.col("t")).alias("v"), normal_code(F.col("t")).alias("c")).collect():
-        want = reads(r["t"])
-        assert repr(r["v"]) == repr(want), r
-        assert r["c"] == r["t"].strip().upper()
+def test_bitmaps(spark):
+    """Ids around the ends of buckets, a hot code in many rows, and the same counts as by postings."""
+    ids = [-32_769, -32_768, -5, 0, 1, 2, 32_767, 32_768, 32_769, 65_536, 65_537, 10**12]
+    rows = [("a", i) for i in ids] + [("b", i) for i in ids[::2]] + [("c", 2)] + [("hot", i) for i in range(1, 200_000, 3)]
+    index = spark.createDataFrame(rows, "stock string, basket_id long")
+    maps = bk.posting_bitmaps(index.unionByName(index.where("stock = 'a'")))
+    back = {}
+    for r in bk.bitmap_ids(maps).collect():
+        assert r["basket_ids"] == sorted(r["basket_ids"])
+        back.setdefault(r["stock"], []).extend(r["basket_ids"])
+    assert {s: sorted(x) for s, x in back.items()} == {s: sorted(i for t, i in rows if t == s) for s in ("a", "b", "c", "hot")}
+    assert {r["stock"]: r["n"] for r in bk.bitmap_counts(maps).collect()} == {"a": 12, "b": 6, "c": 1, "hot": 66_667}
+    assert maps.where("stock = 'hot'").count() == 7
+    for items in (["a"], ["a", "b"], ["b", "a", "b"], ["a", "b", "c"], ["a", "hot"], ["a", "nothing"], []):
+        assert bk.count_in_bitmaps(maps, items).first()["n"] == bk.count_itemset(index, items).first()["n"]
+
+
+def test_numbered_baskets(spark):
+    index = spark.createDataFrame([("a", "x9"), ("b", "x9"), ("a", "x10")], "stock string, basket_id string")
+    assert sorted(map(tuple, bk.numbered(index).collect())) == [("a", 1), ("a", 2), ("b", 2)]
+
+
+def test_rules_of_a_large_itemset(spark):
+    """Twenty items with their large parts, singles and pairs: consequents grow while they are confident, and end where no part is listed."""
+    from itertools import combinations
+
+    from sorrel.operators import rules
+
+    items = [f"i{k:02d}" for k in range(20)]
+    count = lambda c: 40 if items[0] in c else 100
+    sets = [c for k in (1, 2, 18, 19, 20) for c in combinations(items, k)]
+    frame = spark.createDataFrame([(list(c), count(c)) for c in sets], "items array<string>, count long")
+    known, want = set(sets), set()
+    for c in sets:
+        for k in (1, 2):
+            for right in combinations(c, k):
+                left = tuple(i for i in c if i not in right)
+                if left in known and count(c) / count(left) >= 0.9:
+                    want.add((left, right))
+    got = {(tuple(r["antecedent"]), tuple(r["consequent"])) for r in rules.generate_rules(frame, 200, 0.9).collect()}
+    assert got == want
+    assert sum(len(a) == 18 and len(b) == 2 for a, b in got) == 171
+    assert rules.generate_rules(frame.limit(0), 200, 0.9).count() == 0
