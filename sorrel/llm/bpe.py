@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrays import ragged, slices, spread
-from .common import annotate
+from .common import annotate, place_of
 from .pretokens import Lookup, Vocabulary
 
 #: Pre-tokens that a worker keeps with their ids, and pairs with their answer.
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     """docs with their ids as an array column; path: a byte-level BPE vocabulary file present on every machine.
 
     same_col: the name of a column that says whether the ids decode to the text, decoded in the same pass."""
-    at = [c for c in docs.columns if c not in (ids_col, same_col)].index(text_col)
+    at = place_of(docs, text_col, ids_col, same_col)
     fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(same_col, T.BooleanType())] if same_col else [])
 
     def make():
@@ -213,7 +213,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """rows with the text of their ids; bytes that are no UTF-8 become U+FFFD."""
-    at = [c for c in rows.columns if c != text_col].index(ids_col)
+    at = place_of(rows, ids_col, text_col)
 
     def make():
         c = codec(path)

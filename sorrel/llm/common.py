@@ -1,11 +1,7 @@
-"""Shared plumbing of the text operators: scratch tables, Arrow batches and column annotation."""
+"""Shared plumbing of the text operators: Arrow batches, column annotation, and joins with totals."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import Scratch, checkpoint_dir, delete
+
+__all__ = ["Scratch", "annotate", "arrow_rows", "checkpoint_dir", "delete", "keeping", "place_of", "table", "text_hashes", "unused", "with_totals"]
+
 #: Rows that Spark puts in one Arrow batch for a Python worker; the workers cut batches further by bytes.
 ARROW_ROWS = 500
 #: Bytes of text that the array code handles at once.
@@ -30,27 +30,6 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests, local mode)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = getattr(checkpoint_dir, "own", None)
-    if own is None:
-        own = checkpoint_dir.own = tempfile.mkdtemp(prefix="scratch-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return f"file://{own}"
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Delete a folder by Spark's file systems, if the driver still runs."""
-    if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """The name, with as many underscores before it as it takes to be no column of df."""
     taken = {c.lower() for c in df.columns}
@@ -72,35 +51,10 @@ def text_hashes(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
 
 
-class Scratch:
-    """Tables written to the shared folder to cut lineage; those that nothing reads any more are deleted, the rest when the driver ends."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.made: list[tuple[DataFrame, str]] = []
-        self.n = 0
-        atexit.register(self._end)
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """Write the rows and give them back as a table without their lineage."""
-        path = f"{self.base}/{self.n}"
-        self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.made.append((out, path))
-        return out
-
-    def keep(self, *tables: DataFrame) -> None:
-        """Delete all tables but these."""
-        for out, path in self.made:
-            if not any(out is t for t in tables):
-                delete(self.spark, path)
-        self.made = [(out, path) for out, path in self.made if any(out is t for t in tables)]
-
-    def _end(self) -> None:
-        if self.made:
-            delete(self.spark, self.base)
+def place_of(df: DataFrame, column: str, *added: str | None) -> int:
+    """Where `column` is in the batches that annotate hands on, when columns of the names in `added` have given way."""
+    gone = {n.lower() for n in added if n}
+    return [c for c in df.columns if c.lower() not in gone].index(column)
 
 
 def annotate(
@@ -115,8 +69,8 @@ def annotate(
     columns, in the order of `fields`, or to those and a mask of rows to keep. Columns
     of df with the new names give way; columns in `drop` are left out.
     """
-    named = {f.name for f in fields}
-    clash = [c for c in df.columns if c in named]
+    named = {f.name.lower() for f in fields}
+    clash = [c for c in df.columns if c.lower() in named]
     df = df.drop(*clash) if clash else df
     kept = [f for f in df.schema.fields if f.name not in drop]
     keep_at = [i for i, f in enumerate(df.schema.fields) if f.name not in drop]

@@ -243,7 +243,8 @@ OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "b
 def keep_normal(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs without the text, with the base counts, base_failed, distance (null where nothing was estimated) and kept; columns of these names give way."""
     scratch = Scratch(docs.sparkSession, "outliers")
-    given = [F.col(c) for c in docs.columns if c not in (text_col, *OUT)]
+    gone = {c.lower() for c in (text_col, *OUT)}
+    given = [F.col(c) for c in docs.columns if c.lower() not in gone]
     base = docs.select(F.struct(F.lit(0).alias("_"), *given).alias("_own"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"), F.col(text_col).alias("_text"))
     base = scratch.save(base_counts(base, "_text").select("*", *vector()))
     sane = base.where(~F.col("base_failed"))

@@ -264,7 +264,7 @@ def apart(spans: Column) -> Column:
 def find_personal(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the text, with base_spans and added_spans (columns of these names give way): start, kind, stop, text."""
     scratch = Scratch(docs.sparkSession, "pii")
-    rest = [c for c in docs.columns if c not in (text_col, "base_spans", "added_spans")]
+    rest = [c for c in docs.columns if c.lower() not in (text_col.lower(), "base_spans", "added_spans")]
     row, both, near = (unused(docs, c) for c in ("_row", "_found", "_contexts"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.array_sort(F.concat(*[rule_spans(text, k) for k in KINDS]))

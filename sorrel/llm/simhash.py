@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import LOWER, borders, byte_class, ragged, roots, slices, spread
-from .common import Scratch, annotate, text_hashes, unused
+from .common import Scratch, annotate, place_of, text_hashes, unused
 
 SEED = 42
 SHINGLE = 3
@@ -104,7 +104,7 @@ def majority(hashes: np.ndarray, runs: np.ndarray) -> np.ndarray:
 
 def fingerprint(docs: DataFrame, text_col: str = "text", fp_col: str = "fp", shingle: int = SHINGLE, drop_text: bool = False) -> DataFrame:
     """docs with the fingerprint as a signed 64-bit integer."""
-    at = [c for c in docs.columns if c != fp_col].index(text_col)
+    at = place_of(docs, text_col, fp_col)
 
     def make():
         def each(batch: pa.RecordBatch) -> dict[str, pa.Array]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .arrays import ragged, slices
-from .common import annotate
+from .common import annotate, place_of
 from .pretokens import Lookup, Vocabulary
 
 #: Pre-tokens that a worker keeps with their counts, and symbols that are merged at once.
@@ -163,7 +163,7 @@ def counter(path: str) -> Counter:
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, text_col: str = "text", drop_text: bool = False) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit)."""
     fields = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
-    at = [c for c in docs.columns if c not in {f.name for f in fields}].index(text_col)
+    at = place_of(docs, text_col, *[f.name for f in fields])
 
     def make():
         c = counter(path)

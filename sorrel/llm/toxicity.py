@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import LOWER, borders, byte_class, ragged, slices, span_hashes, spread
-from .common import annotate
+from .common import annotate, place_of
 
 #: Bounds of the training sample: rows, bytes of text, and bytes of one text.
 TRAIN_ROWS = 6_000
@@ -311,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, **kw) -> Model:
 def score(docs: DataFrame, model: Model, text_col: str = "text", drop_text: bool = False) -> DataFrame:
     """docs with a column score, 0 to 1, from the text alone."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    at = [c for c in docs.columns if c != "score"].index(text_col)
+    at = place_of(docs, text_col, "score")
 
     def make():
         m = sent.value

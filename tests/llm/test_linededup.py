@@ -163,3 +163,21 @@ def test_tiles_of_a_hot_segment(spark, monkeypatch):
     want, near = brute(rows, 2)
     got = {r["doc_id"]: r for r in ld.line_report(spark.createDataFrame(rows, "doc_id long, text string"), short_lines=False).collect()}
     assert all(got[i]["dropped_lines"] == want[i] and got[i]["n_links"] == sum(len(near.get(x, [])) for x in t.split("\n")) for i, t in rows)
+
+
+def test_lines_are_dropped_in_linear_time(spark):
+    """A text of 10^6 lines, half of which go; and what is left of small ones."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from sorrel.llm.linededup import without_lines
+
+    n = 1_000_000
+    one = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: k.cast("string")), "\n").alias("text"), F.sequence(F.lit(0), F.lit(n - 1), F.lit(2)).alias("gone"))
+    began = time.perf_counter()
+    left = one.select(without_lines(F.col("text"), F.col("gone"))).first()[0]
+    assert time.perf_counter() - began < 60
+    assert left == "\n".join(str(k) for k in range(2, n + 1, 2))
+    small = spark.createDataFrame([("a\n\nb\na\n", [0, 3]), ("", [0]), ("x", []), ("\n", [1])], "text string, gone array<int>")
+    assert [r[0] for r in small.select(without_lines(F.col("text"), F.col("gone"))).collect()] == ["\nb\n", "", "x", ""]
