@@ -58,7 +58,8 @@ def enrich(rules: DataFrame, index: DataFrame, n: int) -> DataFrame:
     """Rules (antecedent, consequent) with the counts and metrics that they lack; given ones stay."""
     names = ["joint", "antecedent_count", "consequent_count", "support", "confidence", "lift"]
     have = [c for c in names if c in rules.columns]
-    keyed = rules.select(F.monotonically_increasing_id().alias("_r"), "*").withColumn("_all", F.array_union("antecedent", "consequent"))
+    # saved, since both the items to count and the rules themselves refer to these numbers
+    keyed = Scratch(rules.sparkSession, "enrich").save(rules.select(F.monotonically_increasing_id().alias("_r"), "*")).withColumn("_all", F.array_union("antecedent", "consequent"))
     wants = keyed.select("_r", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.array_distinct(c).alias("items")) for k, c in enumerate(("antecedent", "consequent", "_all"))])).alias("w")).select("_r", "w.side", "w.items")
     hits = wants.select("_r", "side", F.size("items").alias("k"), F.explode("items").alias("stock")).join(index, "stock")
     full = hits.groupBy("_r", "side", "k", "basket_id").agg(F.count(F.lit(1)).alias("m")).where("m = k").groupBy("_r").pivot("side", [0, 1, 2]).agg(F.count(F.lit(1)))

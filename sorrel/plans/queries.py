@@ -119,6 +119,15 @@ def rule_enrich(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(rules.enrich(bare, index, n))
 
 
+@query(f"with {RULES} select {RULE_COLUMNS} from rules")
+def rule_enrich_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules of up to four items, known by their sides only, with counts from the postings."""
+    b = Scratch(spark, "baskets").save(views.baskets(spark, sf))
+    n = b.count()
+    bare = rules.generate_rules(bk.frequent_itemsets(b, MIN_SUPPORT), n, MIN_CONFIDENCE).select("antecedent", "consequent")
+    return _plain(rules.enrich(bare, bk.postings(b), n))
+
+
 @query(f"with {ITEMSETS} select array_to_string(items, ',') as items, c as count, round(c / n, 9) as support from sets, total")
 def frequent_itemsets(spark: SparkSession, sf: str) -> DataFrame:
     found = bk.frequent_itemsets(views.baskets(spark, sf), MIN_SUPPORT)
@@ -542,6 +551,56 @@ def decoded_baskets(spark: SparkSession, sf: str) -> DataFrame:
     return cleaning.decode_baskets(cleaning.encode_baskets(b, d), d).select("invoice", F.array_join("items.stock", ",").alias("stocks"))
 
 
+GENRE_LIST = ", ".join("'" + g.replace("'", "''") + "'" for g in readers.GENRES)
+
+
+@query(f"select p_partkey as id, p_name as title, array_to_string(list_filter([{GENRE_LIST}], lambda x, i: (p_partkey * (i + 2)) % 5 = 0), ',') as genres from part")
+def items_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts written as pipe-separated items, with lines that are too short between them, and read back."""
+    path = Scratch(spark, "files").folder("items")
+    flags = [F.when(F.col("p_partkey") * (i + 3) % 5 == 0, "1").otherwise("0") for i in range(len(readers.GENRES))]
+    parts = table(spark, sf, "part")
+    lines = parts.select(F.concat_ws("|", "p_partkey", "p_name", F.lit("date"), F.lit(""), F.lit("url"), F.lit("1"), *flags).alias("value"))
+    lines.union(parts.select(F.concat_ws("|", "p_partkey", "p_name"))).union(parts.select(F.lit("  "))).write.text(path)
+    return readers.read_items(spark, path).select("id", "title", F.array_join("genres", ",").alias("genres"))
+
+
+@query(f"with {RATINGS} select userId, movieId, rating, timestamp from ratings")
+def ratings_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Ratings written as tab-separated lines, with short and blank ones between them, and read back."""
+    path = Scratch(spark, "files").folder("ratings")
+    r = views.ratings(spark, sf)
+    r.select(F.concat_ws("\t", "userId", "movieId", "rating", "timestamp").alias("value")).union(r.select(F.concat_ws("\t", "userId", "movieId"))).union(r.select(F.lit(""))).write.text(path)
+    return readers.read_ratings(spark, path)
+
+
+@query(f"with {GRAPH} select src, dst from edges")
+def edges_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = Scratch(spark, "files").folder("edges")
+    views.edges(spark, sf).select("src", "dst").write.csv(path)
+    return readers.read_edges(spark, path)
+
+
+@query(f"with {LOG} select coalesce(reason, 'kept') as reason, count(*) as n from reasoned group by 1")
+def retail_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The log written as CSV with its header, blanks as they are, and read back."""
+    scratch = Scratch(spark, "files")
+    path = scratch.folder("log")
+    log = views.retail_log(spark, sf).withColumns({"InvoiceDate": F.lit("today"), "Country": F.lit("here")}).select(*readers.RETAIL_COLUMNS)
+    log.write.options(header="true", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    return cleaning.waterfall(cleaning.with_drop_reason(scratch.save(readers.read_retail(spark, path))))
+
+
+@query(f"with {LOG} select invoice, array_to_string(list(idx order by idx), ',') as item_idx from retail join dictionary using (stock) group by invoice")
+def encoded_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Encoded baskets written as a dataset and read back."""
+    done = cleaning.clean_log(views.retail_log(spark, sf))
+    path = Scratch(spark, "files").folder("encoded")
+    sizes = {(r["section"], r["name"]): r["n"] for r in done.report.where("section in ('rows', 'size')").collect()}
+    readers.write_encoded(done.dictionary, cleaning.encode_baskets(done.baskets, done.dictionary), cleaning.provenance("The log", sizes["rows", "in_baskets"], sizes["size", "baskets"]), path)
+    return readers.read_encoded(spark, path)[1].select("invoice", F.array_join(F.transform("item_idx", lambda x: x.cast("string")), ",").alias("item_idx"))
+
+
 @query("""select p_partkey as id, p_name as title, case when p_size % 2 = 0 then 1950 + p_size end as year from part""")
 def title_year(spark: SparkSession, sf: str) -> DataFrame:
     raw = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(" ("), (F.col("p_size") + 1950).cast("string"), F.lit(")"))).otherwise(F.col("p_name"))

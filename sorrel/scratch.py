@@ -37,7 +37,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        self.made: list[tuple[DataFrame, str]] = []
+        self.made: list[tuple[DataFrame | None, str]] = []
         self.n = 0
         atexit.register(self._end)
 
@@ -50,6 +50,12 @@ class Scratch:
         self.made.append((out, path))
         return out
 
+    def folder(self, name: str) -> str:
+        """A path for files of any kind, deleted when the driver ends."""
+        path = f"{self.base}/{name}"
+        self.made.append((None, path))
+        return path
+
     def keep(self, *tables: DataFrame) -> None:
         """Delete all tables but these."""
         for out, path in self.made:
