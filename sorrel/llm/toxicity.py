@@ -50,8 +50,9 @@ FILTERS = 8
 WIDTHS = (1, 2, 3)
 CUT = 0.7
 #: Rows seen in training, over all epochs; the rate of Adagrad; the deviation of embeddings at the start; how sharply pooling ends.
+#: The best F1 of seven settings in three-fold cross-validation inside the training rows of a labelled table; held-out rows had no say.
 SEEN = 40_000
-RATE = 0.1
+RATE = 0.2
 SPREAD = 0.1
 SHARP = 30.0
 #: Rows and words of a step.
