@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sorrel.llm import toxicity
-from sorrel.llm.queries import QUERIES, vocabulary_path
+from sorrel.llm.queries import ORACLES, QUERIES, vocabulary_path
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
@@ -40,15 +40,30 @@ def test_run(spark):
 
 
 @tables
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op12_divergence"}))
 def test_query_has_a_row_for_each_input(spark, name):
     out = QUERIES[name](spark, SF)
-    key = "conv_id" if "conv_id" in out.columns else "doc_id"
-    source = "conversations" if key == "conv_id" else "documents"
+    key = next(k for k in ("conv_id", "vec_id", "doc_id") if k in out.columns)
+    source = {"conv_id": "conversations", "vec_id": "embeddings", "doc_id": "documents"}[key]
     want = spark.read.parquet(f"{SF}/{source}.parquet").select(key).distinct().count() + (key == "conv_id")
     assert out.select(key).distinct().count() == out.count() == want
 
 
+@tables
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
+        c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    out, want = QUERIES[name](spark, SF), c.sql(ORACLES[name])
+    columns = sorted(want.columns)
+    assert sorted(out.columns) == columns
+    texts = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
+    assert texts(out.select(*columns).collect()) == texts(want.select(*[f'"{x}"' for x in columns]).fetchall())
+
+
 ITEM = "what a benchmark item asks in these its very own fourteen words of text"
 
 
