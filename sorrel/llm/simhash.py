@@ -130,15 +130,16 @@ def _keys(fp: Column, n: int, radius: int) -> Column:
     return F.array(*out)
 
 
-def tile_pairs(rows: DataFrame, by: list[str], fp: str, radius: int, tile: int = TILE, share: Column | None = None) -> DataFrame:
+def tile_pairs(rows: DataFrame, by: list[str], fp: str, radius: int, tile: int = TILE, share: Column | None = None, band: Column | None = None) -> DataFrame:
     """rows with `g`, a group for each pair of tiles that is to be compared, and `side`: 0 for a tile with itself, else 1 and 2.
 
     Within each `by`, a tile is of a band of population counts, radius + 1 wide, and bands are
     cut further where more than `tile` rows are in one (share: what each row takes of a tile, if
-    not 1 / tile). A tile meets itself, the others of its
+    not 1 / tile; band: whole numbers of which only neighbours are to meet, if not those bands). A tile meets itself, the others of its
     band, and those of the next: counts of farther bands differ by more than the radius. Rows
     that nothing can meet are gone."""
-    banded = rows.withColumn("_band", F.floor(F.bit_count(fp) / (radius + 1)).cast("int"))
+    band = F.floor(F.bit_count(fp) / (radius + 1)) if band is None else band
+    banded = rows.withColumn("_band", band.cast("int"))
     share = F.lit(1 / tile) if share is None else share
     counts = banded.groupBy(*by, "_band").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum(share)).cast("int").alias("cut"))
     cuts = counts.groupBy(*by).agg(F.sum("n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_band", "cut"))).alias("_cut")).where("_n > 1")
@@ -188,8 +189,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def compare_tiles(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The rows (a, b) that belong together and are within the radius, from rows sorted by group and side: each row of a tile against those after it in the same tile, or against the other tile."""
+def strips(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows (a, b) that belong together, from rows sorted by group and side: each row of a tile against those after it in the same tile, or against the other tile."""
     n = len(group)
     end = np.searchsorted(group, group, "right")
     # where side 2 begins in each group
@@ -201,11 +202,16 @@ def compare_tiles(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: i
         b = max(a + 1, int(np.searchsorted(upto, upto[a] + STRIP, "right")) - 1)
         count = end[a:b] - low[a:b]
         left = np.repeat(np.arange(a, b), count)
-        right = spread(low[a:b], count)
+        yield left, spread(low[a:b], count)
+        a = b
+
+
+def compare_tiles(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows (a, b) of strips that are within the radius."""
+    for left, right in strips(group, side):
         hit = np.flatnonzero(np.bitwise_count(fp[left] ^ fp[right]) <= radius)
         if len(hit):
             yield left[hit], right[hit]
-        a = b
 
 
 def _forest(radius: int):

@@ -128,3 +128,34 @@ def test_sets_of_tiles_are_compared_exactly(monkeypatch, cells):
     want = [5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])) for i, j in pairs]
     assert 0 < sum(want) < len(want)
     assert nearcopies.alike(np.array(group), n, boxed, a, b).tolist() == want
+
+
+def test_folded_vectors_never_differ_in_more_than_the_sets():
+    """At every width, also of sets far longer than their vectors; equal sets do not differ."""
+    rnd = np.random.default_rng(6)
+    for n in (0, 1, 5, 63, 64, 65, 700, 200_000):
+        base = rnd.integers(0, 1 << 63, n, np.int64).astype(np.uint64)
+        other = np.concatenate((base[: n - n // 10], rnd.integers(0, 1 << 63, n // 12 + 1, np.int64).astype(np.uint64)))
+        bits = np.empty(2, object)
+        bits[:] = [nearcopies.folded(base), nearcopies.folded(other)]
+        assert all(len(x) % 8 == 0 and len(x) * 8 <= nearcopies.MOST_BITS for x in bits)
+        for words in {1, min(map(len, bits)) // 8}:
+            a, b = nearcopies.in_words(bits, words)
+            assert int(np.bitwise_count(a ^ b).sum()) <= len(np.setxor1d(base, other))
+            assert int(np.bitwise_count(a ^ a).sum()) == 0
+
+
+def test_links_at_exactly_4_of_5_are_found(spark):
+    """Pairs of sets of n hashes with 8 n / 9 of them in common, of many sizes; one hash fewer is no link."""
+    rows, want = [], []
+    for k, n in enumerate((9, 18, 45, 90, 900)):
+        words = [f"{k}x{i}" for i in range(n + 4)]
+        for j, lost in enumerate((n // 9, n // 9 + 1)):
+            # the last words are others, so that `lost` of n runs are
+            tail = [f"{k}y{j}y{i}" for i in range(lost)]
+            first = [f"{j}z{w}" for w in words]
+            rows += [(100 * k + 10 * j, " ".join(first)), (100 * k + 10 * j + 1, " ".join(first[: n + 4 - lost] + tail))]
+            want += [100 * k + 10 * j] + [100 * k + 10 * j + 1] * j
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in nearcopies.keep_one(docs).collect())
+    assert got == sorted(want) == kept(rows)
