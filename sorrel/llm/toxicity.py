@@ -13,7 +13,7 @@ sparse in the tables; buckets that fewer than SUPPORT training rows have stay ze
 Labels are learned only from rows with crc32(id) mod 3 other than 1. From these, at most
 TRAIN_ROWS rows and TRAIN_BYTES bytes of text are taken, by the order of a hash of the id, a quarter
 of both toxic where there are enough (a text over TRAIN_LONGEST, or that does not fit in what is left, is passed over; the
-lengths are looked up first, so only texts that are taken leave the executors); a fifth is kept to calibrate: the output's offset, so that 0.7 separates best, and a
+lengths are looked up first, so only texts that are taken are dealt to the one task that trains); a fifth is kept to calibrate: the output's offset, so that 0.7 separates best, and a
 threshold for each language of the calibration rows.
 
 Cases: null and empty texts get the score of a text without words; languages without enough
@@ -25,6 +25,7 @@ are scored alike, and teach once.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -271,8 +272,8 @@ def _calibrate(m: Model, logits: np.ndarray, labels: np.ndarray, langs: list[str
             m.thresholds[lang] = 1 / (1 + math.exp(-_best_cut(logits[own], y)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang") -> list[tuple[str, int, str | None]]:
-    """At most `rows` labelled rows, a quarter of them of label 1 where there are enough, and at most `size` bytes of text."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang") -> DataFrame:
+    """(id, text, y, lang): at most `rows` labelled rows, a quarter of them of label 1 where there are enough, and at most `size` bytes of text."""
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
@@ -293,20 +294,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, si
             picked.append((i, own[i][0], y))
     want = F.broadcast(spark.createDataFrame(picked, f"id {kind}, t long, y int"))
     found = texts.withColumn("t", F.xxhash64("text")).join(want, ["id", "t"]).groupBy("id", "y").agg(F.first("text").alias("text"), F.min("lang").alias("lang"))
-    rows = sorted(found.toLocalIterator(), key=lambda r: r["id"])
-    return [(r["text"], r["y"], r["lang"]) for r in rows]
+    return found.select("id", "text", "y", "lang")
 
 
-def fit(docs: DataFrame, labels: DataFrame, **kw) -> Model:
-    """A model from the labelled documents."""
-    rows = training_rows(docs, labels, **kw)
-    y = np.array([r[1] for r in rows], np.int64)
+def training_rows(docs: DataFrame, labels: DataFrame, **kw) -> list[tuple[str, int, str | None]]:
+    """The sample on the driver, in the order of ids."""
+    return [(r["text"], r["y"], r["lang"]) for r in sorted(sample(docs, labels, **kw).toLocalIterator(), key=lambda r: r["id"])]
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of the sample to one row: the pickled model, or nothing without labels of both kinds."""
+    rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)), key=lambda r: r[0])
+    y = np.array([r[2] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
-        n = FILTERS * len(WIDTHS)
-        return Model(np.zeros((TABLES, BUCKETS + 1, DIM), np.float32), [np.zeros((w, TABLES * DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(n, np.float32), np.zeros(n, np.float32), -30.0)
-    texts, langs = [r[0] for r in rows], [r[2] for r in rows]
+        return
+    texts, langs = [r[1] for r in rows], [r[3] for r in rows]
     del rows
-    return train(texts, y, langs)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, y, langs))], pa.binary())], names=["model"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, **kw) -> Model:
+    """A model from the labelled documents, trained in one task on the bounded sample; only its weights come to the driver."""
+    got = sample(docs, labels, **kw).repartition(1).mapInArrow(_fitted, "model binary").first()
+    if got is not None:
+        return pickle.loads(got["model"])
+    n = FILTERS * len(WIDTHS)
+    return Model(np.zeros((TABLES, BUCKETS + 1, DIM), np.float32), [np.zeros((w, TABLES * DIM, FILTERS), np.float32) for w in WIDTHS], np.zeros(n, np.float32), np.zeros(n, np.float32), -30.0)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", drop_text: bool = False) -> DataFrame:
