@@ -57,11 +57,13 @@ class Scratch:
         return path
 
     def keep(self, *tables: DataFrame) -> None:
-        """Delete all tables but these."""
+        """Delete all tables but these, and let Spark delete the shuffle files of jobs that nothing refers to any more."""
         for out, path in self.made:
             if not any(out is t for t in tables):
                 delete(self.spark, path)
         self.made = [(out, path) for out, path in self.made if any(out is t for t in tables)]
+        # the cleaner deletes what the driver's collector finds dead, which a small driver heap may otherwise not see for hours
+        self.spark._jvm.System.gc()
 
     def _end(self) -> None:
         if self.made:
