@@ -231,3 +231,16 @@ def test_top_k_stops_by_norm(spark, monkeypatch, wave, block):
     blocks = sum(-(-min(wave, 121 - first) // block) for first in range(0, 121, wave))
     assert max(r["visited"] for r in done.values()) == done[99]["blocks"] == blocks
     assert sum(r["visited"] for r in done.values()) < 0.8 * sum(r["blocks"] for r in done.values())
+
+
+def test_entries_are_dealt_out_only_where_their_key_is(spark, monkeypatch):
+    """Communities that share nothing: what is dealt out does not grow with blocks times entries."""
+    from sorrel.operators import products
+
+    rows = [(100 * g + u, 100 * g + i, float((u * i) % 5 + 1)) for g in range(12) for u in range(6) for i in range(5)]
+    left = spark.createDataFrame(rows, "a long, k long, x double")
+    dealt, sizes = [], products.tile_sizes
+    monkeypatch.setattr(products, "tile_sizes", lambda df, entries: dealt.append(df.count()) or sizes(df, entries))
+    got = products.products(left, left.toDF("b", "k", "y"), lambda t: [t.row, t.column, t.sums["n"].astype("int64")], "a long, b long, n long", block=6).collect()
+    assert sorted(map(tuple, got)) == sorted((100 * g + u, 100 * g + v, 5) for g in range(12) for u in range(6) for v in range(6))
+    assert dealt[0] <= 4 * len(rows)
