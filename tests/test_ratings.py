@@ -244,3 +244,25 @@ def test_entries_are_dealt_out_only_where_their_key_is(spark, monkeypatch):
     got = products.products(left, left.toDF("b", "k", "y"), lambda t: [t.row, t.column, t.sums["n"].astype("int64")], "a long, b long, n long", block=6).collect()
     assert sorted(map(tuple, got)) == sorted((100 * g + u, 100 * g + v, 5) for g in range(12) for u in range(6) for v in range(6))
     assert dealt[0] <= 4 * len(rows)
+
+
+def test_item_based_keeps_no_similarities_as_rows(spark, monkeypatch):
+    """Few users and many items: the pairs of items are many more than the ratings, and none is saved; scores are those of a plain loop."""
+    rows = [(u, i, float((u * i) % 5 + 1)) for u in range(6) for i in range(120) if (u + i) % 6]
+    r = spark.createDataFrame(rows, "userId int, movieId int, rating double")
+    saved, save = [], cf.Scratch.save
+    monkeypatch.setattr(cf.Scratch, "save", lambda self, df: saved.append(save(self, df)) or saved[-1])
+    got = {(x["userId"], x["movieId"]): x["score"] for x in cf.item_based(r, r.select("userId").distinct(), k=3).collect()}
+    assert max(t.count() for t in saved) <= 2 * len(rows)
+    own = {}
+    for u, i, x in rows:
+        own.setdefault(i, {})[u] = x
+
+    def sim(i, j):
+        both = own[i].keys() & own[j].keys()
+        return round(sum(own[i][u] * own[j][u] for u in both) / (sum(own[i][u] ** 2 for u in both) * sum(own[j][u] ** 2 for u in both)) ** 0.5, 12)
+
+    for u in range(6):
+        mine = {i: x for v, i, x in rows if v == u}
+        scored = sorted((-round(sum(sim(i, j) * x for j, x in mine.items()), 9), i) for i in own if i not in mine)
+        assert {i: s for (v, i), s in got.items() if v == u} == {i: pytest.approx(-s, abs=1e-8) for s, i in scored[:3]}
