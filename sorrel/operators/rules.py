@@ -58,11 +58,17 @@ def enrich(rules: DataFrame, index: DataFrame, n: int) -> DataFrame:
     """Rules (antecedent, consequent) with the counts and metrics that they lack; given ones stay."""
     names = ["joint", "antecedent_count", "consequent_count", "support", "confidence", "lift"]
     have = [c for c in names if c in rules.columns]
+    scratch = Scratch(rules.sparkSession, "enrich")
     # saved, since both the items to count and the rules themselves refer to these numbers
-    keyed = Scratch(rules.sparkSession, "enrich").save(rules.select(F.monotonically_increasing_id().alias("_r"), "*")).withColumn("_all", F.array_union("antecedent", "consequent"))
-    wants = keyed.select("_r", F.explode(F.array(*[F.struct(F.lit(k).alias("side"), F.array_distinct(c).alias("items")) for k, c in enumerate(("antecedent", "consequent", "_all"))])).alias("w")).select("_r", "w.side", "w.items")
-    hits = wants.select("_r", "side", F.size("items").alias("k"), F.explode("items").alias("stock")).join(index, "stock")
-    full = hits.groupBy("_r", "side", "k", "basket_id").agg(F.count(F.lit(1)).alias("m")).where("m = k").groupBy("_r").pivot("side", [0, 1, 2]).agg(F.count(F.lit(1)))
+    keyed = scratch.save(rules.select(F.monotonically_increasing_id().alias("_r"), "*")).withColumn("_all", F.array_union("antecedent", "consequent"))
+    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.array_sort(F.array_distinct(c)).alias("items")) for k, c in enumerate(("antecedent", "consequent", "_all"))])
+    wants = keyed.select("_r", F.explode(sides).alias("w")).select("_r", "w.side", "w.items")
+    # each set once, however many rules have it; a basket meets the sets whose first item it holds, and only counts are shuffled
+    sets = scratch.save(wants.select("items").distinct().where(F.size("items") > 0).select(F.col("items")[0].alias("head"), "items"))
+    baskets = index.groupBy("basket_id").agg(F.collect_set("stock").alias("own"))
+    met = baskets.select("own", F.explode("own").alias("head")).join(sets, "head").where(F.size(F.array_except("items", "own")) == 0)
+    each = met.groupBy("items").agg(F.count(F.lit(1)).alias("m"))
+    full = wants.join(each, "items").groupBy("_r").pivot("side", [0, 1, 2]).agg(F.first("m"))
     counted = keyed.join(full.toDF("_r", "_a", "_c", "_j"), "_r", "left")
     get = lambda c, own: F.coalesce(*([F.col(c)] if c in have else []), F.col(own), F.lit(0))
     counted = counted.withColumns({"joint": get("joint", "_j"), "antecedent_count": get("antecedent_count", "_a"), "consequent_count": get("consequent_count", "_c")})

@@ -161,3 +161,18 @@ def test_rules_of_a_large_itemset(spark):
     assert got == want
     assert sum(len(a) == 18 and len(b) == 2 for a, b in got) == 171
     assert rules.generate_rules(frame.limit(0), 200, 0.9).count() == 0
+
+
+def test_enrich_counts_each_set_once(spark, monkeypatch):
+    """Rules that share their sides ask for few sets; items in any order, an unknown item and an empty side included."""
+    from sorrel.operators import rules
+
+    index = spark.createDataFrame([(b, s) for b in range(6) for s in "abc" if b % (ord(s) - 95)], "basket_id long, stock string")
+    asked = spark.createDataFrame([(["a"], ["b"]), (["b"], ["a"]), (["b", "a"], ["c"]), (["c", "a"], ["b"]), (["z"], ["a"]), ([], ["a"])], "antecedent array<string>, consequent array<string>")
+    saved, save = [], rules.Scratch.save
+    monkeypatch.setattr(rules.Scratch, "save", lambda self, df: saved.append(save(self, df)) or saved[-1])
+    got = {(tuple(r["antecedent"]), tuple(r["consequent"])): (r["joint"], r["antecedent_count"], r["consequent_count"]) for r in rules.enrich(asked, index, 6).collect()}
+    has = {s: {b for b in range(6) if b % (ord(s) - 95)} for s in "abc"} | {"z": set()}
+    count = lambda items: len(set.intersection(*[has[s] for s in items])) if items else 0
+    assert got == {(a, c): (count({*a, *c}), count(a), count(c)) for a, c in got} and len(got) == 6
+    assert sorted(r["items"] for r in saved[1].collect()) == [["a"], ["a", "b"], ["a", "b", "c"], ["a", "c"], ["a", "z"], ["b"], ["c"], ["z"]]
