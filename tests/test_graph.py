@@ -73,3 +73,27 @@ def test_residuals_of_a_new_edge(edges):
         full = {r["id"]: r["score"] for r in graph.pagerank(more, 36, damping=0.5).collect()}
         got = {r["id"]: r["score"] for r in graph.pagerank_update(more, old, damping=0.5, tolerance=1e-10).collect()}
         assert got.keys() == full.keys() and all(got[i] == pytest.approx(full[i], abs=1e-9) for i in full)
+
+
+def test_a_step_sends_one_value_for_each_block_and_node(spark):
+    """A crowd around a few hubs: what a step sends is far less than a value an edge, ranks are those of a plain loop, and names do as ids."""
+    pairs = {(u, f"hub{h}") for u in (f"u{k:05d}" for k in range(3000)) for h in range(10)} | {("u00001", "u00002"), ("hub0", "hub1")}
+    crowd = spark.createDataFrame(sorted(pairs) + [("u00005", None)], "src string, dst string")
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, []).append(b)
+        near.setdefault(b, []).append(a)
+    want = dict.fromkeys(near, 1 / len(near))
+    for _ in range(3):
+        sent = dict.fromkeys(near, 0.15 / len(near))
+        for a, others in near.items():
+            for b in others:
+                sent[b] += 0.85 * want[a] / len(others)
+        want = sent
+    for hub in (100, 10**9):
+        links = graph._Links(crowd, hub)
+        assert links.blocks > 1
+        messages = links.advance(links.first(value=1.0), lambda got, kept: (kept[0], kept, 0))
+        assert messages.where("source >= 0").selectExpr("sum(length(values)) / 8").first()[0] < (len(near) + 100) * links.blocks < 2 * len(pairs)
+        got = {r["id"]: r["score"] for r in graph.pagerank(crowd, 3, hub=hub).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-12) for i in got)
