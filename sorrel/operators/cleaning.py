@@ -68,7 +68,9 @@ def canonical_descriptions(kept: DataFrame) -> DataFrame:
 
 def build_baskets(kept: DataFrame, canonical: DataFrame, min_items: int = 2) -> DataFrame:
     """(invoice, items): distinct codes with their description, sorted by code; baskets of at least min_items."""
-    lines = kept.select("invoice", "stock").distinct().join(canonical, "stock")
+    # dealt out by invoice first, which serves both groupings where the descriptions are few
+    own = kept.groupBy("invoice").agg(F.collect_set("stock").alias("stocks"))
+    lines = own.select("invoice", F.explode("stocks").alias("stock")).join(canonical, "stock")
     items = F.array_sort(F.collect_list(F.struct("stock", "description")))
     return lines.groupBy("invoice").agg(items.alias("items")).where(F.size("items") >= min_items)
 

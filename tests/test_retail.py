@@ -97,3 +97,17 @@ def test_baskets_in_first_seen_order(spark):
     kept = spark.createDataFrame([(i, s, s, k) for k, (i, s) in enumerate(lines)], "invoice string, stock string, description string, place long").repartition(4)
     baskets = cleaning.build_baskets(kept, cleaning.canonical_descriptions(kept))
     assert [(r["nth"], r["invoice"]) for r in cleaning.in_first_seen_order(kept, baskets).orderBy("nth").collect()] == [(0, "i9"), (1, "i2"), (2, "i1")]
+
+
+def test_baskets_are_dealt_out_once(spark):
+    """One shuffle by invoice serves distinct codes and baskets; codes without a description and small baskets are left out."""
+    from pyspark.sql import functions as F
+
+    from sorrel.operators import cleaning
+
+    kept = spark.createDataFrame([("1", "a"), ("1", "b"), ("1", "a"), ("2", "a"), ("2", "x"), ("3", "b"), ("3", "a")], "invoice string, stock string")
+    canonical = spark.createDataFrame([("a", "A"), ("b", "B")], "stock string, description string")
+    made = cleaning.build_baskets(kept, F.broadcast(canonical))
+    assert {r["invoice"]: [tuple(i) for i in r["items"]] for r in made.collect()} == {"1": [("a", "A"), ("b", "B")], "3": [("a", "A"), ("b", "B")]}
+    assert made._jdf.queryExecution().sparkPlan().toString().count("hashpartitioning") == 0
+    assert kept.count() and cleaning.build_baskets(kept, F.broadcast(canonical))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(invoice") == 1
