@@ -546,7 +546,7 @@ def encoded_baskets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {LOG} select invoice, array_to_string(list(stock order by stock), ',') as stocks from retail group by invoice")
 def decoded_baskets(spark: SparkSession, sf: str) -> DataFrame:
-    b = _retail(spark, sf)[1]
+    b = Scratch(spark, "retail").save(_retail(spark, sf)[1])
     d = cleaning.item_dictionary(b)
     return cleaning.decode_baskets(cleaning.encode_baskets(b, d), d).select("invoice", F.array_join("items.stock", ",").alias("stocks"))
 
