@@ -319,7 +319,8 @@ each as (select k.userId, count(*) as relevant, count(t.movieId) as hits from kn
 
 
 def _recall(spark: SparkSession, sf: str) -> factors.Recall:
-    p = split.split_by_time(views.ratings(spark, sf), SPLIT_ORDER)
+    # saved, since each side of the result reads it
+    p = Scratch(spark, "split").save(split.split_by_time(views.ratings(spark, sf), SPLIT_ORDER).select("userId", "movieId", "rating", "part"))
     return factors.recall_at_k(p.where("part = 'train'"), p.where("part = 'val'"), p.where("part = 'test'"), views.fixed_model(spark, sf), views.movies(spark, sf))
 
 
