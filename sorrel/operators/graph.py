@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..scratch import Scratch, checkpoint_dir
+from ..scratch import Scratch, use_checkpoints
 from .ranks import with_place
 
 #: A node is a hub with more edges than this and than all edges divided by MOST_HUBS.
@@ -87,7 +87,7 @@ class _Links:
 
     def __init__(self, edges: DataFrame, least: int):
         spark = edges.sparkSession
-        _checkpoints(spark)
+        use_checkpoints(spark)
         both, degree, hubs = _degrees(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), least)
         self.scratch, self.kind = Scratch(spark, "links"), degree.schema["src"].dataType
         self.n, n_edges = degree.count(), both.count()
@@ -258,11 +258,6 @@ def _advance(step: Step, n_hubs: int):
     return run
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-
-
 def _normal(ranks: DataFrame) -> DataFrame:
     total = ranks.agg(F.sum("value").alias("total"))
     return ranks.join(F.broadcast(total)).select("id", (F.col("value") / F.col("total")).alias("score"))

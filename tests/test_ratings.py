@@ -266,3 +266,36 @@ def test_item_based_keeps_no_similarities_as_rows(spark, monkeypatch):
         mine = {i: x for v, i, x in rows if v == u}
         scored = sorted((-round(sum(sim(i, j) * x for j, x in mine.items()), 9), i) for i in own if i not in mine)
         assert {i: s for (v, i), s in got.items() if v == u} == {i: pytest.approx(-s, abs=1e-8) for s, i in scored[:3]}
+
+
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_only_known_pairs_meet_factors(spark, monkeypatch, most):
+    """Predictions with unknown ids on either side, whether ids are broadcast or joined; an id that a side holds twice counts twice."""
+    monkeypatch.setattr(factors, "BROADCAST_IDS", most)
+    m = model(spark, {1: [1, 0], 2: [0.5, 0.5]}, {3: [1, 1], 4: [0, 0.5]}, 3.0)
+    m = factors.Model(m.users.union(m.users.where("id = 2")), m.items, m.mean)
+    pairs = spark.createDataFrame([(u, i) for u in (1, 2, 9, None) for i in (3, 4, 8)], "userId int, movieId int")
+    scored = factors.score(pairs, m)
+    assert scored.columns == ["userId", "movieId", "prediction"]
+    assert "_both" in scored._jdf.queryExecution().analyzed().toString()
+    want = {(1, 3): 4.0, (1, 4): 3.0, (2, 3): 4.0, (2, 4): 3.25}
+    got = sorted((r["userId"] or 0, r["movieId"], r["prediction"]) for r in scored.collect())
+    assert got == sorted((u or 0, i, want.get((u, i), 3.0)) for u in (1, 2, 9, None) for i in (3, 4, 8) for _ in range(1 + (u == 2)))
+
+
+def test_recall_splits_once(spark):
+    """Nothing of the split is left in the plans of recall."""
+    from sorrel.plans import queries
+
+    for name in ("recall_per_user", "recall_exclusions"):
+        assert "Window" not in queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_als_deletes_its_shuffles_on_the_way(spark, monkeypatch):
+    given, als = [], factors.ALS
+    monkeypatch.setattr(factors, "ALS", lambda **o: given.append(o) or als(**o))
+    rows = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(8) for i in range(8)], "userId int, movieId int, rating double")
+    history, models = factors.train_with_history(rows, rows, [1, 3], factors.TrainOptions(factors=2))
+    assert history.count() == 2 and all(o["checkpointInterval"] == factors.CUT_EVERY for o in given)
+    assert spark.sparkContext.getCheckpointDir() is not None
+    assert all("FileScan" in s._jdf.queryExecution().executedPlan().toString() for m in models.values() for s in (m.users, m.items))
