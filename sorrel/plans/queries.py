@@ -570,8 +570,8 @@ def items_from_file(spark: SparkSession, sf: str) -> DataFrame:
 def ratings_from_file(spark: SparkSession, sf: str) -> DataFrame:
     """Ratings written as tab-separated lines, with short and blank ones between them, and read back."""
     path = Scratch(spark, "files").folder("ratings")
-    r = views.ratings(spark, sf)
-    r.select(F.concat_ws("\t", "userId", "movieId", "rating", "timestamp").alias("value")).union(r.select(F.concat_ws("\t", "userId", "movieId"))).union(r.select(F.lit(""))).write.text(path)
+    whole, short = F.concat_ws("\t", "userId", "movieId", "rating", "timestamp"), F.concat_ws("\t", "userId", "movieId")
+    views.ratings(spark, sf).select(F.explode(F.array(whole, short, F.lit(""))).alias("value")).write.text(path)
     return readers.read_ratings(spark, path)
 
 
