@@ -11,10 +11,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .ranks import with_place
 
 #: Baskets of one bitmap, as Spark's bitmap functions have it.
 BUCKET = 32_768
+#: Itemsets of a level up to which they are broadcast.
+BROADCAST_SETS = 100_000
 
 
 def postings(baskets: DataFrame, basket_col: str = "basket_id", items_col: str = "items") -> DataFrame:
@@ -114,17 +117,42 @@ def frequent_itemsets(baskets: DataFrame, min_support: float, items_col: str = "
 
 
 def small_itemsets(index: DataFrame, n: int, min_support: float, size: int = 3) -> DataFrame:
-    """(items, count, support) of itemsets up to a size by self-joins of frequent items' postings: one level from the one before it."""
-    c = least_count(min_support, n)
-    keep = index.groupBy("stock").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= c).select("stock")
-    rows = index.join(keep, "stock")
-    level = rows.select(F.array("stock").alias("items"), "basket_id")
-    levels = []
-    for k in range(size):
-        counts = level.groupBy("items").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= c)
-        levels.append(counts)
-        if k + 1 < size:
-            alive = level.join(counts.select("items"), "items")
-            level = alive.join(rows, "basket_id").where(F.element_at("items", -1) < F.col("stock")).select(F.concat("items", F.array("stock")).alias("items"), "basket_id")
+    """(items, count, support) of itemsets up to a size, one level from the one before it.
+
+    See small_itemsets_of; the postings are gathered by basket once."""
+    baskets = index.groupBy("basket_id").agg(F.collect_set("stock").alias("items")).select("items")
+    return small_itemsets_of(Scratch(index.sparkSession, "baskets").save(baskets), n, min_support, size)
+
+
+def small_itemsets_of(baskets: DataFrame, n: int, min_support: float, size: int = 3, items_col: str = "items") -> DataFrame:
+    """(items, count, support) of itemsets up to a size in n baskets (a saved table, as each level reads it) with arrays of codes.
+
+    A level's candidates are the sets of the level before it that are frequent, each with one later
+    frequent item of the same basket, so they are made and counted where the basket is, and only counts
+    are shuffled; a level's list is broadcast, if it is short."""
+    scratch = Scratch(baskets.sparkSession, "itemsets")
+    c = least_count(min_support, n) if n else 1
+    codes = baskets.select(F.array_sort(F.array_distinct(items_col)).alias("own"))
+    single = scratch.save(_counted(codes.select(F.explode(F.transform("own", lambda x: F.array(x))).alias("items")), c))
+    levels, rows = [single], codes.select(F.posexplode("own").alias("at", "last"), "own").select(F.array("last").alias("items"), _later("own", "at").alias("rest"))
+    frequent = _short(single.select(F.col("items")[0].alias("next")))
+    for _ in range(1, size):
+        alive = rows.where(F.size("rest") > 0).join(_short(levels[-1].select("items")), "items", "left_semi")
+        grown = alive.select("items", "rest", F.posexplode("rest").alias("at", "next")).join(frequent, "next", "left_semi")
+        rows = grown.select(F.concat("items", F.array("next")).alias("items"), _later("rest", "at").alias("rest"))
+        levels.append(scratch.save(_counted(rows, c)))
     every = reduce(DataFrame.unionAll, levels)
     return every.select("items", "count", (F.col("count") / F.lit(n)).alias("support"))
+
+
+def _short(sets: DataFrame) -> DataFrame:
+    return F.broadcast(sets) if sets.count() <= BROADCAST_SETS else sets
+
+
+def _counted(rows: DataFrame, least: int) -> DataFrame:
+    return rows.groupBy("items").agg(F.count(F.lit(1)).alias("count")).where(F.col("count") >= least)
+
+
+def _later(items: str, at: str) -> Column:
+    """The items after a place that counts from 0."""
+    return F.slice(items, F.col(at) + 2, F.size(items))

@@ -136,9 +136,8 @@ def frequent_itemsets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {ITEMSETS} select array_to_string(items, ',') as items, c as count, round(c / n, 9) as support from sets, total where len(items) <= 3")
 def frequent_itemsets_1_3(spark: SparkSession, sf: str) -> DataFrame:
-    index = views.postings(spark, sf)
-    n = index.agg(F.count_distinct("basket_id")).first()[0]
-    found = bk.small_itemsets(index, n, MIN_SUPPORT, 3)
+    b = Scratch(spark, "baskets").save(views.baskets(spark, sf).select("items"))
+    found = bk.small_itemsets_of(b, b.count(), MIN_SUPPORT, 3)
     return found.select(F.array_join("items", ",").alias("items"), "count", F.round("support", 9).alias("support"))
 
 

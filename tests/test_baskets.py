@@ -48,6 +48,16 @@ def test_small_itemsets_agree(baskets, index):
     assert {tuple(r["items"]): r["count"] for r in bk.small_itemsets(index, 5, 0.2, 3).collect()} == grown
 
 
+def test_small_itemsets_shuffle_counts_only(spark, baskets, monkeypatch):
+    """No join by baskets: candidates are made where a basket is, also where lists are too long to broadcast."""
+    found = bk.small_itemsets_of(baskets, 5, 0.2, 4)
+    whole = {tuple(r["items"]): r["count"] for r in bk.frequent_itemsets(baskets, 0.2).collect()}
+    assert {tuple(r["items"]): r["count"] for r in found.collect()} == whole
+    monkeypatch.setattr(bk, "BROADCAST_SETS", 0)
+    assert {tuple(r["items"]): r["count"] for r in bk.small_itemsets_of(baskets, 5, 0.2, 4).collect()} == whole
+    assert bk.small_itemsets_of(baskets.limit(0), 0, 0.2, 3).count() == 0
+
+
 def test_support_at_the_edge(spark):
     rows = [(i, ["x", "y"] if i < 7 else ["z", "w"]) for i in range(100)]
     b = spark.createDataFrame(rows, "basket_id int, items array<string>")
