@@ -130,7 +130,8 @@ def rule_enrich_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {ITEMSETS} select array_to_string(items, ',') as items, c as count, round(c / n, 9) as support from sets, total")
 def frequent_itemsets(spark: SparkSession, sf: str) -> DataFrame:
-    found = bk.frequent_itemsets(views.baskets(spark, sf), MIN_SUPPORT)
+    b = Scratch(spark, "baskets").save(views.baskets(spark, sf).select("items"))
+    found = bk.frequent_itemsets(b, MIN_SUPPORT)
     return found.select(F.array_join("items", ",").alias("items"), "count", F.round("support", 9).alias("support"))
 
 
@@ -143,7 +144,7 @@ def frequent_itemsets_1_3(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {RULES} select {RULE_COLUMNS} from rules")
 def assoc_rules_all_splits(spark: SparkSession, sf: str) -> DataFrame:
-    b = views.baskets(spark, sf)
+    b = Scratch(spark, "baskets").save(views.baskets(spark, sf).select("items"))
     return _plain(rules.generate_rules(bk.frequent_itemsets(b, MIN_SUPPORT), b.count(), MIN_CONFIDENCE))
 
 
