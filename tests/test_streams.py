@@ -1,5 +1,7 @@
 """What products and ratings put on disk."""
 
+import numpy as np
+
 from sorrel.operators import collaborative, products
 from sorrel.plans import views
 
@@ -37,3 +39,11 @@ def test_last_ratings_leave_the_price_where_it_is(spark):
     plan = views.last_ratings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     used = [line for line in plan.splitlines() if "Relation" not in line]
     assert any("l_quantity" in line for line in used) and not any("l_extendedprice" in line for line in used)
+
+
+def test_rows_are_ordered_by_one_number_or_by_columns():
+    pick = np.random.default_rng(2)
+    few = [pick.integers(-3, 4, 500).astype(np.int32), pick.integers(0, 9, 500)]
+    for columns in (few, [few[0], pick.integers(-(1 << 62), 1 << 62, 500), few[1]]):
+        rows = list(zip(*columns))
+        assert [rows[k] for k in products.in_order(columns)] == sorted(rows)
